@@ -8,7 +8,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasloom.llm import common, quality, sharding
+from atlasloom.llm import common, quality, records, sharding, token_counts
+
+
+def bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.fresh_path(spark, "op1-records")
+    found = records.starts(records.write(common.table(spark, sf_dir, "documents"), bpe_path(), path))
+    out = records.read(found, path, digest=True, keep=("doc_id", "start"))
+    return out.select("doc_id", "start", F.col("n_read").alias("n_tokens"), "ids_crc32")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(common.table(spark, sf_dir, "documents"), bpe_path())
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +40,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_records": op1_token_records,
+    "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op10_sharding": op10_sharding,
 }
