@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasloom.llm import common, quality, records, sharding, token_counts
+from atlasloom.llm import common, decontam, quality, records, sharding, token_counts
 
 
 def bpe_path() -> str:
@@ -34,6 +34,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.flagged(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate(F.zip_with("hit_start", "hit_end", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.size("hit_start") > 0).alias("contaminated"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assigned(common.table(spark, sf_dir, "documents"), n_shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", F.col("next_shard").alias("rebalanced_shard"))
@@ -43,6 +49,7 @@ QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
+    "op6_decontamination": op6_decontamination,
     "op10_sharding": op10_sharding,
 }
 
