@@ -16,7 +16,7 @@ import numpy as np
 PRE_TOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters that both engines put into the same class; Latin, Greek, Cyrillic letters and common marks, without superscripts and fractions.
 NOT_PLAIN = re.compile(r"[^\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏΑ-ΡΣ-ϿЀ-ҁ‐-‧]")
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 #: Longer pre-tokens are not kept, which bounds the bytes of a cache.
 LONGEST_KEPT = 64
 
@@ -41,21 +41,27 @@ def id_type(tokenizer) -> np.dtype:
 
 
 class _Kept(dict):
-    """Value of each pre-token; misses ask the library. At the bound, all but the pinned entries are forgotten."""
+    """Values by string; misses are asked for once. Two generations: at the bound the older one is forgotten, and what is used again moves up."""
 
     def __init__(self, ask, pinned: dict | None = None, limit: int = CACHE_WORDS):
         super().__init__(pinned or {})
-        self.ask, self.pinned, self.limit = ask, pinned or {}, limit
+        self.ask, self.pinned, self.limit, self.older = ask, pinned or {}, limit, {}
 
     def __missing__(self, word: str):
-        value = self.ask(word)
+        value = self.older.get(word)
+        if value is None:
+            value = self.ask(word)
         if len(word) <= LONGEST_KEPT:
-            if len(self) >= self.limit + len(self.pinned):
-                self.clear()
-                self.update(self.pinned)
-            self[word] = value
+            self.put(word, value)
         return value
 
+    def put(self, word: str, value) -> None:
+        if len(self) >= self.limit + len(self.pinned):
+            self.older = dict(self)
+            self.clear()
+            self.update(self.pinned)
+        self[word] = value
+
 
 class Pieces:
     """Splits texts as the library does: its added tokens first, then pre-tokens."""
@@ -77,27 +83,53 @@ class Pieces:
 
 
 class Encoder(Pieces):
-    """Ids of whole texts as little-endian bytes."""
-
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.type = id_type(self.tokenizer)
-        self.kept = _Kept(self._ask)
+    """Ids of whole texts as little-endian bytes.
 
-    def _ask(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.type).tobytes()
+    Texts come in groups. The group's new pre-tokens go to the library together: words after a space in one string,
+    whose ids are cut where the words end, all others singly. At the bound, a worker keeps what the group uses.
+    """
 
-    def encode(self, text: str) -> bytes:
-        if not self.plain(text):
-            return self._ask(text)
+    def __init__(self, path: str, limit: int = CACHE_WORDS):
+        super().__init__(path)
+        self.type, self.limit = id_type(self.tokenizer), limit
+        self.kept: dict[str, bytes] = {}
+        #: Bytes of text behind each id; byte-level pieces have one character for each byte.
+        self.lengths = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+        for piece, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.lengths[i] = len(piece)
+
+    def _ask(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+
+    def _learn(self, used: set[str]) -> None:
+        new = used.difference(self.kept)
+        if len(self.kept) + len(new) > self.limit:
+            self.kept = {w: self.kept[w] for w in used if w in self.kept}
+        words = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        for k in range(0, len(words), 5000):
+            part = words[k : k + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.type)
+            ends, at = np.cumsum([len(w.encode()) for w in part]), np.cumsum(self.lengths[ids])
+            cut = np.searchsorted(at, ends)
+            if len(at) and at[-1] == ends[-1] and (at[cut] == ends).all():
+                data, last = ids.tobytes(), 0
+                for word, end in zip(part, ((cut + 1) * self.type.itemsize).tolist(), strict=True):
+                    self.kept[word] = data[last:end]
+                    last = end
+        for word in new:
+            if word not in self.kept:
+                self.kept[word] = self._ask(word)
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        cut = [[p if k % 2 else PRE_TOKEN.findall(p) for k, p in enumerate(self.segments(t))] if self.plain(t) else None for t in texts]
+        used: set[str] = set()
+        for parts in cut:
+            for words in (parts or ())[::2]:
+                used.update(words)
+        self._learn(used)
         get = self.kept.__getitem__
-        out = []
-        for k, part in enumerate(self.segments(text)):
-            if k % 2:
-                out.append(np.array([self.special[part]], self.type).tobytes())
-            else:
-                out.extend(map(get, PRE_TOKEN.findall(part)))
-        return b"".join(out)
+        special = {s: np.array([i], self.type).tobytes() for s, i in self.special.items()}
+        return [self._ask(t) if parts is None else b"".join(special[p] if k % 2 else b"".join(map(get, p)) for k, p in enumerate(parts)) for t, parts in zip(texts, cut, strict=True)]
 
 
 class Counter(Pieces):

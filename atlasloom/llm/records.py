@@ -58,6 +58,12 @@ def unframe(data, at: int = 0) -> tuple[np.ndarray, int]:
     return np.frombuffer(payload, f"<u{width}", n, META), end + TAIL
 
 
+def encoded(encoder, texts: pa.Array):
+    """Ids of each text, some hundred texts at a time."""
+    for k in range(0, len(texts), 512):
+        yield from encoder.encode_many([t or "" for t in texts[k : k + 512].to_pylist()])
+
+
 def opened(uri: str):
     """File system and path of a URI, on whatever shared store it is."""
     from pyarrow import fs
@@ -82,8 +88,8 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, key:
             for batch in batches:
                 sizes, counts = [], []
                 out = out or store.open_output_stream(f"{where}/{name}")
-                for t in batch.column(1):
-                    record = frame(encoder.encode(t.as_py() or "") + end, width)
+                for ids in encoded(encoder, batch.column(1)):
+                    record = frame(ids + end, width)
                     out.write(record)
                     sizes.append(len(record))
                     counts.append((len(record) - HEAD - TAIL - META) // width)
