@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasloom.llm import chat, common, decontam, jaccard, mixing, quality, records, sharding, token_counts
+from atlasloom.llm import chat, common, decontam, jaccard, lm, mixing, quality, records, sharding, token_counts
 
 
 def bpe_path() -> str:
@@ -34,6 +34,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lm.scored(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.placed(common.table(spark, sf_dir, "documents"), repetition=4.0)
 
@@ -64,6 +70,7 @@ QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
     "op8_jaccard_join": op8_jaccard_join,
