@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasloom.llm import chat, common, decontam, jaccard, lm, mixing, quality, records, sharding, token_counts
+from atlasloom.llm import chat, common, decontam, jaccard, lm, mixing, quality, records, sharding, suffix_dedup, token_counts
 
 
 def bpe_path() -> str:
@@ -50,6 +50,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.size("hit_start") > 0).alias("contaminated"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.deduplicated(common.table(spark, sf_dir, "documents"), length=50)
+    removed = F.aggregate(F.zip_with("span_start", "span_end", lambda a, b: b - a), F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("span_start").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard.components(common.table(spark, sf_dir, "documents"), percent=85, shingle=4)
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
@@ -80,6 +86,7 @@ QUERIES = {
     "op4_lm_scoring": op4_lm_scoring,
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_chat_format": op9_chat_format,
     "op10_sharding": op10_sharding,
