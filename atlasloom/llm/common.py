@@ -40,8 +40,15 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch, which the JVM and the worker both hold; texts make rows large.
+BATCH_ROWS = 2000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it is not installed."""
+    """Lets Python workers import this package where it is not installed, and keeps Arrow batches of texts small."""
+    if int(spark.conf.get(BATCH_SETTING)) > BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "").split(os.pathsep)
