@@ -39,3 +39,47 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", f
         last = tuple(now)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def bounded_paths(edges: DataFrame, starts: DataFrame, hops: int, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(start, node, hops): the fewest hops from each start, up to a limit. Reached pairs are not walked again."""
+    seen = starts.select(F.col("start"), F.col("start").alias("node"), F.lit(0).alias("hops"))
+    front = seen
+    for k in range(1, hops + 1):
+        step = front.join(edges, front["node"] == edges[src]).select("start", F.col(dst).alias("node")).distinct()
+        front = step.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(k)).checkpoint()
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+    return seen
+
+
+def reachable_labels(cells: DataFrame, edges: DataFrame, node: str, label: str, most_rounds: int = 100) -> DataFrame:
+    """Breadth-first growth of labels from labelled cells to unlabelled ones: nearest label, ties to the smallest."""
+    known = cells.where(F.col(label).isNotNull()).select(F.col(node).alias("node"), F.col(label).alias("label"), F.lit(0).alias("steps"))
+    front = known
+    for k in range(1, most_rounds + 1):
+        step = front.join(edges, front["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("label"))
+        front = step.join(known, "node", "left_anti").select("node", "label", F.lit(k).alias("steps")).checkpoint()
+        if front.isEmpty():
+            break
+        known = known.union(front).checkpoint()
+    return known
+
+
+def spanning_forest(edges: DataFrame, weight: str, src: str = "src", dst: str = "dst", most_rounds: int = 40) -> DataFrame:
+    """Maximum spanning forest (Boruvka): each component takes its heaviest outgoing edge, ties by the ends' names."""
+    e = edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b"), F.col(weight).cast("double").alias("w")).where("a <> b").groupBy("a", "b").agg(F.max("w").alias("w")).checkpoint()
+    label = e.select(F.col("a").alias("node")).union(e.select("b")).distinct().select("node", F.col("node").alias("c"))
+    chosen = e.limit(0)
+    for _ in range(most_rounds):
+        la, lb = label.select(F.col("node").alias("a"), F.col("c").alias("ca")), label.select(F.col("node").alias("b"), F.col("c").alias("cb"))
+        out = e.join(la, "a").join(lb, "b").where("ca <> cb")
+        ends = out.select(F.col("ca").alias("c"), "a", "b", "w").union(out.select(F.col("cb").alias("c"), "a", "b", "w"))
+        best = ends.groupBy("c").agg(F.min_by(F.struct("a", "b", "w"), F.struct((-F.col("w")).alias("w"), F.col("a"), F.col("b"))).alias("e")).select("e.*").distinct().checkpoint()
+        if best.isEmpty():
+            break
+        chosen = chosen.union(best).checkpoint()
+        joined = connected_components(chosen, "a", "b").withColumnRenamed("component", "k")
+        label = label.select("node").join(joined, "node", "left").select("node", F.coalesce("k", "node").alias("c")).checkpoint()
+    return chosen

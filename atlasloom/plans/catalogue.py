@@ -1,10 +1,15 @@
-"""Every registered query of the map engine, with the SQL that gives the same result."""
+"""Every registered query of the map engine, with the SQL that gives the same result.
 
-from __future__ import annotations
+The driver's tables stand in for map tables: `lineitem` for point clouds and volumes, `events` for sightings and time
+series, `embeddings` for descriptors, `orders` for frames and metrics, `supplier` and `customer` for places.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from atlasloom.plans import queries_aggregate, queries_joins, queries_objects, queries_order
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {}
+ORACLE_SQL = {}
+for _module in (queries_aggregate, queries_joins, queries_order, queries_objects):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
