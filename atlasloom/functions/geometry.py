@@ -13,6 +13,11 @@ def col(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def voxel(c, size: float) -> Column:
     """Voxel number of a coordinate: the floor, so negative coordinates fall into negative voxels."""
     return F.floor(col(c) / F.lit(float(size))).cast("long")
@@ -72,15 +77,21 @@ def angle_between(a, b) -> Column:
 
 def rotation_from_quaternion(q) -> Column:
     """Nine entries, row-major; the quaternion is normalised first."""
-    q = col(q)
-    n = F.greatest(norm(q), F.lit(1e-300))
-    x, y, z, w = (q[k] / n for k in range(4))
+    unit = let(col(q), lambda v: let(F.greatest(norm(v), F.lit(1e-300)), lambda n: F.transform(v, lambda x: x.cast("double") / n)))
+    return let(unit, _rotation)
+
+
+def _rotation(q: Column) -> Column:
+    x, y, z, w = (q[k] for k in range(4))
     return F.array(1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w), 2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w), 2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y))
 
 
 def quaternion_from_rotation(r) -> Column:
     """Scalar last, w not negative; the largest of the four squares decides the branch."""
-    r = col(r)
+    return let(col(r), _quaternion)
+
+
+def _quaternion(r: Column) -> Column:
     m = lambda i, j: r[3 * i + j]
     squares = [1 + m(0, 0) - m(1, 1) - m(2, 2), 1 - m(0, 0) + m(1, 1) - m(2, 2), 1 - m(0, 0) - m(1, 1) + m(2, 2), 1 + m(0, 0) + m(1, 1) + m(2, 2)]
     rows = [
@@ -93,8 +104,7 @@ def quaternion_from_rotation(r) -> Column:
     picked = F.array(*rows[3])
     for s, row in list(zip(squares, rows, strict=True))[2::-1]:
         picked = F.when(s == best, F.array(*row)).otherwise(picked)
-    sign = F.when(picked[3] < 0, -1.0).otherwise(1.0)
-    return F.transform(picked, lambda v: v * sign / norm(picked))
+    return let(picked, lambda q: let(F.when(q[3] < 0, -1.0).otherwise(1.0) / norm(q), lambda s: F.transform(q, lambda v: v * s)))
 
 
 def rotate(r, v) -> Column:
@@ -104,13 +114,19 @@ def rotate(r, v) -> Column:
 
 def compose(a, b) -> Column:
     """Product of two poses."""
-    a, b = col(a), col(b)
+    return let(col(a), lambda x: let(col(b), lambda y: _product(x, y)))
+
+
+def _product(a: Column, b: Column) -> Column:
     return F.array(*[sum((a[4 * i + k] * b[4 * k + j] for k in range(1, 4)), a[4 * i] * b[j]) for i in range(4) for j in range(4)])
 
 
 def inverse(p) -> Column:
     """Inverse of a rigid pose."""
-    p = col(p)
+    return let(col(p), _inverse)
+
+
+def _inverse(p: Column) -> Column:
     out = []
     for i in range(3):
         out += [p[4 * j + i] for j in range(3)]

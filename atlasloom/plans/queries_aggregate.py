@@ -17,9 +17,9 @@ AXES = {"l_quantity": 5.0, "l_discount": 0.02}
 CELLS = "CAST(floor(l_quantity / 5.0) AS BIGINT) AS i_l_quantity, CAST(floor(l_discount / 0.02) AS BIGINT) AS i_l_discount"
 
 
-@q(f"SELECT {CELLS}, count(*) AS n, round(avg(l_extendedprice), 4) AS mean_price FROM lineitem GROUP BY 1, 2")
+@q(f"SELECT {CELLS}, count(*) AS n, round(avg(l_extendedprice), 8) AS mean_price FROM lineitem GROUP BY 1, 2")
 def voxel_mean(t):
-    return A.voxel_mean(t("lineitem"), AXES, ["l_extendedprice"]).select("i_l_quantity", "i_l_discount", "n", F.round("mean_l_extendedprice", 4).alias("mean_price"))
+    return A.voxel_mean(t("lineitem"), AXES, ["l_extendedprice"]).select("i_l_quantity", "i_l_discount", "n", F.round("mean_l_extendedprice", 8).alias("mean_price"))
 
 
 @q(f"SELECT {CELLS}, count(*) AS n, round(sum(l_tax), 4) AS sum_tax FROM lineitem GROUP BY 1, 2")
@@ -30,11 +30,11 @@ def voxel_merge(t):
     return A.merge_states(*halves).select("i_l_quantity", "i_l_discount", "n", F.round("sum_l_tax", 4).alias("sum_tax"))
 
 
-PICK = "SELECT i_l_quantity, i_l_discount, l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, {cells}, row_number() OVER (PARTITION BY floor(l_quantity / 5.0), floor(l_discount / 0.02) ORDER BY l_orderkey {d}, l_linenumber {d}) AS r FROM lineitem {w}) WHERE r = 1"
+PICK = "SELECT i_l_quantity, i_l_discount, l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, {cells}, row_number() OVER (PARTITION BY floor(l_quantity / 5.0), floor(l_discount / 0.02) ORDER BY l_orderkey {d}, l_linenumber {d}, l_partkey {d}, l_suppkey {d}, l_extendedprice {d}) AS r FROM lineitem {w}) WHERE r = 1"
 
 
 def _pick(rows, keep):
-    return A.voxel_pick(rows, AXES, ["l_orderkey", "l_linenumber"], keep).select("i_l_quantity", "i_l_discount", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return A.voxel_pick(rows, AXES, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], keep).select("i_l_quantity", "i_l_discount", "l_orderkey", "l_linenumber", "l_extendedprice")
 
 
 @q(PICK.format(cells=CELLS, d="ASC", w=""))
@@ -207,9 +207,9 @@ def highest_per_pixel(t):
     return grid.highest(rows, 1.0, "x", "y", "l_extendedprice", F.col("l_orderkey"), "l_orderkey")
 
 
-@q("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 3) AS mean FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())")
+@q("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())")
 def rollup_metrics(t):
-    return t("orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 3).alias("mean"))
+    return t("orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 6).alias("mean"))
 
 
 @q("SELECT strftime(l_shipmode_day, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM (SELECT *, CAST(l_shipdate AS DATE) AS l_shipmode_day FROM lineitem WHERE l_quantity >= 10 AND l_quantity <= 20 AND NOT isnan(l_tax) AND NOT isinf(l_tax)) GROUP BY 1")

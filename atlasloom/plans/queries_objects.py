@@ -154,11 +154,11 @@ TARGETS = "(VALUES ('click', '>=', 50.0, NULL, NULL, FALSE), ('view', 'between',
 
 
 @q(f"""SELECT r.metric_id, r.value, CASE WHEN info THEN 'info' WHEN op IS NULL THEN 'no_target' WHEN CASE op WHEN '>=' THEN r.value >= target WHEN '<=' THEN r.value <= target WHEN '<' THEN r.value < target ELSE r.value BETWEEN lo AND hi END THEN 'pass' ELSE 'fail' END AS status
-       FROM (SELECT event_type AS metric_id, round(avg(value), 4) AS value FROM events GROUP BY 1) r LEFT JOIN {TARGETS} USING (metric_id)""")
+       FROM (SELECT event_type AS metric_id, round(avg(value), 8) AS value FROM events GROUP BY 1) r LEFT JOIN {TARGETS} USING (metric_id)""")
 def metric_judge(t):
     e = t("events")
     targets = e.sparkSession.createDataFrame([("click", ">=", 50.0, None, None, False), ("view", "between", None, 49.0, 50.0, False), ("error", "<", 1.0, None, None, True), ("signup", "<=", 50.0, None, None, False)], "metric_id string, op string, target double, lo double, hi double, info boolean")
-    return E.judge(e.groupBy(F.col("event_type").alias("metric_id")).agg(F.round(F.avg("value"), 4).alias("value")), targets)
+    return E.judge(e.groupBy(F.col("event_type").alias("metric_id")).agg(F.round(F.avg("value"), 8).alias("value")), targets)
 
 
 @q("""WITH a AS (SELECT user_id::VARCHAR AS metric_id, avg(value) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id::VARCHAR AS metric_id, avg(value) AS v FROM events WHERE event_id % 2 = 1 GROUP BY 1)
@@ -173,9 +173,9 @@ def hold_out_plan(t):
     return E.hold_out(t("events"), "event_id", 5, 2).groupBy("event_type").agg(F.count(F.when(F.col("held_out"), 1)).alias("held"), F.count(F.lit(1)).alias("n"))
 
 
-@q("SELECT event_type, user_id, round(avg(value), 4) AS mean, count(value) AS n FROM events GROUP BY GROUPING SETS ((event_type, user_id), (event_type))")
+@q("SELECT event_type, user_id, round(avg(value), 8) AS mean, count(value) AS n FROM events GROUP BY GROUPING SETS ((event_type, user_id), (event_type))")
 def pooled_metrics(t):
-    return E.pooled(t("events"), "event_type", "user_id", "value").select("event_type", "user_id", F.round("mean", 4).alias("mean"), "n")
+    return E.pooled(t("events"), "event_type", "user_id", "value").select("event_type", "user_id", F.round("mean", 8).alias("mean"), "n")
 
 
 @q("SELECT round(12.5 + sum(n * m), 3) AS eta FROM (SELECT event_type, count(*) AS n, median(value) AS m FROM events GROUP BY 1)")

@@ -133,10 +133,10 @@ def session_window(t):
     return S.session(t("events"), "2 hours")
 
 
-@q("SELECT day, event_type, approx, n FROM (SELECT ts::DATE AS day, event_type, count(*) AS n, TRUE AS approx FROM events GROUP BY 1, 2)")
+@q("SELECT day, event_type, approx, n FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, TRUE AS approx FROM events GROUP BY 1, 2)")
 def approximate_users(t):
     """Approximate distinct users within a tenth of the exact number, beside exact counts."""
-    g = t("events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("user_id", 0.01).alias("a"), F.countDistinct("user_id").alias("u"))
+    g = t("events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("user_id", 0.01).alias("a"), F.countDistinct("user_id").alias("u"))
     return g.select("day", "event_type", (F.abs(F.col("a") - F.col("u")) <= F.greatest(F.lit(1), F.col("u") / 10)).alias("approx"), "n")
 
 
