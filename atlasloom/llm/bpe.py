@@ -16,7 +16,7 @@ import numpy as np
 PRE_TOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters that both engines put into the same class; Latin, Greek, Cyrillic letters and common marks, without superscripts and fractions.
 NOT_PLAIN = re.compile(r"[^\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏΑ-ΡΣ-ϿЀ-ҁ‐-‧]")
-CACHE_WORDS = 500_000
+CACHE_WORDS = 700_000
 #: Longer pre-tokens are not kept, which bounds the bytes of a cache.
 LONGEST_KEPT = 64
 

@@ -56,6 +56,12 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
 
 
+def sampled(docs: DataFrame, text: str, rows: int, most_bytes: int = 1 << 16) -> DataFrame:
+    """Up to `rows` texts of at most `most_bytes` each, as a table of one column. Few partitions are read, and the driver holds rows * most_bytes at most."""
+    found = docs.select(F.col(text).alias("text")).where(F.octet_length("text") <= most_bytes).take(rows)
+    return docs.sparkSession.createDataFrame([(r.text,) for r in found], "text string").coalesce(1)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,7 +1,7 @@
 r"""Quality rules: a short-circuit cascade in DataFrame and SQL functions only.
 
 Every rule is a Boolean SQL expression over features of the text. Its cost and its selectivity are estimated on a
-bounded sample (`sample_rows`, 2000 by default), then the rules run as one CASE in order of rejection per cost, so
+bounded sample (`sample_rows`, 2000 by default, of at most 64 KB), then the rules run as one CASE in order of rejection per cost, so
 that a row leaves at the first rule that rejects it. The order decides speed alone: a row is kept if no rule rejects
 it, whichever the order, and every row and every whole text is judged.
 
@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from atlasloom.llm import common
+
 #: A position takes the low bits of a sort key, a hash of the window the others.
 POSITION_BITS = 20
 LOW = (1 << POSITION_BITS) - 1
@@ -95,17 +97,14 @@ RULES = (
 
 def ordered(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = 2000) -> list[tuple[Rule, float, float]]:
     """Rules by rejection per cost on a bounded sample, with the seconds and the rejected share of each."""
-    known = features(text)
-    sample = docs.select(text).limit(sample_rows).persist()
-    try:
-        n = max(1, sample.count())
-        found = []
-        for rule in rules:
-            began = time.perf_counter()
-            rejected = sample.agg(F.sum(F.expr(rule.sql(known)).cast("long"))).first()[0] or 0
-            found.append((rule, time.perf_counter() - began, rejected / n))
-    finally:
-        sample.unpersist()
+    known = features("text")
+    sample = common.sampled(docs, text, sample_rows)
+    n = max(1, sample.count())
+    found = []
+    for rule in rules:
+        began = time.perf_counter()
+        rejected = sample.agg(F.sum(F.expr(rule.sql(known)).cast("long"))).first()[0] or 0
+        found.append((rule, time.perf_counter() - began, rejected / n))
     return sorted(found, key=lambda x: (-x[2] / max(x[1], 1e-9), x[0].name))
 
 

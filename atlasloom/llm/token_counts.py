@@ -1,6 +1,6 @@
 r"""Token counts without a shuffle: a two-tier map-side lookup.
 
-A bounded sample (`sample_rows`, 2000 by default) gives the frequent pre-tokens. Their lengths in tokens, at most
+A bounded sample (`sample_rows`, 2000 by default, of at most 64 KB) gives the frequent pre-tokens. Their lengths in tokens, at most
 `table_words` entries of at most 64 characters, are broadcast as one compact table: that bound holds at every size of
 the corpus. A worker adds up table entries; a pre-token that is not in the table is encoded by the library once and
 kept in the worker's bounded cache. The sample decides speed alone: every whole text is counted exactly.
@@ -39,7 +39,7 @@ def _frequent(path: str, words: int):
 
 def length_table(docs: DataFrame, path: str, text: str = "text", sample_rows: int = 2000, table_words: int = TABLE_WORDS) -> tuple[str, bytes]:
     """The frequent pre-tokens, NUL-separated, and one byte with the length of each; at most `table_words`."""
-    sample = docs.select(text).where(F.col(text).isNotNull()).limit(sample_rows).coalesce(1)
+    sample = common.sampled(docs, text, sample_rows)
     rows = [r for r in sample.mapInArrow(_frequent(path, table_words), "word string, n int").collect() if "\0" not in r.word]
     return "\0".join(r.word for r in rows), bytes(r.n for r in rows)
 
