@@ -68,6 +68,16 @@ def budget_edge(points: DataFrame, axes: list[str], most: int, tolerance: float
     return high
 
 
+def budgeted(points: DataFrame, axes: list[str], most: int, order: list[str]) -> DataFrame:
+    """The first row of each voxel at the budget's edge, with `edge`; at edge 0 every place keeps its first row, or every row if all fit."""
+    edge = budget_edge(points, axes, most)
+    if edge:
+        return voxel_pick(points, dict.fromkeys(axes, edge), order).drop(*[f"i_{a}" for a in axes]).withColumn("edge", F.lit(edge))
+    if points.count() > most:
+        points = points.groupBy(*axes).agg(F.min_by(F.struct(*points.columns), F.struct(*order)).alias("row")).select("row.*")
+    return points.withColumn("edge", F.lit(0.0))
+
+
 def mad(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Median, robust sigma and count per group, in two aggregates joined by the group."""
     middle = rows.groupBy(*by).agg(F.median(value).alias("median"), F.count(value).alias("n"))

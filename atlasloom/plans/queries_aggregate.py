@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from atlasloom.functions import geometry as G
 from atlasloom.functions import text as T
 from atlasloom.operators import aggregates as A
-from atlasloom.operators import grid
+from atlasloom.functions import codecs
+from atlasloom.operators import grid, solvers
 from atlasloom.plans.base import Registry
 
 q = Registry()
@@ -57,8 +58,7 @@ def box_thin_points(t):
 def budget_grid(t):
     """Smallest edge whose voxels fit the budget, and their first rows."""
     parts = t("part").withColumn("size", F.col("p_size").cast("double"))
-    edge = A.budget_edge(parts, ["size", "p_retailprice"], 200)
-    return A.voxel_pick(parts, {"size": edge, "p_retailprice": edge}, ["p_partkey"]).select("p_partkey", "p_size", "p_retailprice", F.lit(edge).alias("edge"))
+    return A.budgeted(parts, ["size", "p_retailprice"], 200, ["p_partkey"]).select("p_partkey", "p_size", "p_retailprice", "edge")
 
 
 @q("""SELECT o_orderpriority, round(m, 4) AS median, round(1.4826 * d, 4) AS sigma, n FROM
@@ -307,3 +307,46 @@ def rle_runs(t):
 @q("SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, max(length(text)) AS longest FROM documents GROUP BY 1, 2")
 def document_counts(t):
     return t("documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+def _matched(t, bx, by, bz):
+    rows = t("lineitem").select("l_returnflag", F.col("l_quantity").alias("ax"), (F.col("l_discount") * 100).alias("ay"), (F.col("l_tax") * 100).alias("az"))
+    return rows.withColumns({"bx": bx, "by": by, "bz": bz})
+
+
+@q("SELECT l_returnflag, count(*) AS n, 2.0 AS scale, TRUE AS turned, 3.0 AS tx FROM lineitem GROUP BY 1")
+def similarity_fit(t):
+    """A quarter turn about the up axis, twice the size, moved by three."""
+    fit = solvers.similarity(_matched(t, -2 * F.col("ay") + 3, 2 * F.col("ax") + 1, 2 * F.col("az")), ["l_returnflag"])
+    return fit.select("l_returnflag", "n", F.round("scale", 6).alias("scale"), (F.abs(F.col("rotation")[3] - 1) < 1e-9).alias("turned"), F.round(F.col("translation")[0], 6).alias("tx"))
+
+
+@q("SELECT l_returnflag, count(*) AS n, 90.0 AS yaw_deg, 3.0 AS tx, 1.0 AS ty, 2.0 AS tz FROM lineitem GROUP BY 1")
+def upright_fit(t):
+    fit = solvers.upright(_matched(t, -F.col("ay") + 3, F.col("ax") + 1, F.col("az") + 2), ["l_returnflag"])
+    return fit.select("l_returnflag", "n", *[F.round(c, 6).alias(c) for c in ("yaw_deg", "tx", "ty", "tz")])
+
+
+@q("SELECT l_returnflag, count(*) AS n, 2.0 AS a, 3.0 AS b, 1.0 AS c FROM lineitem GROUP BY 1")
+def plane_fit(t):
+    rows = t("lineitem").select("l_returnflag", F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y")).withColumn("z", 2 * F.col("x") + 3 * F.col("y") + 1)
+    return solvers.plane(rows, ["l_returnflag"]).select("l_returnflag", "n", *[F.round(c, 6).alias(c) for c in "abc"])
+
+
+@q("SELECT l_suppkey % 5 AS g, TRUE AS level FROM lineitem GROUP BY 1")
+def robust_plane(t):
+    """A level floor among a fifth of outliers."""
+    rows = t("lineitem").select((F.col("l_suppkey") % 5).alias("g"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), F.when(F.col("l_orderkey") % 5 == 0, F.col("l_extendedprice") / 1000 + 5).otherwise(0.0).alias("z"))
+    return solvers.robust_plane(rows, ["g"]).select("g", ((F.col("nz") > 0.999) & (F.abs("d") < 0.01)).alias("level"))
+
+
+@q("SELECT user_id, TRUE AS same FROM events GROUP BY 1")
+def rle_codec(t):
+    """Run lengths through their text form and back."""
+    runs = t("events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list("event_id")), lambda x: (x % 4000).cast("int")).alias("counts"))
+    return runs.select("user_id", (codecs.decode_rle(codecs.encode_rle("counts")) == F.col("counts")).alias("same"))
+
+
+@q("SELECT vec_id, TRUE AS same FROM embeddings")
+def array_codec(t):
+    return t("embeddings").select("vec_id", (codecs.decode_array(codecs.encode_array("embedding")) == F.col("embedding")).alias("same"))

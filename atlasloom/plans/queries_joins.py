@@ -14,13 +14,13 @@ q = Registry()
 QUERIES, ORACLE_SQL = q.queries, q.sql
 
 COSINE = "SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE abs(a.vec_id - b.vec_id) > {gap}"
-RANKED = "SELECT query_id, vec_id, round(score, 4) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM ({c})) WHERE r <= {k}"
+RANKED = "SELECT query_id, vec_id, score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM ({c})) WHERE r <= {k}"
 
 
 @q("SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (" + RANKED.format(c=COSINE.format(gap=0), k=5) + ")")
 def topk_cosine(t):
     e = t("embeddings")
-    return joins.nearest_vectors(e, e, 5).select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
+    return joins.nearest_vectors(e, e, 5).select("query_id", "vec_id", "score", "rank")
 
 
 @q("SELECT DISTINCT least(query_id, vec_id) AS lo, greatest(query_id, vec_id) AS hi FROM (" + RANKED.format(c=COSINE.format(gap=20), k=3) + ")")
@@ -163,13 +163,6 @@ def left_default(t):
     return t("customer").join(n, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders"), (F.coalesce("n", F.lit(0)) > 0).alias("active"))
 
 
-@q("""WITH c AS (SELECT l_suppkey % 40 AS a, l_partkey % 60 AS b, sum(l_quantity) AS w FROM lineitem WHERE l_orderkey % 1 = 0 GROUP BY 1, 2) SELECT count(*) AS n FROM (SELECT 1 FROM c LIMIT 40)""")
-def greedy_match_size(t):
-    """Greedy one-to-one matching of a complete pair table matches every row of the smaller side."""
-    c = t("lineitem").groupBy((F.col("l_suppkey") % 40).alias("a"), (F.col("l_partkey") % 60).alias("b")).agg(F.sum("l_quantity").alias("w")).withColumn("g", F.lit(0))
-    return joins.greedy_match(c, ["g"], "a", "b", "w").agg(F.count(F.lit(1)).alias("n"))
-
-
 @q()
 def greedy_match(t):
     c = t("lineitem").groupBy((F.col("l_suppkey") % 40).alias("a"), (F.col("l_partkey") % 60).alias("b")).agg(F.sum("l_quantity").alias("w")).withColumn("g", F.lit(0))
