@@ -105,21 +105,30 @@ class Encoder(Pieces):
         new = used.difference(self.kept)
         if len(self.kept) + len(new) > self.limit:
             self.kept = {w: self.kept[w] for w in used if w in self.kept}
-        words = [w for w in new if w[0] == " " and w[1:].isalpha()]
-        for k in range(0, len(words), 5000):
-            part = words[k : k + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.type)
-            ends, at = np.cumsum([len(w.encode()) for w in part]), np.cumsum(self.lengths[ids])
-            cut = np.searchsorted(at, ends)
-            if len(at) and at[-1] == ends[-1] and (at[cut] == ends).all():
-                data, last = ids.tobytes(), 0
-                for word, end in zip(part, ((cut + 1) * self.type.itemsize).tolist(), strict=True):
-                    self.kept[word] = data[last:end]
-                    last = end
+        spaced = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        bare = [w for w in new if w.isalpha()]
+        for words, lead in ((spaced, ""), (bare, "\n")):
+            for k in range(0, len(words), 5000):
+                self._learn_together(words[k : k + 5000], lead)
         for word in new:
             if word not in self.kept:
                 self.kept[word] = self._ask(word)
 
+    def _learn_together(self, words: list[str], lead: str) -> None:
+        """Words that stay pre-tokens of their own in one text: spaced ones side by side, bare ones each after a line end, which is one id."""
+        text = lead + lead.join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
+        size = [len(w) for w in words] if text.isascii() else [len(w.encode()) for w in words]
+        ends, at = np.cumsum(np.array(size) + len(lead)), np.cumsum(self.lengths[ids])
+        cut = np.searchsorted(at, ends)
+        if not len(at) or at[-1] != ends[-1] or (at[cut] != ends).any():
+            return
+        data, width, last = ids.tobytes(), self.type.itemsize, 0
+        skip = width * len(lead)
+        for word, end in zip(words, ((cut + 1) * width).tolist(), strict=True):
+            self.kept[word] = data[last + skip : end]
+            last = end
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         cut = [[p if k % 2 else PRE_TOKEN.findall(p) for k, p in enumerate(self.segments(t))] if self.plain(t) else None for t in texts]
         used: set[str] = set()
