@@ -16,7 +16,7 @@ import numpy as np
 PRE_TOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters that both engines put into the same class; Latin, Greek, Cyrillic letters and common marks, without superscripts and fractions.
 NOT_PLAIN = re.compile(r"[^\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏΑ-ΡΣ-ϿЀ-ҁ‐-‧]")
-CACHE_WORDS = 700_000
+CACHE_WORDS = 450_000
 #: Longer pre-tokens are not kept, which bounds the bytes of a cache.
 LONGEST_KEPT = 64
 
@@ -86,13 +86,15 @@ class Encoder(Pieces):
     """Ids of whole texts as little-endian bytes.
 
     Texts come in groups. The group's new pre-tokens go to the library together: words after a space in one string,
-    whose ids are cut where the words end, all others singly. At the bound, a worker keeps what the group uses.
+    whose ids are cut where the words end, bare words each after a line end, all others singly. At the bound, a worker
+    keeps the words before as an older generation, from which what is used again moves up.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         super().__init__(path)
         self.type, self.limit = id_type(self.tokenizer), limit
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         #: Bytes of text behind each id; byte-level pieces have one character for each byte.
         self.lengths = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
         for piece, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
@@ -104,7 +106,10 @@ class Encoder(Pieces):
     def _learn(self, used: set[str]) -> None:
         new = used.difference(self.kept)
         if len(self.kept) + len(new) > self.limit:
-            self.kept = {w: self.kept[w] for w in used if w in self.kept}
+            self.older, self.kept = self.kept, {w: self.kept[w] for w in used if w in self.kept}
+        again = [w for w in new if w in self.older]
+        self.kept.update((w, self.older[w]) for w in again)
+        new.difference_update(again)
         spaced = [w for w in new if w[0] == " " and w[1:].isalpha()]
         bare = [w for w in new if w.isalpha()]
         for words, lead in ((spaced, ""), (bare, "\n")):
