@@ -12,11 +12,15 @@ import re
 
 import numpy as np
 
+from atlasloom.llm import pretokens
+
 #: The pre-token pattern of this vocabulary, written for Python's `re` (fixed value; equal to the library's on texts that PLAIN matches).
 PRE_TOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters that both engines put into the same class; Latin, Greek, Cyrillic letters and common marks, without superscripts and fractions.
 NOT_PLAIN = re.compile(r"[^\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏΑ-ΡΣ-ϿЀ-ҁ‐-‧]")
-CACHE_WORDS = 450_000
+CACHE_WORDS = 400_000
+#: Slots of a worker's table of pre-tokens, as a power of two; 12 bytes each.
+TABLE_BITS = 22
 #: Longer pre-tokens are not kept, which bounds the bytes of a cache.
 LONGEST_KEPT = 64
 
@@ -85,42 +89,33 @@ class Pieces:
 class Encoder(Pieces):
     """Ids of whole texts as little-endian bytes.
 
-    Texts come in groups. The group's new pre-tokens go to the library together: words after a space in one string,
-    whose ids are cut where the words end, bare words each after a line end, all others singly. At the bound, a worker
-    keeps the words before as an older generation, from which what is used again moves up.
+    Texts come in groups. A group is cut into pre-tokens at once; those that the table lacks go to the library
+    together: words after a blank side by side in one string, whose ids are cut where the words end, bare words each
+    after a line end, all others singly. At its bound the table begins anew.
     """
 
-    def __init__(self, path: str, limit: int = CACHE_WORDS):
+    def __init__(self, path: str, bits: int = TABLE_BITS):
         super().__init__(path)
-        self.type, self.limit = id_type(self.tokenizer), limit
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.type = id_type(self.tokenizer)
+        self.table = pretokens.Table(self.type, bits)
         #: Bytes of text behind each id; byte-level pieces have one character for each byte.
         self.lengths = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
         for piece, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.lengths[i] = len(piece)
 
-    def _ask(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
-
-    def _learn(self, used: set[str]) -> None:
-        new = used.difference(self.kept)
-        if len(self.kept) + len(new) > self.limit:
-            self.older, self.kept = self.kept, {w: self.kept[w] for w in used if w in self.kept}
-        again = [w for w in new if w in self.older]
-        self.kept.update((w, self.older[w]) for w in again)
-        new.difference_update(again)
-        spaced = [w for w in new if w[0] == " " and w[1:].isalpha()]
-        bare = [w for w in new if w.isalpha()]
-        for words, lead in ((spaced, ""), (bare, "\n")):
-            for k in range(0, len(words), 5000):
-                self._learn_together(words[k : k + 5000], lead)
-        for word in new:
-            if word not in self.kept:
-                self.kept[word] = self._ask(word)
-
-    def _learn_together(self, words: list[str], lead: str) -> None:
-        """Words that stay pre-tokens of their own in one text: spaced ones side by side, bare ones each after a line end, which is one id."""
+    def _ask(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
+
+    def _learned(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each of many pre-tokens."""
+        out: dict[str, np.ndarray] = {}
+        # A blank and what follows it is one pre-token, whatever stands before the blank.
+        for chosen, lead in (([w for w in words if w[0] == " " and w[1:2] > " "], ""), ([w for w in words if w.isalpha()], "\n")):
+            for k in range(0, len(chosen), 5000):
+                self._together(chosen[k : k + 5000], lead, out)
+        return [out[w] if w in out else self._ask(w) for w in words]
+
+    def _together(self, words: list[str], lead: str, out: dict[str, np.ndarray]) -> None:
         text = lead + lead.join(words)
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
         size = [len(w) for w in words] if text.isascii() else [len(w.encode()) for w in words]
@@ -128,22 +123,38 @@ class Encoder(Pieces):
         cut = np.searchsorted(at, ends)
         if not len(at) or at[-1] != ends[-1] or (at[cut] != ends).any():
             return
-        data, width, last = ids.tobytes(), self.type.itemsize, 0
-        skip = width * len(lead)
-        for word, end in zip(words, ((cut + 1) * width).tolist(), strict=True):
-            self.kept[word] = data[last + skip : end]
+        last, skip = 0, len(lead)
+        for word, end in zip(words, (cut + 1).tolist(), strict=True):
+            out[word] = ids[last + skip : end]
             last = end
 
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Table numbers of the pre-tokens of plain texts without added tokens, and each text's first one, with the end."""
+        whole, begin, length, h, first = pretokens.cut(texts)
+        if self.table.full:
+            self.table.clear()
+        words = self.table.find(h)
+        new = np.flatnonzero(words < 0)
+        if len(new):
+            value, once = np.unique(h[new], return_index=True)
+            at = new[once]
+            listed = [whole[b : b + n] for b, n in zip(begin[at].tolist(), length[at].tolist(), strict=True)]
+            self.table.add(value, self._learned(listed))
+            words[new] = self.table.find(h[new])
+        return words, first
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        cut = [[p if k % 2 else PRE_TOKEN.findall(p) for k, p in enumerate(self.segments(t))] if self.plain(t) else None for t in texts]
-        used: set[str] = set()
-        for parts in cut:
-            for words in (parts or ())[::2]:
-                used.update(words)
-        self._learn(used)
-        get = self.kept.__getitem__
-        special = {s: np.array([i], self.type).tobytes() for s, i in self.special.items()}
-        return [self._ask(t) if parts is None else b"".join(special[p] if k % 2 else b"".join(map(get, p)) for k, p in enumerate(parts)) for t, parts in zip(texts, cut, strict=True)]
+        quick = [k for k, t in enumerate(texts) if self.plain(t) and not (self.cut and any(s in t for s in self.special))]
+        words, first = self.numbers([texts[k] for k in quick])
+        ids, size = self.table.joined(words)
+        ends = np.concatenate([[0], np.cumsum(size)])[first]
+        out: list[bytes] = [b""] * len(texts)
+        data, width = ids.tobytes(), self.type.itemsize
+        for k, a, b in zip(quick, (ends[:-1] * width).tolist(), (ends[1:] * width).tolist(), strict=True):
+            out[k] = data[a:b]
+        for k in set(range(len(texts))).difference(quick):
+            out[k] = self._ask(texts[k]).tobytes()
+        return out
 
 
 class Counter(Pieces):

@@ -31,6 +31,7 @@ from atlasloom.llm import bpe, common
 #: Bytes before, after and at the start of a payload.
 HEAD, TAIL, META = 12, 4, 8
 READ_BYTES = 16 << 20
+GROUP_CHARACTERS = 2 << 20
 
 
 def masked(data: bytes) -> int:
@@ -58,10 +59,16 @@ def unframe(data, at: int = 0) -> tuple[np.ndarray, int]:
     return np.frombuffer(payload, f"<u{width}", n, META), end + TAIL
 
 
-def encoded(encoder, texts: pa.Array):
-    """Ids of each text, some hundred texts at a time."""
-    for k in range(0, len(texts), 512):
-        yield from encoder.encode_many([t or "" for t in texts[k : k + 512].to_pylist()])
+def encoded(encoder, texts: pa.Array, most: int = GROUP_CHARACTERS):
+    """Ids of each text, in groups of some megabytes."""
+    group, size = [], 0
+    for t in texts:
+        group.append(t.as_py() or "")
+        size += len(group[-1])
+        if size >= most:
+            yield from encoder.encode_many(group)
+            group, size = [], 0
+    yield from encoder.encode_many(group)
 
 
 def opened(uri: str):

@@ -117,7 +117,7 @@ def test_damage_is_noticed():
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(list("ab Z'st\n\t\r\x1c é½²_1.9-<|endoftext|>中👍 ")), max_size=40), max_size=4))
 def test_pre_tokens_agree_with_the_library(texts):
-    encoder, counter = bpe.Encoder(bpe_path(), limit=20), bpe.Counter(bpe_path(), {"a": 1})
+    encoder, counter = bpe.Encoder(bpe_path(), bits=5), bpe.Counter(bpe_path(), {"a": 1})
     want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(b, encoder.type).tolist() for b in encoder.encode_many(texts)] == want
     assert [counter.count(t) for t in texts] == [len(w) for w in want]
