@@ -18,10 +18,9 @@ from atlasloom.llm import pretokens
 PRE_TOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters that both engines put into the same class; Latin, Greek, Cyrillic letters and common marks, without superscripts and fractions.
 NOT_PLAIN = re.compile(r"[^\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏΑ-ΡΣ-ϿЀ-ҁ‐-‧]")
-CACHE_WORDS = 400_000
 #: Slots of a worker's table of pre-tokens, as a power of two; 12 bytes each.
 TABLE_BITS = 22
-#: Longer pre-tokens are not kept, which bounds the bytes of a cache.
+#: Longer pre-tokens do not enter the broadcast table.
 LONGEST_KEPT = 64
 
 _loaded: dict = {}
@@ -44,50 +43,16 @@ def id_type(tokenizer) -> np.dtype:
     return np.dtype("<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
 
 
-class _Kept(dict):
-    """Values by string; misses are asked for once. Two generations: at the bound the older one is forgotten, and what is used again moves up."""
-
-    def __init__(self, ask, pinned: dict | None = None, limit: int = CACHE_WORDS):
-        super().__init__(pinned or {})
-        self.ask, self.pinned, self.limit, self.older = ask, pinned or {}, limit, {}
-
-    def __missing__(self, word: str):
-        value = self.older.get(word)
-        if value is None:
-            value = self.ask(word)
-        if len(word) <= LONGEST_KEPT:
-            self.put(word, value)
-        return value
-
-    def put(self, word: str, value) -> None:
-        if len(self) >= self.limit + len(self.pinned):
-            self.older = dict(self)
-            self.clear()
-            self.update(self.pinned)
-        self[word] = value
-
-
 class Pieces:
-    """Splits texts as the library does: its added tokens first, then pre-tokens."""
+    """The library's tokenizer and its added tokens."""
 
     def __init__(self, path: str):
         self.tokenizer = library(path)
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.special = {t.content: i for i, t in added.items()}
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        #: Added tokens that take white space or words into account are left to the library.
-        self.whole_words = any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def plain(self, text: str) -> bool:
-        return NOT_PLAIN.search(text) is None and not (self.whole_words and self.cut.search(text))
 
-    def segments(self, text: str) -> list[str]:
-        """Text and special strings by turns."""
-        return self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
-
-
-class Encoder(Pieces):
-    """Ids of whole texts as little-endian bytes.
+class Grouped(Pieces):
+    """Values of the pre-tokens of groups of texts.
 
     Texts come in groups. A group is cut into pre-tokens at once; those that the table lacks go to the library
     together: words after a blank side by side in one string, whose ids are cut where the words end, bare words each
@@ -97,12 +62,22 @@ class Encoder(Pieces):
     def __init__(self, path: str, bits: int = TABLE_BITS):
         super().__init__(path)
         self.type = id_type(self.tokenizer)
-        self.table = pretokens.Table(self.type, bits)
+        self.table = pretokens.Table(self.value_type(), bits)
         #: Bytes of text behind each id; byte-level pieces have one character for each byte.
         self.lengths = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
         for piece, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.lengths[i] = len(piece)
 
+    def value_type(self):
+        return self.type
+
+    def values(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """What the table keeps of ids: all numbers in a row, and how many of each."""
+        return np.concatenate(ids), np.array([len(i) for i in ids], np.int64)
+
+    def renewed(self) -> None:
+        self.table.clear()
+
     def _ask(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
 
@@ -132,19 +107,27 @@ class Encoder(Pieces):
         """Table numbers of the pre-tokens of plain texts without added tokens, and each text's first one, with the end."""
         whole, begin, length, h, first = pretokens.cut(texts)
         if self.table.full:
-            self.table.clear()
+            self.renewed()
         words = self.table.find(h)
         new = np.flatnonzero(words < 0)
         if len(new):
             value, once = np.unique(h[new], return_index=True)
             at = new[once]
             listed = [whole[b : b + n] for b, n in zip(begin[at].tolist(), length[at].tolist(), strict=True)]
-            self.table.add(value, self._learned(listed))
+            self.table.add(value, *self.values(self._learned(listed)))
             words[new] = self.table.find(h[new])
         return words, first
 
+    def quick(self, texts: list[str]) -> list[int]:
+        """Texts that are cut here; the others go to the library whole."""
+        return [k for k, t in enumerate(texts) if NOT_PLAIN.search(t) is None and not any(s in t for s in self.special)]
+
+
+class Encoder(Grouped):
+    """Ids of whole texts as little-endian bytes."""
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        quick = [k for k, t in enumerate(texts) if self.plain(t) and not (self.cut and any(s in t for s in self.special))]
+        quick = self.quick(texts)
         words, first = self.numbers([texts[k] for k in quick])
         ids, size = self.table.joined(words)
         ends = np.concatenate([[0], np.cumsum(size)])[first]
@@ -157,21 +140,31 @@ class Encoder(Pieces):
         return out
 
 
-class Counter(Pieces):
-    """Token counts of whole texts: a pinned table of frequent pre-tokens first, then this worker's cache, then the library."""
+class Counter(Grouped):
+    """Token counts of whole texts: the frequent pre-tokens' lengths first, then what this worker has learned, then the library."""
 
-    def __init__(self, path: str, table: dict[str, int] | None = None):
-        super().__init__(path)
-        self.kept = _Kept(self._ask, table)
+    def __init__(self, path: str, frequent: tuple[np.ndarray, np.ndarray] | None = None, bits: int = TABLE_BITS):
+        super().__init__(path, bits)
+        self.frequent = frequent
+        self.renewed()
+
+    def value_type(self):
+        return np.uint32
 
-    def _ask(self, word: str) -> int:
-        return len(self.tokenizer.encode(word, add_special_tokens=False))
+    def values(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([len(i) for i in ids], np.uint32), np.ones(len(ids), np.int64)
 
-    def count(self, text: str) -> int:
-        if not self.plain(text):
-            return self._ask(text)
-        get = self.kept.__getitem__
-        return sum(1 if k % 2 else sum(map(get, PRE_TOKEN.findall(part))) for k, part in enumerate(self.segments(text)))
+    def renewed(self) -> None:
+        self.table.clear()
+        if self.frequent is not None and len(self.frequent[0]):
+            self.table.add(*self.frequent, np.ones(len(self.frequent[0]), np.int64))
+
+    def count_many(self, texts: list[str]) -> list[int]:
+        quick = self.quick(texts)
+        words, first = self.numbers([texts[k] for k in quick])
+        sums = np.concatenate([[0], np.cumsum(self.table.flat[self.table.offset[words]], dtype=np.int64)])[first]
+        out = dict(zip(quick, np.diff(sums).tolist(), strict=True))
+        return [out[k] if k in out else len(self._ask(t)) for k, t in enumerate(texts)]
 
 
 def encoder(path: str) -> Encoder:
@@ -181,10 +174,10 @@ def encoder(path: str) -> Encoder:
     return _loaded["encoder", path]
 
 
-def counter(path: str, name: str, table) -> Counter:
-    """`table` is called once for each worker process and broadcast name."""
+def counter(path: str, name: str, frequent) -> Counter:
+    """`frequent` is called once for each worker process and broadcast name."""
     if ("counter", path, name) not in _loaded:
         for old in [k for k in _loaded if k[:2] == ("counter", path)]:
             del _loaded[old]
-        _loaded["counter", path, name] = Counter(path, table())
+        _loaded["counter", path, name] = Counter(path, frequent())
     return _loaded["counter", path, name]

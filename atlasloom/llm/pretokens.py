@@ -91,8 +91,8 @@ class Table:
             self.word[at[own]] = number[left[own]]
             left, at = left[~own], (at[~own] + 1) & ((1 << self.bits) - 1)
 
-    def add(self, h: np.ndarray, values: list[np.ndarray]) -> None:
-        """Distinct unknown hashes and their values; one group of texts may make the table larger, until it is cleared."""
+    def add(self, h: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        """Distinct unknown hashes, their values one after another and the size of each; one group of texts may make the table larger, until it is cleared."""
         if self.n + len(h) > 0.7 * (1 << self.bits):
             held = self.slot != 0
             known, numbers = self.slot[held], self.word[held]
@@ -101,15 +101,13 @@ class Table:
             self.slot, self.word = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
             self._place(known, numbers)
         self._place(h, np.arange(self.n, self.n + len(h), dtype=np.int32))
-        size = np.array([len(v) for v in values], np.int64)
         while self.n + len(h) + 1 > len(self.offset):
             self.offset = np.concatenate([self.offset, np.zeros_like(self.offset)])
-        while self.used + int(size.sum()) > len(self.flat):
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.offset[self.n + 1 : self.n + len(h) + 1] = self.used + np.cumsum(size)
-        if len(values):
-            self.flat[self.used : self.used + int(size.sum())] = np.concatenate(values)
-        self.n, self.used = self.n + len(h), self.used + int(size.sum())
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.n, self.used = self.n + len(h), self.used + len(flat)
 
     def sizes(self, words: np.ndarray) -> np.ndarray:
         return self.offset[words + 1] - self.offset[words]
@@ -133,3 +131,12 @@ def cut(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.n
     h = word_hashes(points, begin, length)
     h[h == 0] = 1
     return whole, begin, length, h, np.searchsorted(begin, offsets)
+
+
+def hashes(words: list[str]) -> np.ndarray:
+    """Hashes of single pre-tokens, as `cut` gives them."""
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    length = np.array([len(w) for w in words], np.int64)
+    h = word_hashes(points, np.cumsum(length) - length, length)
+    h[h == 0] = 1
+    return h

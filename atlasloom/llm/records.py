@@ -59,16 +59,16 @@ def unframe(data, at: int = 0) -> tuple[np.ndarray, int]:
     return np.frombuffer(payload, f"<u{width}", n, META), end + TAIL
 
 
-def encoded(encoder, texts: pa.Array, most: int = GROUP_CHARACTERS):
-    """Ids of each text, in groups of some megabytes."""
+def grouped(texts: pa.Array, most: int = GROUP_CHARACTERS):
+    """Texts, nulls empty, in groups of some megabytes."""
     group, size = [], 0
     for t in texts:
         group.append(t.as_py() or "")
         size += len(group[-1])
         if size >= most:
-            yield from encoder.encode_many(group)
+            yield group
             group, size = [], 0
-    yield from encoder.encode_many(group)
+    yield group
 
 
 def opened(uri: str):
@@ -95,7 +95,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, key:
             for batch in batches:
                 sizes, counts = [], []
                 out = out or store.open_output_stream(f"{where}/{name}")
-                for ids in encoded(encoder, batch.column(1)):
+                for ids in (i for group in grouped(batch.column(1)) for i in encoder.encode_many(group)):
                     record = frame(ids + end, width)
                     out.write(record)
                     sizes.append(len(record))

@@ -1,9 +1,9 @@
 r"""Token counts without a shuffle: a two-tier map-side lookup.
 
 A bounded sample (`sample_rows`, 2000 by default, of at most 64 KB) gives the frequent pre-tokens. Their lengths in tokens, at most
-`table_words` entries of at most 64 characters, are broadcast as one compact table: that bound holds at every size of
-the corpus. A worker adds up table entries; a pre-token that is not in the table is encoded by the library once and
-kept in the worker's bounded cache. The sample decides speed alone: every whole text is counted exactly.
+`table_words` pairs of a 64-bit hash and a length, are broadcast as one compact table: that bound holds at every size of
+the corpus. A worker adds up table entries by hash; a pre-token that is not in the table is encoded by the library
+once and kept in the worker's bounded table. The sample decides speed alone: every whole text is counted exactly.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows are counted each for itself; an empty
 table gives an empty result; further columns are ignored.
@@ -14,11 +14,12 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlasloom.llm import bpe, common
+from atlasloom.llm import bpe, common, pretokens, records
 
 TABLE_WORDS = 65_536
 OUT = "n_tokens bigint"
@@ -31,17 +32,17 @@ def _frequent(path: str, words: int):
             for text in batch.column(0).to_pylist():
                 found.update(w for w in bpe.PRE_TOKEN.findall(text or "") if len(w) <= bpe.LONGEST_KEPT)
         kept = [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:words]]
-        counts = bpe.Counter(path)
-        yield pa.RecordBatch.from_pydict({"word": pa.array(kept, pa.string()), "n": pa.array([counts._ask(w) for w in kept], pa.int32())})
+        lengths = [len(i) for i in bpe.encoder(path)._learned(kept)]
+        value, once = np.unique(pretokens.hashes(kept), return_index=True) if kept else (np.empty(0, np.uint64), np.empty(0, int))
+        yield pa.RecordBatch.from_pydict({"h": pa.array(value.view(np.int64)), "n": pa.array(np.array(lengths, np.int64)[once])})
 
     return count
 
 
-def length_table(docs: DataFrame, path: str, text: str = "text", sample_rows: int = 2000, table_words: int = TABLE_WORDS) -> tuple[str, bytes]:
-    """The frequent pre-tokens, NUL-separated, and one byte with the length of each; at most `table_words`."""
-    sample = common.sampled(docs, text, sample_rows)
-    rows = [r for r in sample.mapInArrow(_frequent(path, table_words), "word string, n int").collect() if "\0" not in r.word]
-    return "\0".join(r.word for r in rows), bytes(r.n for r in rows)
+def length_table(docs: DataFrame, path: str, text: str = "text", sample_rows: int = 2000, table_words: int = TABLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the frequent pre-tokens and their lengths in tokens; at most `table_words`, 12 bytes each."""
+    found = common.sampled(docs, text, sample_rows).mapInArrow(_frequent(path, table_words), "h bigint, n bigint").toArrow()
+    return found["h"].to_numpy().view(np.uint64), found["n"].to_numpy().astype(np.uint32)
 
 
 def counted(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 512, sample_rows: int = 2000, table_words: int = TABLE_WORDS) -> DataFrame:
@@ -50,15 +51,10 @@ def counted(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     table = docs.sparkSession.sparkContext.broadcast(length_table(docs, path, text, sample_rows, table_words))
     name = uuid.uuid4().hex
 
-    def unpack() -> dict[str, int]:
-        words, lengths = table.value
-        return dict(zip(words.split("\0"), lengths, strict=True)) if lengths else {}
-
     def count(batches):
-        counter = bpe.counter(path, name, unpack)
+        counter = bpe.counter(path, name, lambda: table.value)
         for batch in batches:
-            texts = batch.column(1)
-            n = pa.array([counter.count(t.as_py() or "") for t in texts], pa.int64())
+            n = pa.array([c for group in records.grouped(batch.column(1)) for c in counter.count_many(group)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n], names=[key, "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(key), F.col(text).alias("_text"), F.octet_length(common.text_or_empty(text)).cast("long").alias("n_bytes"))

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from atlasloom.llm import bpe, common, decontam, quality, records, sharding, token_counts
+from atlasloom.llm import bpe, common, decontam, pretokens, quality, records, sharding, token_counts
 from atlasloom.llm.queries import QUERIES, bpe_path
 from tests.llm.conftest import pairs_of
 
@@ -117,10 +117,10 @@ def test_damage_is_noticed():
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(list("ab Z'st\n\t\r\x1c é½²_1.9-<|endoftext|>中👍 ")), max_size=40), max_size=4))
 def test_pre_tokens_agree_with_the_library(texts):
-    encoder, counter = bpe.Encoder(bpe_path(), bits=5), bpe.Counter(bpe_path(), {"a": 1})
+    encoder, counter = bpe.Encoder(bpe_path(), bits=5), bpe.Counter(bpe_path(), (pretokens.hashes(["a"]), np.array([1], np.uint32)), bits=5)
     want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(b, encoder.type).tolist() for b in encoder.encode_many(texts)] == want
-    assert [counter.count(t) for t in texts] == [len(w) for w in want]
+    assert counter.count_many(texts) == [len(w) for w in want]
 
 
 def plain_windows(text, items):
