@@ -512,7 +512,8 @@ def components(docs: DataFrame, percent: int = 85, shingle: int = 4, key: str =
 
     linked = connected_components(links, folder=folder).withColumnRenamed("node", "x")
     rooted = nodes.select("x", "id").join(linked, "x", "left").select("x", "id", F.coalesce("component", "x").alias("root"))
-    firsts = rooted.groupBy("root").agg(F.min("id").alias("component"))
+    # Written first, so that the join below has its own exchanges, which Spark can split at a very large component.
+    firsts = cut(rooted.groupBy("root").agg(F.min("id").alias("component")), "firsts")
     labels = rooted.select("x", "root").join(firsts, "root").select("x", "component", "root")
     out = documents.select("id", *(["row"] if row else []), "n", "x").join(labels, "x", "left")
     return out.select(F.col("id").alias(key), *([F.col("row").alias(row)] if row else []), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("x").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"), "root")
@@ -528,7 +529,7 @@ def one_of_each(docs: DataFrame, percent: int = 80, shingle: int = 5, key: str =
     slim = marked.select(F.col(k).alias("_k"), F.col(r).alias("_r"), F.col(text).alias("_t"))
     found = common.written(components(slim, percent, shingle, "_k", "_t", row="_r"), "jaccard-rows")
     rows = found.where("n_shingles > 0").groupBy("_k", "_r").agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("copies"))
-    first = rows.groupBy("root").agg(F.min(F.struct("_k", "_r")).alias("first"))
+    first = common.written(rows.groupBy("root").agg(F.min(F.struct("_k", "_r")).alias("first")), "jaccard-firsts")
     marks = rows.join(first, "root").select("_k", "_r", "copies", F.struct("_k", "_r").eqNullSafe(F.col("first")).alias("stays"))
     out = marked.join(marks.where("NOT stays").hint("shuffle_hash"), F.col(k).eqNullSafe(F.col("_k")) & (F.col(r) == F.col("_r")), "left_anti")
     if not marks.where("stays AND copies > 1").isEmpty():
