@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,7 @@ class Registry:
     def __call__(self, sql: str | None = None):
         def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
             def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+                ship(spark)
                 if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
                     checkpoint_folder(spark)
                 return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
@@ -30,6 +33,14 @@ class Registry:
         return add
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it is not installed."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    have = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in have:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
+
+
 def checkpoint_folder(spark: SparkSession) -> None:
     """The cluster's shared folder for checkpoints; a local one only where none is set."""
     import tempfile
