@@ -12,9 +12,6 @@ from atlasloom.plans.base import Registry
 q = Registry()
 QUERIES, ORACLE_SQL = q.queries, q.sql
 
-BOXES = "SELECT l_orderkey, l_linenumber AS det_id, l_shipmode AS label, l_extendedprice AS score, CAST(l_quantity AS DOUBLE) AS x0, l_discount * 100 AS y0, l_quantity + 10.0 AS x1, l_discount * 100 + 5 AS y1 FROM (SELECT *, l_returnflag AS l_shipmode FROM lineitem)"
-
-
 def _boxes(t):
     return t("lineitem").select((F.col("l_orderkey") % 400).alias("frame"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("det_id"), F.col("l_returnflag").alias("label"), F.col("l_extendedprice").alias("score"), F.col("l_quantity").cast("double").alias("x0"), (F.col("l_discount") * 100).alias("y0"), (F.col("l_quantity") + 10.0).alias("x1"), (F.col("l_discount") * 100 + 5).alias("y1"))
 
