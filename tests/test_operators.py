@@ -189,3 +189,31 @@ def test_polygon(spark):
     one = lambda x, y: spark.range(1).select(geometry.in_polygon(F.lit(x), F.lit(y), p)).first()[0]
     assert one(1.0, 1.0) and not one(5.0, 1.0) and not one(-1.0, 4.0)
     assert spark.range(1).select(geometry.polygon_area(p)).first()[0] == 16.0
+
+
+def test_independent_set(spark):
+    from atlasloom.operators import rules
+
+    rng = random.Random(5)
+    items = list(range(40))
+    pairs = [(a, b) for a in items for b in items if a < b and rng.random() < 0.12]
+    kept = []
+    for i in items:
+        if not any((k, i) in pairs for k in kept):
+            kept.append(i)
+    got = rules.independent_set(spark.createDataFrame([(i,) for i in items], "item int"), spark.createDataFrame(pairs, "a int, b int"))
+    assert sorted(r.item for r in got.collect()) == kept
+
+
+def test_keyframe_scale_needs_a_majority(spark):
+    from atlasloom.operators import rules
+
+    rows = spark.createDataFrame([("a", 2.0, 0.1), ("a", 2.02, 0.1), ("a", 9.0, 0.1), ("b", 1.0, 0.1), ("b", 3.0, 0.1)], "g string, s double, e double")
+    got = {r.g: r.scale for r in rules.keyframe_scale(rows, ["g"], "s", "e").collect()}
+    assert got["a"] == pytest.approx((2.0 * 2.02) ** 0.5) and got["b"] is None
+
+
+def test_palette_is_stable():
+    from atlasloom.operators import rules
+
+    assert rules.palette(5) == rules.palette(9)[:5] and len(set(rules.palette(60))) == 60
