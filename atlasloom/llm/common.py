@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -62,6 +63,22 @@ def sampled(docs: DataFrame, text: str, rows: int, most_bytes: int = 1 << 16) ->
     return docs.sparkSession.createDataFrame([(r.text,) for r in found], "text string").coalesce(1)
 
 
+def most_frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
+    """At most `most` rows, those of the largest counts: the counts' classes (eighths of a power of two) that fit as a whole.
+
+    A histogram of some hundred classes decides, so no task sends rows that are not wanted.
+    """
+    kind = F.floor(F.log2(count) * 8)
+    sizes = rows.where(F.col(count) > 0).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()
+    least, total = math.inf, 0
+    for r in sorted(sizes, key=lambda r: -r.kind):
+        total += r.n
+        if total > most:
+            break
+        least = r.kind
+    return rows.where((F.col(count) > 0) & (kind >= F.lit(float(least))))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

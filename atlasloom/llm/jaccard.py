@@ -477,7 +477,7 @@ def components(docs: DataFrame, percent: int = 85, shingle: int = 4, key: str =
     counters = cut(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_counted(frequent), "id bigint, n bigint, squares double"), "counters")
     total, squares = counters.where("id < 0").agg(F.sum("n"), F.sum("squares")).first()
     small = boundary(max(0.0, squares / total - 1) if total else 0.0, percent)
-    top = counters.where("id >= 0").orderBy(F.desc("n"), "id").limit(known).select("id", "n").toArrow()
+    top = common.most_frequent(counters.where("id >= 0"), "n", known).select("id", "n").toArrow()
     order = spark.sparkContext.broadcast(Order(top["id"].to_numpy(), top["n"].to_numpy()))
 
     bits = max(4, min(16, math.ceil(math.log2(4 * parts))))

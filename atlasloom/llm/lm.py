@@ -201,7 +201,7 @@ def scored(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     table = common.written(words.mapInArrow(_word_scores(logs), "word binary, train bigint, n bigint, score double"), "lm-scores")
 
     below = tokens + SMOOTH * (distinct + 1)
-    top = table.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(head).collect()
+    top = common.most_frequent(table.where(F.length("word") <= HEAD_BYTES), "n", head).collect()
     shared = spark.sparkContext.broadcast(_Head(top, lambda c: math.log10((c + SMOOTH) / below)))
     rows = docs.select(F.col(key).alias("key"), held_out(key).alias("held_out"), t)
     kind = rows.schema["key"].dataType.simpleString()
