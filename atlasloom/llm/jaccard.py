@@ -286,7 +286,7 @@ def _postings(shingle: int, percent: int, small: int, order, bits: int):
                     keys.append(k)
                     nodes.append(fp)
                     counts.append((len(k), n))
-            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(f[:4], "little") & ((1 << bits) - 1) if f else k & ((1 << bits) - 1) for k, f in enumerate(fps)], pa.int32()), pa.nulls(len(fps), pa.binary()), batch.column(0), pa.array(sizes, pa.int32()), pa.array(fps, pa.binary()), pa.array(maps, pa.binary())], names=NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(fps), dtype=np.int32) & ((1 << bits) - 1)), pa.nulls(len(fps), pa.binary()), batch.column(0), pa.array(sizes, pa.int32()), pa.array(fps, pa.binary()), pa.array(maps, pa.binary())], names=NAMES)
             total = sum(c for c, _ in counts)
             if total:
                 k = np.concatenate(keys)
