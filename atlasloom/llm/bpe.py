@@ -19,7 +19,7 @@ PRE_TOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)
 #: Characters that both engines put into the same class; Latin, Greek, Cyrillic letters and common marks, without superscripts and fractions.
 NOT_PLAIN = re.compile(r"[^\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏΑ-ΡΣ-ϿЀ-ҁ‐-‧]")
 #: Slots of a worker's table of pre-tokens, as a power of two; 12 bytes each.
-TABLE_BITS = 22
+TABLE_BITS = 21
 #: Longer pre-tokens do not enter the broadcast table.
 LONGEST_KEPT = 64
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import os
 import tempfile
@@ -57,6 +58,30 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
 
 
+def lean(run):
+    """A worker function that gives freed memory back when its task ends; workers live on through other stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return wrapped
+
+
+def released() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def sampled(docs: DataFrame, text: str, rows: int, most_bytes: int = 1 << 16) -> DataFrame:
     """Up to `rows` texts of at most `most_bytes` each, as a table of one column. Few partitions are read, and the driver holds rows * most_bytes at most."""
     found = docs.select(F.col(text).alias("text")).where(F.octet_length("text") <= most_bytes).take(rows)

@@ -193,7 +193,7 @@ def flagged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automat
                     n.append(len(found))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int32()), pa.array(n, pa.int64())], names=batch.schema.names)
 
-        out = out.mapInArrow(stream, rows.schema)
+        out = out.mapInArrow(common.lean(stream), rows.schema)
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], F.col("_n").alias("n_words"), F.col("_s").alias("hit_start"), F.col("_e").alias("hit_end"), F.col("_i").alias("item_ids"), F.col("_l").alias("longest"))
 
 
@@ -258,5 +258,5 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_co
                         changed[count] = pa.array(sizes, batch.schema.field(count).type)
                 yield pa.RecordBatch.from_arrays(list(changed), schema=batch.schema).filter(pa.array(keep, pa.bool_()))
 
-        positional = positional.mapInArrow(stream, positional.schema)
+        positional = positional.mapInArrow(common.lean(stream), positional.schema)
     return positional.toDF(*names)

@@ -473,8 +473,8 @@ def components(docs: DataFrame, percent: int = 85, shingle: int = 4, key: str =
     cut = lambda df, name: (df.write.parquet(f"{folder}/{name}"), spark.read.schema(df.schema).parquet(f"{folder}/{name}"))[1]
     t = F.coalesce(F.col(text), F.lit("")).cast("binary")
 
-    blobs = docs.select(t.alias("t")).mapInArrow(_counter_blobs(shingle), "bucket int, blob binary")
-    counters = cut(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_counted(frequent), "id bigint, n bigint, squares double"), "counters")
+    blobs = docs.select(t.alias("t")).mapInArrow(common.lean(_counter_blobs(shingle)), "bucket int, blob binary")
+    counters = cut(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(common.lean(_counted(frequent)), "id bigint, n bigint, squares double"), "counters")
     total, squares = counters.where("id < 0").agg(F.sum("n"), F.sum("squares")).first()
     small = boundary(max(0.0, squares / total - 1) if total else 0.0, percent)
     top = common.most_frequent(counters.where("id >= 0"), "n", known).select("id", "n").toArrow()
@@ -483,14 +483,14 @@ def components(docs: DataFrame, percent: int = 85, shingle: int = 4, key: str =
     bits = max(4, min(16, math.ceil(math.log2(4 * parts))))
     ids = docs.select(F.struct(F.col(key).alias("id"), *([F.col(row).alias("row")] if row else [])).alias("key"), t.alias("t"))
     kind = ids.schema["key"].dataType.simpleString()
-    posted = ids.mapInArrow(_postings(shingle, percent, small, order, bits), f"bucket int, blob binary, key {kind}, n int, x binary, map binary")
-    found = cut(posted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(percent, short), f"kind tinyint, key {kind}, n int, x binary, y binary"), "candidates")
+    posted = ids.mapInArrow(common.lean(_postings(shingle, percent, small, order, bits)), f"bucket int, blob binary, key {kind}, n int, x binary, map binary")
+    found = cut(posted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(common.lean(_candidates(percent, short)), f"kind tinyint, key {kind}, n int, x binary, y binary"), "candidates")
     documents = found.where(F.col("kind") == DOCUMENT).select("key.*", "n", "x", F.col("y").alias("map"))
     nodes = cut(documents.where("x IS NOT NULL").groupBy("x").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("map").alias("map")), "nodes")
 
     pairs = found.where(F.col("kind") == PAIR).select("x", "y").distinct()
     sides = [nodes.select(F.col("x").alias(s), F.col("n").alias(f"n{s}"), F.col("map").alias(f"b{s}")) for s in "xy"]
-    likely = pairs.join(sides[0], "x").join(sides[1], "y").select("x", "y", "nx", "bx", "ny", "by").mapInArrow(_bounded(percent), "x binary, y binary")
+    likely = pairs.join(sides[0], "x").join(sides[1], "y").select("x", "y", "nx", "bx", "ny", "by").mapInArrow(common.lean(_bounded(percent)), "x binary, y binary")
     ties = found.where(F.col("kind") == MEMBER).select("x", "y").union(likely)
     groups = connected_components(ties, "x", "y", folder).withColumnRenamed("node", "x")
 
@@ -506,9 +506,9 @@ def components(docs: DataFrame, percent: int = 85, shingle: int = 4, key: str =
     tasks = whole.union(blocks.join(each, ["component", "block"]).select("x", "id", "n", "component", "tasks"))
     # Null keys meet null keys; the fingerprint tells whose text it is.
     texts = docs.select(F.col(key).alias("_id"), t.alias("t")).join(tasks.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("id"))).select("t", "x", "component", "tasks")
-    sets = texts.mapInArrow(_with_sets(shingle), "x binary, component binary, tasks array<struct<i: int, j: int>>, s binary")
+    sets = texts.mapInArrow(common.lean(_with_sets(shingle)), "x binary, component binary, tasks array<struct<i: int, j: int>>, s binary")
     spread = sets.select(F.explode("tasks").alias("task"), "component", "x", "s").select(F.struct("component", "task.i", "task.j").alias("task"), "x", "s")
-    links = cut(spread.repartition(parts, "task").sortWithinPartitions("task", "x").mapInArrow(_scanned(percent), "src binary, dst binary"), "links")
+    links = cut(spread.repartition(parts, "task").sortWithinPartitions("task", "x").mapInArrow(common.lean(_scanned(percent)), "src binary, dst binary"), "links")
 
     linked = connected_components(links, folder=folder).withColumnRenamed("node", "x")
     rooted = nodes.select("x", "id").join(linked, "x", "left").select("x", "id", F.coalesce("component", "x").alias("root"))

@@ -115,7 +115,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, key:
     store.create_dir(where, recursive=True)
     rows = docs.select(F.col(key), F.col(text).alias("_text")).repartitionByRange(files or common.partitions(spark), F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), F.col("_text").asc_nulls_first())
     kind = rows.schema[key].dataType.simpleString()
-    rows.mapInArrow(encode, f"`{key}` {kind}, part int, ordinal bigint, file string, offset bigint, length bigint, part_start bigint, n_tokens bigint").write.parquet(f"{path}/index")
+    rows.mapInArrow(common.lean(encode), f"`{key}` {kind}, part int, ordinal bigint, file string, offset bigint, length bigint, part_start bigint, n_tokens bigint").write.parquet(f"{path}/index")
     return index(spark, path)
 
 
@@ -164,4 +164,4 @@ def read(found: DataFrame, path: str, digest: bool = False, keep: tuple[str, ...
             f.close()
 
     kinds = ", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in keep)
-    return found.select("file", "offset", "length", *keep).mapInArrow(load, f"{kinds}, " + ("n_read bigint, ids_crc32 bigint" if digest else "ids array<bigint>"))
+    return found.select("file", "offset", "length", *keep).mapInArrow(common.lean(load), f"{kinds}, " + ("n_read bigint, ids_crc32 bigint" if digest else "ids array<bigint>"))
