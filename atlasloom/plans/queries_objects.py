@@ -28,6 +28,14 @@ def overlapping_boxes(t):
     return O.overlapping(_boxes(t).where("frame < 40"), "frame", "det_id", 0.5).select("frame", "det_id", "det_id_b", F.round("iou", 6).alias("iou"))
 
 
+@q("""WITH b AS (SELECT l_orderkey % 400 AS frame, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS det_id, l_quantity AS x0, l_discount * 100 AS y0, l_quantity + 10.0 AS x1, l_discount * 100 + 5 AS y1 FROM lineitem),
+      j AS (SELECT a.frame, a.det_id, c.det_id AS det_id_b, greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) * greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) AS i FROM b a JOIN b c ON a.frame = c.frame AND a.det_id < c.det_id)
+      SELECT frame, det_id, det_id_b, round(i / (100 - i), 6) AS iou FROM j WHERE i / (100 - i) >= 0.5""")
+def overlapping_boxes_all(t):
+    """Pairs of every frame; `overlapping_boxes` has a tenth of the frames, as its SQL has."""
+    return O.overlapping(_boxes(t), "frame", "det_id", 0.5).select("frame", "det_id", "det_id_b", F.round("iou", 6).alias("iou"))
+
+
 @q("""WITH v AS (SELECT user_id AS object_id, event_id AS version, event_type = 'view' AS seen, CAST(floor(value) AS BIGINT) AS through, 100 AS judged FROM events), l AS (SELECT object_id, max(version) FILTER (seen) AS s FROM v GROUP BY 1),
       c AS (SELECT v.object_id, count(*) FILTER (through / judged >= 0.6) AS gone, count(*) FILTER (through / judged <= 0.4) AS in_place, bool_or(through / judged >= 0.7) AS sure FROM v JOIN l USING (object_id) WHERE s IS NULL OR version > s GROUP BY 1)
       SELECT l.object_id, coalesce(gone, 0) AS gone, coalesce(in_place, 0) AS in_place, coalesce(gone, 0) > coalesce(in_place, 0) AND (coalesce(gone, 0) >= 2 OR (coalesce(gone, 0) = 1 AND coalesce(sure, FALSE))) AS struck FROM l LEFT JOIN c USING (object_id)""")
@@ -51,6 +59,14 @@ def object_affinity(t):
     return t("embeddings").where(i >= 0.5).select("vec_id", F.round(O.affinity(i, k, d, F.lit(1.0), F.lit(True), F.lit(False)), 4).alias("affinity"))
 
 
+@q("""SELECT vec_id, round(CASE WHEN alike AND near >= 0.3 THEN near WHEN NOT alike AND least(i, k) >= 0.7 THEN least(i, k) WHEN cut AND i >= 0.5 THEN greatest(0.3, 0.7 * i) END, 4) AS affinity
+      FROM (SELECT *, greatest(i, k, greatest(0, least(1, 1 - d / 0.65))) AS near FROM (SELECT vec_id, (vec_id % 11) / 10.0 AS i, (vec_id % 7) / 6.0 AS k, (vec_id % 13) / 10.0 AS d, vec_id % 3 > 0 AS alike, vec_id % 2 = 0 AS cut FROM embeddings))""")
+def object_affinity_all(t):
+    """Every row, with labels and image borders that reach each branch; `object_affinity` has the rows that its SQL has."""
+    v = F.col("vec_id")
+    return t("embeddings").select("vec_id", F.round(O.affinity((v % 11) / 10.0, (v % 7) / 6.0, (v % 13) / 10.0, F.lit(1.0), v % 3 > 0, v % 2 == 0), 4).alias("affinity"))
+
+
 @q("""SELECT c_custkey AS id, s AS sid, round(c_acctbal / 1000 - h, 5) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY round(abs(c_acctbal / 1000 - h), 2), a DESC, s) AS r FROM
       (SELECT c_custkey, c_acctbal, s_suppkey AS s, s_acctbal / 1000 AS h, s_nationkey + 1.0 AS a FROM customer JOIN supplier ON c_nationkey + 0.5 BETWEEN s_nationkey AND s_nationkey + 1 AND 0.5 BETWEEN 0 AND 1 AND c_acctbal / 1000 - s_acctbal / 1000 BETWEEN -0.05 AND 0.3)) WHERE r = 1""")
 def support_relations(t):
