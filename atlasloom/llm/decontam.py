@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from atlasloom.llm import common
 
@@ -148,19 +149,19 @@ class Automaton:
         return spans, items, longest
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, automaton_words: int = AUTOMATON_WORDS, item: str = "item_id", text: str = "text") -> Iterable[Automaton]:
-    """One automaton after another; items stream through the driver, one partition of the test set at a time."""
+def dealt(benchmark: DataFrame, window: int = WINDOW, automaton_words: int = AUTOMATON_WORDS, item: str = "item_id", text: str = "text") -> Iterable[tuple[Automaton, bool]]:
+    """One automaton after another, each with whether it is the last; items stream through the driver, one partition of the test set at a time."""
     held: list[tuple[str, bytes]] = []
     size = 0
     rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).cast("binary").alias("t")).where("t IS NOT NULL")
     for r in rows.toLocalIterator():
         n = len(words(bytes(r.t)))
         if held and size + n > automaton_words:
-            yield Automaton(held, window)
+            yield Automaton(held, window), False
             held, size = [], 0
         held.append((r.i if r.i is not None else "", bytes(r.t)))
         size += n
-    yield Automaton(held, window)
+    yield Automaton(held, window), True
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_words: int = AUTOMATON_WORDS, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -170,7 +171,7 @@ def flagged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automat
     names = [f"_k{k}" for k in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).cast("binary").alias("_text"), F.lit(None).cast("array<int>").alias("_s"), F.lit(None).cast("array<int>").alias("_e"), F.lit(None).cast("array<string>").alias("_i"), F.lit(0).alias("_l"), F.lit(0).cast("long").alias("_n"))
     out = rows
-    for automaton in automata(benchmark, window, automaton_words):
+    for automaton, _ in dealt(benchmark, window, automaton_words):
         shared = spark.sparkContext.broadcast(automaton)
 
         def stream(batches, shared=shared):
@@ -222,41 +223,56 @@ def without(text: str, machine_spans: list[tuple[int, int]]) -> str:
 def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_coverage: float = 0.5, automaton_words: int = AUTOMATON_WORDS, text: str = "text", chars: str = "n_chars") -> DataFrame:
     """The documents without contaminated spans; a document with more than `most_coverage` of its words hit goes as a whole.
 
-    A span is contaminated if it is matched over `window` words, or over a whole shorter item. Rows without a hit are
+    A span is contaminated if it is matched over `window` words, or over a whole shorter item. Spans of all automata are
+    gathered on the untouched text; coverage is judged, and the text cut, once, with the last one. Rows without a hit are
     passed on unchanged, null texts too; where the text changes, `chars` (if there is such a column) is counted anew.
     """
     spark = docs.sparkSession
     common.ship(spark)
     names = docs.columns
-    at, count = names.index(text), names.index(chars) if chars in names else None
-    positional = docs.toDF(*[f"_c{k}" for k in range(len(names))])
-    for automaton in automata(benchmark, window, automaton_words):
+    width, at, count = len(names), names.index(text), names.index(chars) if chars in names else None
+    positional = docs.toDF(*[f"_c{k}" for k in range(width)])
+    plain = positional.schema
+    carried = StructType([*plain.fields, StructField("_s", ArrayType(IntegerType())), StructField("_e", ArrayType(IntegerType()))])
+    first = True
+    for automaton, last in dealt(benchmark, window, automaton_words):
         shared = spark.sparkContext.broadcast(automaton)
 
-        def stream(batches, shared=shared):
+        def stream(batches, shared=shared, first=first, last=last):
             machine = shared.value
             for batch in batches:
-                keep, texts, changed = [], {}, batch.columns
-                for k, t in enumerate(batch.column(at)):
+                own, kinds = batch.columns[:width], list(batch.schema)[:width]
+                before = None if first else [c.to_pylist() for c in batch.columns[width:]]
+                starts, ends, keep, texts = [], [], [], {}
+                for k, t in enumerate(own[at]):
                     t = t.as_py()
                     found = words(t.encode()) if t else []
                     spans, _, _ = machine.hits(found)
+                    if before and before[0][k]:
+                        spans = merged([*zip(before[0][k], before[1][k], strict=True), *spans])
+                    if not last:
+                        starts.append([a for a, _ in spans])
+                        ends.append([b for _, b in spans])
+                        continue
                     hit = sum(b - a for a, b in spans)
                     keep.append(hit <= most_coverage * len(found))
                     if hit and keep[-1]:
                         texts[k] = without(t, spans)
+                if not last:
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=[*[f.name for f in kinds], "_s", "_e"])
+                    continue
                 if texts:
-                    values = batch.column(at).to_pylist()
+                    values = own[at].to_pylist()
                     for k, t in texts.items():
                         values[k] = t
-                    changed = list(changed)
-                    changed[at] = pa.array(values, batch.schema.field(at).type)
+                    own[at] = pa.array(values, kinds[at].type)
                     if count is not None:
-                        sizes = batch.column(count).to_pylist()
+                        sizes = own[count].to_pylist()
                         for k, t in texts.items():
                             sizes[k] = len(t)
-                        changed[count] = pa.array(sizes, batch.schema.field(count).type)
-                yield pa.RecordBatch.from_arrays(list(changed), schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+                        own[count] = pa.array(sizes, kinds[count].type)
+                yield pa.RecordBatch.from_arrays(own, schema=pa.schema(kinds)).filter(pa.array(keep, pa.bool_()))
 
-        positional = positional.mapInArrow(common.lean(stream), positional.schema)
+        positional = positional.mapInArrow(common.lean(stream), plain if last else carried)
+        first = False
     return positional.toDF(*names)

@@ -167,6 +167,18 @@ def test_decontamination_removes_spans(spark, odd):
     assert decontam.cleaned(docs, bench.limit(0)).count() == 4
 
 
+@pytest.mark.parametrize("chunk", [1, 25])
+def test_decontamination_is_the_same_with_more_automata(spark, chunk):
+    w = [f"v{k}" for k in range(300)]
+    said = lambda a, b: " ".join(w[a:b])
+    items = [(1, said(0, 10)), (2, said(5, 15)), (3, said(100, 110)), (4, said(120, 130)), (5, said(200, 205) + " " + said(215, 220))]
+    docs = [(1, said(0, 60)), (2, said(100, 110) + " " + said(240, 244) + " " + said(120, 130) + " " + said(250, 259)), (3, said(200, 220) + " " + said(260, 290)), (4, said(200, 205) + " " + said(100, 110) + " " + said(215, 220) + " " + said(260, 290)), (5, None)]
+    docs, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string").coalesce(1)
+    got = {r.doc_id: r.text for r in decontam.cleaned(docs, bench, automaton_words=chunk).collect()}
+    assert got == {r.doc_id: r.text for r in decontam.cleaned(docs, bench).collect()}
+    assert got == {1: " " + said(15, 60), 3: said(200, 220) + " " + said(260, 290), 4: said(200, 205) + "  " + said(215, 220) + " " + said(260, 290), 5: None}
+
+
 @pytest.mark.parametrize("table", ["odd", "documents", "nothing"])
 def test_sharding(request, spark, table):
     docs = request.getfixturevalue(table)
