@@ -71,37 +71,73 @@ def plane(points: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, "n", "a", "b", (F.col("mz") - F.col("a") * F.col("mx") - F.col("b") * F.col("my")).alias("c"))
 
 
-def _ransac(rounds: int, tolerance: float, seed: int, by: list[str]):
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[["x", "y", "z"]].to_numpy(float)
+def _hypotheses(rounds: int, seed: int, by: list[str]):
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = np.repeat(pdf[["x", "y", "z"]].to_numpy(float), pdf["_copies"].to_numpy(np.int64), axis=0)
         p = p[np.lexsort(p.T[::-1])]
-        rng, best = np.random.default_rng(seed), None
-        for _ in range(rounds if len(p) >= 3 else 0):
-            a, b, c = p[rng.choice(len(p), 3, replace=False)]
-            normal = np.cross(b - a, c - a)
-            size = np.linalg.norm(normal)
-            if size > 1e-12:
-                inside = np.abs((p - a) @ (normal / size)) <= tolerance
-                if best is None or inside.sum() > best.sum():
-                    best = inside
-        out = pdf[by].head(1).copy()
-        if best is None:
-            return out.assign(nx=None, ny=None, nz=None, d=None, inliers=0)
-        q = p[best]
-        normal = np.linalg.svd(q - q.mean(0))[2][2]
-        normal = normal * (np.sign(normal[2]) or 1.0)
-        return out.assign(nx=normal[0], ny=normal[1], nz=normal[2], d=float(-normal @ q.mean(0)), inliers=int(best.sum()))
+        rng = np.random.default_rng(seed)
+        drawn = p[np.array([rng.choice(len(p), 3, replace=False) for _ in range(rounds if len(p) >= 3 else 0)], np.int64).reshape(-1, 3)]
+        a = drawn[:, 0]
+        normal = np.cross(drawn[:, 1] - a, drawn[:, 2] - a)
+        size = np.linalg.norm(normal, axis=1)
+        sound = np.flatnonzero(size > 1e-12)
+        out = pdf[by].iloc[np.zeros(len(sound), np.int64)].reset_index(drop=True)
+        return out.assign(_h=sound, **{f"_{c}": a[sound, k] for k, c in enumerate("xyz")}, **{f"n{c}": normal[sound, k] / size[sound] for k, c in enumerate("xyz")})
+
+    return draw
+
+
+def _refit(by: list[str]):
+    """The plane of least squares through points, from their sums about a point of theirs, with an upward normal."""
+
+    def fit(batches):
+        for pdf in batches:
+            out = pdf[by].copy()
+            s = {c: pdf[c].to_numpy(float) for c in pdf.columns if c not in by}
+            mean = np.stack([s[f"s{c}"] / s["n"] for c in "xyz"], -1).reshape(-1, 3)
+            spread = np.stack([s["s" + min(p, q) + max(p, q)] / s["n"] for p in "xyz" for q in "xyz"], -1).reshape(-1, 3, 3) - mean[:, :, None] * mean[:, None, :]
+            normal = np.linalg.eigh(spread)[1][:, :, 0]
+            normal = normal * np.where(normal[:, 2] < 0, -1.0, 1.0)[:, None]
+            mean = mean + np.stack([s[f"_{c}"] for c in "xyz"], -1).reshape(-1, 3)
+            yield out.assign(**{f"n{c}": normal[:, k] for k, c in enumerate("xyz")}, **{f"_{c}": mean[:, k] for k, c in enumerate("xyz")})
 
     return fit
 
 
-def robust_plane(points: DataFrame, by: list[str], tolerance: float = 0.02, rounds: int = 100, most: int = 20_000, seed: int = 42) -> DataFrame:
-    """Seeded RANSAC plane per group, refitted on its inliers, with an upward normal. A group is thinned evenly by hash to about `most` points first, so a task's memory is bounded."""
-    from pyspark.sql import Window
+def robust_plane(points: DataFrame, by: list[str], tolerance: float = 0.02, rounds: int = 300, most: int = 20_000, seed: int = 42) -> DataFrame:
+    """Seeded RANSAC plane per group, refitted on its inliers, with an upward normal; rows with a null or NaN coordinate don't count.
 
-    w = Window.partitionBy(*by)
-    n = F.count(F.lit(1)).over(w)
-    thin = points.withColumn("_n", n).where(F.pmod(F.xxhash64("x", "y", "z"), F.lit(1_000_000)) * F.col("_n") < F.lit(1_000_000 * most).cast("long")).drop("_n")
+    Hypotheses are drawn from about `most` points of a group: of a place's copies their share, rounded by its hash, so a
+    place that holds much of a group stays. Inliers of each hypothesis, the refit's sums and the inliers that are
+    returned, which are those of the refitted plane, are partial aggregates over every row.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "nx double, ny double, nz double, d double, inliers bigint"])
-    return thin.groupBy(*by).applyInPandas(_ransac(rounds, tolerance, seed, list(by)), schema)
+    keys = [f"`{c}` {kinds[c]}" for c in by]
+    cast = points.select(*by, *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    sound = cast.dropna(subset=["x", "y", "z"])
+
+    def met(rows: DataFrame, planes: DataFrame, how: str = "inner") -> DataFrame:
+        other = planes.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], *[c for c in planes.columns if c not in by])
+        same = F.lit(True)
+        for k, c in enumerate(by):
+            same = same & rows[c].eqNullSafe(other[f"_by{k}"])
+        return rows.join(other, same, how).drop(*[f"_by{k}" for k in range(len(by))])
+
+    away = lambda c: F.col(c) - F.col(f"_{c}")
+    inside = F.abs(sum((away(c) * F.col(f"n{c}") for c in "xyz"), F.lit(0.0))) <= tolerance
+    sizes = sound.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    places = met(sound.groupBy(*by, "x", "y", "z").agg(F.count(F.lit(1)).alias("_count")), sizes)
+    by_hash = F.pmod(F.xxhash64("x", "y", "z", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    copies = F.floor(F.col("_count") * F.least(F.lit(1.0), most / F.col("_n")) + by_hash).cast("long")
+    drawn = places.select(*by, "x", "y", "z", copies.alias("_copies")).where("_copies > 0").groupBy(*by)
+    spot = [f"{c} double" for c in ("_x", "_y", "_z", "nx", "ny", "nz")]
+    tried = drawn.applyInPandas(_hypotheses(rounds, seed, list(by)), ", ".join([*keys, "_h int", *spot]))
+    plane = ["_h", "_x", "_y", "_z", "nx", "ny", "nz"]
+    counts = met(sound, tried).where(inside).groupBy(*by, *plane).agg(F.count(F.lit(1)).alias("_n"))
+    best = counts.groupBy(*by).agg(F.max_by(F.struct(*plane[1:]), F.struct("_n", -F.col("_h"))).alias("_p")).select(*by, "_p.*")
+    sums = [F.sum(away(c)).alias(f"s{c}") for c in "xyz"] + [F.sum(away(p) * away(q)).alias(f"s{p}{q}") for p, q in ("xx", "xy", "xz", "yy", "yz", "zz")]
+    fitted = met(sound, best).where(inside).groupBy(*by, "_x", "_y", "_z").agg(F.count(F.lit(1)).alias("n"), *sums).mapInPandas(_refit(list(by)), ", ".join([*keys, *spot[3:], *spot[:3]]))
+    found = met(sound, fitted).groupBy(*by, *plane[1:]).agg(F.count(F.when(inside, 1)).alias("inliers"))
+    found = found.select(*by, "nx", "ny", "nz", (-sum((F.col(f"_{c}") * F.col(f"n{c}") for c in "xyz"), F.lit(0.0))).alias("d"), "inliers")
+    groups = cast.select(*by).distinct()
+    return met(groups, found, "left").select(*by, "nx", "ny", "nz", "d", F.coalesce("inliers", F.lit(0)).cast("long").alias("inliers"))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from atlasloom.operators import solvers
 from atlasloom.plans import catalogue
 from atlasloom.plans.base import checkpoint_folder
 
@@ -33,3 +34,15 @@ def test_affinity_of_every_row(spark, sf):
         w = want(r.vec_id)
         assert (r.affinity is None) == (w is None) and (w is None or r.affinity == pytest.approx(w, abs=1e-4)), r
     assert {r.affinity is None for r in rows} == {True, False}
+
+
+def test_plane_counts_every_row(spark):
+    n, place = 30_000, 25_000
+    k = F.col("id")
+    flat = spark.range(n).select(F.lit("a").alias("g"), (k % 173).cast("double").alias("x"), (k % 191).cast("double").alias("y"), F.when(k % 5 == 0, 3.0 + k % 89).otherwise(0.01 * (k % 2)).alias("z"))
+    heap = spark.range(place + 9000).select(F.lit(None).cast("string").alias("g"), F.when(k < place, 1.0).otherwise(k % 70).alias("x"), F.when(k < place, 2.0).otherwise(k % 83).alias("y"), F.lit(7.0).alias("z"))
+    few = spark.createDataFrame([("few", 0.0, 0.0, 0.0), ("few", 1.0, 1.0, float("nan")), ("few", 1.0, 1.0, None)], "g string, x double, y double, z double")
+    got = {r.g: r for r in solvers.robust_plane(flat.union(heap).union(few), ["g"]).collect()}
+    assert got["a"].inliers == n - n // 5 and got["a"].nz > 0.999 and abs(got["a"].d) < 0.02
+    assert got[None].inliers == place + 9000 and got[None].nz > 0.999 and got[None].d == pytest.approx(-7.0)
+    assert got["few"].inliers == 0 and got["few"].nx is None
