@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame
@@ -37,6 +38,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", f
         if tuple(now) == last:
             break
         last = tuple(now)
+    else:
+        raise RuntimeError(f"components are not settled after {most_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
@@ -54,11 +57,11 @@ def bounded_paths(edges: DataFrame, starts: DataFrame, hops: int, src: str = "sr
     return seen
 
 
-def reachable_labels(cells: DataFrame, edges: DataFrame, node: str, label: str, most_rounds: int = 100) -> DataFrame:
-    """Breadth-first growth of labels from labelled cells to unlabelled ones: nearest label, ties to the smallest."""
+def reachable_labels(cells: DataFrame, edges: DataFrame, node: str, label: str) -> DataFrame:
+    """Breadth-first growth of labels from labelled cells to unlabelled ones, until the front is empty: nearest label, ties to the smallest."""
     known = cells.where(F.col(label).isNotNull()).select(F.col(node).alias("node"), F.col(label).alias("label"), F.lit(0).alias("steps"))
     front = known
-    for k in range(1, most_rounds + 1):
+    for k in itertools.count(1):
         step = front.join(edges, front["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("label"))
         front = step.join(known, "node", "left_anti").select("node", "label", F.lit(k).alias("steps")).checkpoint()
         if front.isEmpty():
@@ -82,4 +85,6 @@ def spanning_forest(edges: DataFrame, weight: str, src: str = "src", dst: str =
         chosen = chosen.union(best).checkpoint()
         joined = connected_components(chosen, "a", "b").withColumnRenamed("component", "k")
         label = label.select("node").join(joined, "node", "left").select("node", F.coalesce("k", "node").alias("c")).checkpoint()
+    else:
+        raise RuntimeError(f"the forest is not settled after {most_rounds} rounds")
     return chosen

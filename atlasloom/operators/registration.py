@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,7 +99,7 @@ def choose_hypothesis(rows: DataFrame, by: list[str], inliers: str = "inliers",
     return sound.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_b", "_r")
 
 
-def registered_rounds(frames: DataFrame, links: DataFrame, most_rounds: int = 50) -> DataFrame:
+def registered_rounds(frames: DataFrame, links: DataFrame) -> DataFrame:
     """(frame, round): from frames of round 0, all that share a link with a registered frame register together, until none does.
 
     `links` has a and b; `frames` frame and `origin`.
@@ -105,7 +107,7 @@ def registered_rounds(frames: DataFrame, links: DataFrame, most_rounds: int = 50
     both = links.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(links.select("b", "a"))
     done = frames.where("origin").select("frame", F.lit(0).alias("round")).checkpoint()
     front = done
-    for k in range(1, most_rounds + 1):
+    for k in itertools.count(1):
         step = front.join(both, front["frame"] == both["src"]).select(F.col("dst").alias("frame")).distinct()
         front = step.join(done, "frame", "left_anti").withColumn("round", F.lit(k)).checkpoint()
         if front.isEmpty():

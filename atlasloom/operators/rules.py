@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,17 +43,19 @@ def epochs(rows: DataFrame, by: list[str], order: list[str], epoch: str) -> Data
     return j.withColumn("step", F.when(F.lag("run").over(w) == F.col("run"), F.abs(F.col("x") - F.lag("x").over(w))))
 
 
-def replaced(frames: DataFrame, change: float, least: float = 0.01, most_rounds: int = 50) -> DataFrame:
+def replaced(frames: DataFrame, change: float, least: float = 0.01) -> DataFrame:
     """First-order shift of each frame when a scale changes: its share of its lever times the change, the rest from its reference.
 
     `frames`: frame, reference (null for a root), share, lever. Shifts below `least` are 0 and pass 0 on. One round for
-    each level of the references' forest.
+    each level of the references' forest; more rounds than frames mean a frame that has several rows, which is an error.
     """
     own = F.col("share") * F.col("lever") * F.lit(change)
     flat = lambda c: F.when(F.abs(c) < least, 0.0).otherwise(c)
     done = frames.where("reference IS NULL").select("frame", flat(own).alias("shift")).checkpoint()
-    front = done
-    for _ in range(most_rounds):
+    front, most = done, frames.count()
+    for k in itertools.count():
+        if k > most:
+            raise RuntimeError("a frame has several references, and they form a cycle")
         step = frames.join(front.select(F.col("frame").alias("reference"), F.col("shift").alias("_s")), "reference")
         front = step.select("frame", flat(own + (1 - F.col("share")) * F.col("_s")).alias("shift")).checkpoint()
         if front.isEmpty():
@@ -60,20 +64,21 @@ def replaced(frames: DataFrame, change: float, least: float = 0.01, most_rounds:
     return done
 
 
-def independent_set(items: DataFrame, conflicts: DataFrame, most_rounds: int = 200) -> DataFrame:
+def independent_set(items: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Items that a greedy pass in order keeps: one goes if an earlier kept one conflicts with it.
 
-    Rounds: what has no earlier undecided conflict is kept, and what conflicts with it goes. `items`: item; `conflicts`: a, b.
+    Rounds: what has no earlier undecided conflict is kept, and what conflicts with it goes,
+    until nothing is undecided. `items`: item; `conflicts`: a, b.
     """
     c = conflicts.where("a <> b").select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")).distinct()
     left = items.select("item").checkpoint()
     kept = left.limit(0)
-    for _ in range(most_rounds):
+    for k in itertools.count(1):
         blocked = c.select(F.col("late").alias("item")).distinct()
         now = left.join(blocked, "item", "left_anti").checkpoint()
         if now.isEmpty():
             break
-        kept = kept.union(now)
+        kept = kept.union(now) if k % 20 else kept.union(now).checkpoint()
         gone = c.join(now.select(F.col("item").alias("early")), "early").select(F.col("late").alias("item")).distinct().checkpoint()
         left = left.join(now, "item", "left_anti").join(gone, "item", "left_anti").checkpoint()
         live = left.select("item")

@@ -203,7 +203,7 @@ def geodesic_steps(t):
     e = t("lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst")).distinct()
     both = e.union(e.select("dst", "src"))
     cells = both.select(F.col("src").alias("node")).distinct().withColumn("label", F.when(F.col("node") <= 5, F.col("node")))
-    return graph.reachable_labels(cells, both, "node", "label", 12).select("node", "steps")
+    return graph.reachable_labels(cells, both, "node", "label").select("node", "steps")
 
 
 @q("""WITH RECURSIVE f AS (SELECT DISTINCT l_suppkey AS r, l_linenumber AS c FROM lineitem WHERE l_quantity >= 48), k AS (SELECT *, r * 10 + c AS id FROM f), u AS (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON abs(a.r - b.r) + abs(a.c - b.c) = 1),

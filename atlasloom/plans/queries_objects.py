@@ -132,7 +132,7 @@ def locate_choice(t):
 def registered_rounds(t):
     e = t("lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b")).distinct()
     frames = e.sparkSession.sql("SELECT CAST(1 AS BIGINT) AS frame, TRUE AS origin")
-    return R.registered_rounds(frames, e, 14)
+    return R.registered_rounds(frames, e)
 
 
 @q("SELECT cut, count(*) AS crossing FROM (SELECT unnest(range(CAST(least(a, b) AS BIGINT), CAST(greatest(a, b) AS BIGINT))) AS cut FROM (SELECT l_suppkey AS a, (l_partkey * 7) % 100 AS b FROM lineitem WHERE l_quantity = 1)) GROUP BY 1 HAVING count(*) < 400")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from atlasloom.operators import solvers
+from atlasloom.operators import rules, solvers
 from atlasloom.plans import catalogue
 from atlasloom.plans.base import checkpoint_folder
 
@@ -46,3 +46,20 @@ def test_plane_counts_every_row(spark):
     assert got["a"].inliers == n - n // 5 and got["a"].nz > 0.999 and abs(got["a"].d) < 0.02
     assert got[None].inliers == place + 9000 and got[None].nz > 0.999 and got[None].d == pytest.approx(-7.0)
     assert got["few"].inliers == 0 and got["few"].nx is None
+
+
+@pytest.mark.parametrize(("name", "most"), [("geodesic_steps", 30), ("registered_rounds", 30)])
+def test_chains_are_walked_to_their_end(spark, tmp_path, name, most):
+    links = [(k, k - 1 + d, 50.0) for k in range(1, 17) for d in (0, 1)] if name == "registered_rounds" else [(k + 4, k + d, 50.0) for k in range(1, 17) for d in (0, 1)]
+    spark.createDataFrame(links, "l_suppkey bigint, l_partkey bigint, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = [r[1] for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert max(got) > most and len(got) == 33
+
+
+def test_long_chain_of_references(spark):
+    n = 54
+    frames = spark.createDataFrame([(k, k - 1 if k else None, 0.0 if k else 1.0, 2.0) for k in range(n)], "frame int, reference int, share double, lever double").coalesce(1).checkpoint()
+    assert {r.frame: r["shift"] for r in rules.replaced(frames, 1.0).collect()} == {k: 2.0 for k in range(n)}
+    twice = spark.createDataFrame([(1, None, 1.0, 2.0), (1, 1, 0.0, 2.0)], "frame int, reference int, share double, lever double")
+    with pytest.raises(RuntimeError, match="several references"):
+        rules.replaced(twice, 1.0)
