@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples per pixel by PNG colour type (fixed values).
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
-FOCAL_35MM, FOCAL = 0xA405, 0x920A
+FOCAL_35MM, FOCAL, ORIENTATION = 0xA405, 0x920A, 0x0112
 
 
 def chunks(data: bytes):
@@ -80,30 +80,57 @@ def encode_png(raster: np.ndarray, texts: dict[str, str] | None = None) -> bytes
     return b"".join([SIGNATURE, make(b"IHDR", struct.pack(">IIBBBBB", width, height, bits, colour, 0, 0, 0)), *notes, make(b"IDAT", zlib.compress(body)), make(b"IEND", b"")])
 
 
+def _segments(data: bytes):
+    """(kind, start, end) of a JPEG's segments before its pixels; `start` is where the segment's length stands."""
+    at = 2
+    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+        n = struct.unpack_from(">H", data, at + 2)[0]
+        yield data[at + 1], at + 2, at + 2 + n
+        at += 2 + n
+
+
 def size(head: bytes) -> tuple[int, int] | None:
-    """Width and height from the first bytes of a PNG or JPEG; None where they are not there."""
+    """Width and height from the header of a PNG or JPEG, wherever it lies; None where they are not there."""
     if head[:8] == SIGNATURE:
         return struct.unpack_from(">II", head, 16) if len(head) >= 24 else None
     if head[:2] != b"\xff\xd8":
         return None
-    at = 2
-    while at + 9 <= len(head):
-        if head[at] != 0xFF:
-            return None
-        kind, n = head[at + 1], struct.unpack_from(">H", head, at + 2)[0]
-        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-            h, w = struct.unpack_from(">HH", head, at + 5)
+    for kind, at, _ in _segments(head):
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC) and at + 7 <= len(head):
+            h, w = struct.unpack_from(">HH", head, at + 3)
             return w, h
-        at += 2 + n
     return None
 
 
+def _tiff(data: bytes) -> bytes:
+    """The EXIF block of a JPEG or PNG, empty where it is absent."""
+    if data[:2] == b"\xff\xd8":
+        return next((data[at + 8 : end] for kind, at, end in _segments(data) if kind == 0xE1 and data[at + 2 : at + 8] == b"Exif\0\0"), b"")
+    at = 8 if data[:8] == SIGNATURE else len(data)
+    while at + 8 <= len(data):
+        n, kind = struct.unpack_from(">I4s", data, at)
+        if kind == b"eXIf":
+            return data[at + 8 : at + 8 + n]
+        at += 12 + n
+    return b""
+
+
+def upright_size(data: bytes) -> tuple[int, int] | None:
+    """Width and height after the EXIF orientation."""
+    found, tiff = size(data), _tiff(data)
+    try:
+        order = "<" if tiff[:2] == b"II" else ">"
+        turned = _tags(tiff, struct.unpack_from(order + "I", tiff, 4)[0], order).get(ORIENTATION)
+    except struct.error:
+        turned = None
+    return found[::-1] if found and turned in (5, 6, 7, 8) else found
+
+
 def focal_35mm(data: bytes) -> float | None:
     """Focal length for a frame of 36 mm from a JPEG's EXIF tags, None where it is absent."""
-    at = data.find(b"Exif\0\0")
-    if data[:2] != b"\xff\xd8" or at < 0:
+    tiff = _tiff(data)
+    if data[:2] != b"\xff\xd8" or not tiff:
         return None
-    tiff = data[at + 6 :]
     order = "<" if tiff[:2] == b"II" else ">"
     try:
         first = struct.unpack_from(order + "I", tiff, 4)[0]
@@ -169,14 +196,17 @@ def depths(spark: SparkSession, path: str, scale: float = 0.001, stride: int = 1
 def _heads():
     def run(batches):
         for batch in batches:
-            found = [size(c.as_py()[: 1 << 16]) for c in batch.column(1)]
-            focal = [focal_pixels(c.as_py()[: 1 << 17]) for c in batch.column(1)]
+            found, focal = [], []
+            for c in batch.column(1):
+                content = c.as_py()
+                found.append(upright_size(content))
+                focal.append(focal_pixels(content))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] if f else None for f in found], pa.int32()), pa.array([f[1] if f else None for f in found], pa.int32()), pa.array(focal, pa.float64())], names=["path", "width", "height", "focal_px"])
 
     return run
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
-    """Sizes and focal lengths in pixels of images, without decoding a pixel."""
+    """Upright sizes and focal lengths in pixels of images, from headers wherever they lie, without decoding a pixel."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,png}").load(path).select("path", "content")
     return files.mapInArrow(_heads(), "path string, width int, height int, focal_px double")

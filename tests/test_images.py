@@ -71,3 +71,14 @@ def test_multipart():
     for kind, data in (("text/plain", body), ("multipart/form-data; boundary=B", body[:-8]), ("multipart/form-data; boundary=B", b"--B\r\n\r\nx\r\n--B--")):
         with pytest.raises(ValueError):
             images.multipart(kind, data)
+
+
+@pytest.mark.parametrize(("orientation", "want"), [(1, (720, 480)), (6, (480, 720))])
+def test_late_and_turned_header(spark, tmp_path, orientation, want):
+    tiff = b"II*\0\x08\0\0\0" + struct.pack("<HHHIHH", 2, images.ORIENTATION, 3, 1, orientation, 0) + struct.pack("<HHII", 0x8769, 4, 1, 38) + b"\0\0\0\0" + struct.pack("<HHHIHH", 1, images.FOCAL_35MM, 3, 1, 28, 0) + b"\0\0\0\0"
+    app = b"Exif\0\0" + tiff
+    profile = b"\xff\xe2" + struct.pack(">H", 60_002) + b"p" * 60_000
+    data = b"\xff\xd8" + profile * 3 + b"\xff\xe1" + struct.pack(">H", len(app) + 2) + app + b"\xff\xc0" + struct.pack(">HBHH", 17, 8, 480, 720) + b"\3" * 10
+    (tmp_path / "late.jpg").write_bytes(data)
+    head = images.headers(spark, str(tmp_path)).first()
+    assert (head.width, head.height) == want and head.focal_px == pytest.approx(28 / 36 * 720)
