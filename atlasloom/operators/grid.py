@@ -58,6 +58,33 @@ def inflated(grid: DataFrame, radius: int = 1) -> DataFrame:
     return grid.join(grown, ["row", "col"], "left").withColumn("state", F.when(F.col("_near"), OCCUPIED).otherwise(F.col("state"))).drop("_near")
 
 
+def inflated_walls(grid: DataFrame, edge: float, extent: float = 1.5, thick: int = 4) -> DataFrame:
+    """Walls grow by one cell on the sides where they are thinner than `thick` cells; other occupied cells stay as seen.
+
+    A wall is an 8-connected piece of occupied cells at least `extent` long. `grid`: row, col, state, and if there are
+    such columns `drop` (a drop is no wall and is not grown into) and `top` (a grown cell takes the highest one of the
+    wall cells beside it, null where walls touch its corners only). Grown cells that had no row get one, within the grid's bounds.
+    """
+    dropped = F.coalesce(F.col("drop"), F.lit(False)) if "drop" in grid.columns else F.lit(False)
+    piece = components(grid.where((F.col("state") == OCCUPIED) & ~dropped).select("row", "col"))
+    span = lambda c: F.max(c) - F.min(c) + 1
+    long = piece.groupBy("root_row", "root_col").agg(F.greatest(span("row"), span("col")).alias("_long")).where(F.col("_long") * edge >= extent)
+    wall = piece.join(long, ["root_row", "root_col"], "left_semi").select("row", "col")
+    way = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]))
+    seen = wall.withColumn("_o", way).withColumn("_m", F.explode(F.sequence(F.lit(1), F.lit(thick))))
+    seen = seen.select((F.col("row") - F.col("_m") * F.col("_o.i")).cast("long").alias("row"), (F.col("col") - F.col("_m") * F.col("_o.j")).cast("long").alias("col"), "_o", "_m")
+    grown = seen.groupBy("row", "col", "_o").agg(F.min("_m").alias("_m"), F.count(F.lit(1)).alias("_n")).where((F.col("_m") == 1) & (F.col("_n") < thick)).select("row", "col").distinct()
+    bounds = grid.agg(*[f(c).alias(f"_{k}_{c}") for c in ("row", "col") for k, f in (("lo", F.min), ("hi", F.max))])
+    grown = grown.crossJoin(bounds).where("row BETWEEN _lo_row AND _hi_row AND col BETWEEN _lo_col AND _hi_col").select("row", "col", F.lit(True).alias("_near"))
+    if "top" in grid.columns:
+        tops = neighbours(grid.select("row", "col", "top").join(wall, ["row", "col"]), corners=False).where("NOT isnan(top)")
+        grown = grown.join(tops.groupBy(F.col("n_row").cast("long").alias("row"), F.col("n_col").cast("long").alias("col")).agg(F.max("top").alias("_top")), ["row", "col"], "left")
+    near = F.col("_near") & ((F.col("state") != OCCUPIED) | F.col("state").isNull())
+    out = grid.join(grown, ["row", "col"], "full")
+    out = out.withColumn("top", F.when(near, F.col("_top")).otherwise(F.col("top"))) if "top" in grid.columns else out
+    return out.withColumn("state", F.when(near, OCCUPIED).otherwise(F.col("state"))).select(*grid.columns)
+
+
 def regions(grid: DataFrame, edge: float, least_area: float = 0.25) -> DataFrame:
     """Free cells in 4-connected regions of at least the area: (row, col, root_row, root_col, area)."""
     found = components(grid.where(F.col("state") == FREE), corners=False)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from atlasloom.operators import rules, solvers
+from atlasloom.operators import grid, rules, solvers
 from atlasloom.plans import catalogue
 from atlasloom.plans.base import checkpoint_folder
 
@@ -63,3 +63,31 @@ def test_long_chain_of_references(spark):
     twice = spark.createDataFrame([(1, None, 1.0, 2.0), (1, 1, 0.0, 2.0)], "frame int, reference int, share double, lever double")
     with pytest.raises(RuntimeError, match="several references"):
         rules.replaced(twice, 1.0)
+
+
+def test_only_thin_walls_grow(spark):
+    rows, cols, edge = 24, 40, 0.1
+    occupied = {(2, c) for c in range(3, 22)} | {(r, c) for r in range(8, 13) for c in range(5, 30)} | {(18, 6), (18, 7), (21, 30)} | {(r, 36) for r in range(1, 16)}
+    drop = {(r, 37) for r in range(1, 16)}
+    absent = {(3, c) for c in range(8, 14)} | {(20, 20)}
+    cells = [(r, c, 2 if (r, c) in occupied | drop else 1, (r, c) in drop, float(r)) for r in range(rows) for c in range(cols) if (r, c) not in absent]
+    label = {}
+    for start in sorted(occupied):
+        if start not in label:
+            stack, label[start] = [start], start
+            while stack:
+                r, c = stack.pop()
+                for p in ((r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                    if p in occupied and p not in label:
+                        label[p] = start
+                        stack.append(p)
+    wall = set()
+    for root in set(label.values()):
+        piece = [p for p in label if label[p] == root]
+        if max(max(p[k] for p in piece) - min(p[k] for p in piece) + 1 for k in (0, 1)) * edge >= 1.5:
+            wall |= set(piece)
+    ways = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+    grown = {(r, c) for r in range(rows) for c in range(cols) if (r, c) not in occupied | drop and any((r + i, c + j) in wall and not all((r + m * i, c + m * j) in wall for m in range(1, 5)) for i, j in ways)}
+    got = {(r.row, r.col): r for r in grid.inflated_walls(spark.createDataFrame(cells, "row int, col int, state int, drop boolean, top double"), edge).collect()}
+    assert {p for p, r in got.items() if r.state == 2} == occupied | drop | grown and grown & absent and (18, 8) not in grown and (7, 10) not in grown
+    assert got[3, 9].top == 2.0 and set(got) == {(r, c) for r in range(rows) for c in range(cols)} - (absent - grown)
