@@ -13,14 +13,24 @@ def normalize_label(c) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(col(c), "_", " "), r"\s+", " ")))
 
 
-def natural_key(c, width: int = 12) -> Column:
-    """Sort key under which runs of digits compare as numbers."""
-    parts = F.regexp_extract_all(col(c), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, width, "0")).otherwise(p)), "")
+def padded(c, width: int) -> Column:
+    """Filled up with zeros on the left; longer texts stay whole."""
+    c = col(c)
+    return F.lpad(c, F.greatest(F.lit(width), F.length(c)), F.lit("0"))
+
+
+def natural_key(c) -> Column:
+    """Sort key, an array, under which runs of digits compare as whole numbers of any length and come before text.
+
+    A run of digits is its number of significant digits (ten places) and those digits, a text follows its mark.
+    """
+    parts = F.regexp_extract_all(col(c), F.lit(r"([0-9]+|[^0-9]+)"), 1)
+    number = lambda p: F.concat(F.lit("0"), padded(F.length(p).cast("string"), 10), p)
+    return F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), number(F.ltrim(p, F.lit("0")))).otherwise(F.concat(F.lit("1"), p)))
 
 
 def frame_name(n, width: int = 6) -> Column:
-    return F.concat(F.lit("f"), F.lpad(col(n).cast("string"), width, "0"))
+    return F.concat(F.lit("f"), padded(col(n).cast("string"), width))
 
 
 def hex_colour(r, g, b) -> Column:

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Edges that any node may have before it counts as a hub.
+HUB_DEGREE = 256
+
+
 def _cut(df: DataFrame, folder: str | None) -> DataFrame:
     """Ends the lineage of a round: a table in the shared folder, or a reliable checkpoint."""
     if folder is None:
@@ -18,28 +22,43 @@ def _cut(df: DataFrame, folder: str | None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", folder: str | None = None, most_rounds: int = 60) -> DataFrame:
+def _with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """Edges (u, v) with `m` of their node's row in `least` (u, m, d).
+
+    A hub has over `total / (4 * partitions)` of the edges, so there are at most eight for each partition, and these
+    few are broadcast; all other edges meet their node's row in a join.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    degree = max(HUB_DEGREE, total // (4 * parts))
+    if total <= degree:
+        return rows.join(least.select("u", "m"), "u")
+    hubs = least.where(F.col("d") > degree)
+    light = rows.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.where(F.col("d") <= degree).select("u", "m"), "u")
+    return light.union(rows.join(F.broadcast(hubs.select("u", "m")), "u").select(light.columns))
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", folder: str | None = None) -> DataFrame:
     """(node, component) for every node with an edge to another; the component is its smallest node.
 
     Alternates large-star and small-star until the edges stay the same. Each half round needs the smallest neighbour
-    of every node, a partially aggregated minimum, so the neighbours of a hub never meet in one place.
+    of every node, a partially aggregated minimum. The edges of a hub take it from a broadcast table of the few hubs
+    instead of a join by node, so they never meet in one place.
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
     e = _cut(e, folder)
-    last = None
-    for _ in range(most_rounds):
+    marks = lambda: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    last = marks()
+    for _ in itertools.count():
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d")).withColumn("m", F.least("u", "m"))
+        e = _with_least(both, least, 2 * last[0]).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d"))
+        e = _with_least(e, least, last[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         e = _cut(e, folder)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == last:
+        now = marks()
+        if now == last:
             break
-        last = tuple(now)
-    else:
-        raise RuntimeError(f"components are not settled after {most_rounds} rounds")
+        last = now
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
@@ -70,12 +89,12 @@ def reachable_labels(cells: DataFrame, edges: DataFrame, node: str, label: str)
     return known
 
 
-def spanning_forest(edges: DataFrame, weight: str, src: str = "src", dst: str = "dst", most_rounds: int = 40) -> DataFrame:
+def spanning_forest(edges: DataFrame, weight: str, src: str = "src", dst: str = "dst") -> DataFrame:
     """Maximum spanning forest (Boruvka): each component takes its heaviest outgoing edge, ties by the ends' names."""
     e = edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b"), F.col(weight).cast("double").alias("w")).where("a <> b").groupBy("a", "b").agg(F.max("w").alias("w")).checkpoint()
     label = e.select(F.col("a").alias("node")).union(e.select("b")).distinct().select("node", F.col("node").alias("c"))
     chosen = e.limit(0)
-    for _ in range(most_rounds):
+    while True:
         la, lb = label.select(F.col("node").alias("a"), F.col("c").alias("ca")), label.select(F.col("node").alias("b"), F.col("c").alias("cb"))
         out = e.join(la, "a").join(lb, "b").where("ca <> cb")
         ends = out.select(F.col("ca").alias("c"), "a", "b", "w").union(out.select(F.col("cb").alias("c"), "a", "b", "w"))
@@ -85,6 +104,4 @@ def spanning_forest(edges: DataFrame, weight: str, src: str = "src", dst: str =
         chosen = chosen.union(best).checkpoint()
         joined = connected_components(chosen, "a", "b").withColumnRenamed("component", "k")
         label = label.select("node").join(joined, "node", "left").select("node", F.coalesce("k", "node").alias("c")).checkpoint()
-    else:
-        raise RuntimeError(f"the forest is not settled after {most_rounds} rounds")
     return chosen

@@ -102,12 +102,16 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right
 
 
 def interval_best(left: DataFrame, right: DataFrame, by: list[str], lo: str, hi: str, time: str, cost: Column, take: str) -> DataFrame:
-    """`left` with the `take` of the right row of least cost whose time lies in [lo, hi]; null for an empty window."""
-    key = F.monotonically_increasing_id()
-    l = left.withColumn("_l", key)
-    j = l.join(right, by).where(F.col(time).between(F.col(lo), F.col(hi)))
-    best = j.groupBy("_l").agg(F.min_by(take, F.struct(cost.alias("c"), F.col(time), F.col(take))).alias("best"))
-    return l.join(best, "_l", "left").drop("_l")
+    """`left` with the `take` of the right row of least cost whose time lies in [lo, hi]; null for an empty window.
+
+    Equal rows of `left` have equal answers, so the rows themselves are the key; those with nulls meet each other too.
+    """
+    own = left.columns
+    rows = left.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"))
+    j = rows.join(right, by).where(F.col(time).between(F.col(lo), F.col(hi)))
+    best = j.groupBy(*own).agg(F.min_by(take, F.struct(cost.alias("c"), F.col(time), F.col(take))).alias("best")).select(F.struct(*own).alias("_own"), "best")
+    out = rows.join(best, F.struct(*own).eqNullSafe(F.col("_own")), "left")
+    return out.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).select(*own, "best")
 
 
 def contained(points: DataFrame, areas: DataFrame, inside: Column, x: str, y: str, box: tuple[str, str, str, str], cell: float) -> DataFrame:

@@ -15,6 +15,15 @@ def islands(rows: DataFrame, by: list[str], index: str) -> DataFrame:
     return keyed.groupBy(*by, "_g").agg(F.min(index).alias("run_start"), F.max(index).alias("run_end"), F.count(F.lit(1)).alias("n")).drop("_g")
 
 
+def ranked(rows: DataFrame, order: list[str], rank: str = "rank") -> DataFrame:
+    """Places from 1 in an order over all rows, without one window over them: rows are dealt by range, numbered in their part, and follow all parts before."""
+    dealt = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    sizes = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return dealt.withColumn(rank, own).join(before, "_p").withColumn(rank, (F.col(rank) + F.col("_b")).cast("long")).drop("_p", "_b")
+
+
 def sessions(rows: DataFrame, by: list[str], order: list[str], breaks: Column) -> DataFrame:
     """Rows with a `session` number that grows where `breaks` is true; inside it, `lag` columns may be used."""
     w = Window.partitionBy(*by).orderBy(*order)

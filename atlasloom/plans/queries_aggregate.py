@@ -284,7 +284,7 @@ def html_extract(t):
     return t("pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.length("html").cast("long").alias("n_chars"), F.col("url").startswith("https:").alias("secure"))
 
 
-@q("SELECT event_id, sha256(event_type) AS digest, 'f' || lpad(CAST(event_id AS VARCHAR), 6, '0') AS name FROM events")
+@q("SELECT event_id, sha256(event_type) AS digest, 'f' || lpad(CAST(event_id AS VARCHAR), greatest(6, length(CAST(event_id AS VARCHAR)))::INTEGER, '0') AS name FROM events")
 def names_digests(t):
     return t("events").select("event_id", F.sha2("event_type", 256).alias("digest"), T.frame_name("event_id").alias("name"))
 
@@ -340,13 +340,19 @@ def robust_plane(t):
     return solvers.robust_plane(rows, ["g"]).select("g", ((F.col("nz") > 0.999) & (F.abs("d") < 0.01)).alias("level"))
 
 
-@q("SELECT user_id, TRUE AS same FROM events GROUP BY 1")
+@q("""WITH c AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w) * 37) AS c FROM documents), d AS (SELECT doc_id, list_transform(c, lambda x, i: CASE WHEN i > 3 THEN x - c[i - 2] ELSE x END) AS d FROM c),
+      g AS (SELECT doc_id, list_transform(d, lambda x: array_to_string(list_transform(range(CASE WHEN x BETWEEN -16 AND 15 THEN 1 WHEN x BETWEEN -512 AND 511 THEN 2 WHEN x BETWEEN -16384 AND 16383 THEN 3 WHEN x BETWEEN -524288 AND 524287 THEN 4 ELSE 5 END),
+        lambda k: chr(CAST(48 + CASE WHEN k + 1 < CASE WHEN x BETWEEN -16 AND 15 THEN 1 WHEN x BETWEEN -512 AND 511 THEN 2 WHEN x BETWEEN -16384 AND 16383 THEN 3 WHEN x BETWEEN -524288 AND 524287 THEN 4 ELSE 5 END THEN 32 ELSE 0 END + (x + 33554432) // CAST(pow(32, k) AS BIGINT) % 32 AS INTEGER))), '')) AS g FROM d)
+      SELECT doc_id, sha256(array_to_string(g, '')) AS coded, TRUE AS same FROM g""")
 def rle_codec(t):
-    """Run lengths through their text form and back."""
-    runs = t("events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list("event_id")), lambda x: (x % 4000).cast("int")).alias("counts"))
-    return runs.select("user_id", (codecs.decode_rle(codecs.encode_rle("counts")) == F.col("counts")).alias("same"))
+    """Run lengths as text, and back."""
+    counts = t("documents").select("doc_id", F.transform(F.split("text", " "), lambda w: F.length(w) * 37).alias("counts"))
+    coded = counts.withColumn("c", codecs.encode_rle("counts"))
+    return coded.select("doc_id", F.sha2("c", 256).alias("coded"), (codecs.decode_rle("c") == F.col("counts")).alias("same"))
 
 
-@q("SELECT vec_id, TRUE AS same FROM embeddings")
+@q("""SELECT vec_id, base64(array_to_string(list_transform(embedding, lambda x: array_to_string(list_transform([25, 17, 9, 1], lambda k: substr(CAST(CAST(x AS FLOAT) AS BIT)::VARCHAR, CAST(k AS BIGINT), 8)), '')), '')::BIT::BLOB) AS coded, TRUE AS same FROM embeddings""")
 def array_codec(t):
-    return t("embeddings").select("vec_id", (codecs.decode_array(codecs.encode_array("embedding")) == F.col("embedding")).alias("same"))
+    """Floats as base64 text, and back."""
+    coded = t("embeddings").withColumn("coded", codecs.encode_array("embedding"))
+    return coded.select("vec_id", "coded", (codecs.decode_array("coded") == F.col("embedding")).alias("same"))

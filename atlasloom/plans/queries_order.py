@@ -67,12 +67,7 @@ def sweep_span(t):
 def natural_order(t):
     """Places in natural order; ranks of a total order through a range-partitioned sort and counts, not one window over all rows."""
     rows = t("part").withColumn("k", T.natural_key("p_brand"))
-    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
-    before = sizes.select("k", F.coalesce(F.sum("n").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("k").orderBy("p_partkey"))
-    return rows.withColumn("i", inside).join(before, "k").select("p_partkey", "p_name", (F.col("before") + F.col("i")).cast("int").alias("place"))
+    return W.ranked(rows, ["k", "p_partkey"], "place").select("p_partkey", "p_name", F.col("place").cast("int").alias("place"))
 
 
 @q("SELECT user_id, arg_max(event_type, ROW(ts, event_id)) AS state, max(ts) AS at, count(*) AS n FROM events GROUP BY 1")

@@ -5,6 +5,7 @@ JPEG pixels need a codec that Spark does not bring; their sizes and tags are rea
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
@@ -16,6 +17,11 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples per pixel by PNG colour type (fixed values).
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 FOCAL_35MM, FOCAL, ORIENTATION = 0xA405, 0x920A, 0x0112
+EXIF_DIRECTORY, PLANE_RESOLUTION, PLANE_UNIT = 0x8769, 0xA20E, 0xA210
+#: Diagonal of a full frame in millimetres, millimetres of a resolution unit, plausible fields of view in degrees (fixed values).
+FULL_FRAME_DIAGONAL = 43.27
+UNIT_MM = {2: 25.4, 3: 10.0, 4: 1.0, 5: 0.001}
+LEAST_VIEW, MOST_VIEW = 10.0, 150.0
 
 
 def chunks(data: bytes):
@@ -126,33 +132,44 @@ def upright_size(data: bytes) -> tuple[int, int] | None:
     return found[::-1] if found and turned in (5, 6, 7, 8) else found
 
 
-def focal_35mm(data: bytes) -> float | None:
-    """Focal length for a frame of 36 mm from a JPEG's EXIF tags, None where it is absent."""
-    tiff = _tiff(data)
-    if data[:2] != b"\xff\xd8" or not tiff:
-        return None
-    order = "<" if tiff[:2] == b"II" else ">"
-    try:
-        first = struct.unpack_from(order + "I", tiff, 4)[0]
-        deeper = _tags(tiff, first, order).get(0x8769)
-        value = _tags(tiff, deeper, order).get(FOCAL_35MM) if deeper else None
-    except struct.error:
-        return None
-    return float(value) if value else None
-
-
-def _tags(tiff: bytes, at: int, order: str) -> dict[int, int]:
+def _tags(tiff: bytes, at: int, order: str) -> dict[int, float]:
+    """Numbers of a tag directory: shorts, longs, and rationals as quotients (null where they divide by zero)."""
     out = {}
     for k in range(struct.unpack_from(order + "H", tiff, at)[0]):
         tag, kind, _ = struct.unpack_from(order + "HHI", tiff, at + 2 + 12 * k)
-        out[tag] = struct.unpack_from(order + ("H" if kind == 3 else "I"), tiff, at + 10 + 12 * k)[0]
+        value = struct.unpack_from(order + ("H" if kind == 3 else "I"), tiff, at + 10 + 12 * k)[0]
+        if kind in (5, 10):
+            over, under = struct.unpack_from(order + ("II" if kind == 5 else "ii"), tiff, value)
+            value = over / under if under else 0
+        out[tag] = value
     return out
 
 
+def camera_tags(data: bytes) -> dict[int, float]:
+    """Tags of the EXIF directory over those of the first directory; empty where there are none."""
+    tiff = _tiff(data)
+    order = "<" if tiff[:2] == b"II" else ">"
+    try:
+        found = _tags(tiff, int(struct.unpack_from(order + "I", tiff, 4)[0]), order)
+        return found | (_tags(tiff, int(found[EXIF_DIRECTORY]), order) if found.get(EXIF_DIRECTORY) else {})
+    except struct.error:
+        return {}
+
+
 def focal_pixels(data: bytes) -> float | None:
+    """Focal length in pixels: from the 35 mm equivalent by the diagonal, else from the focal length and the sensor's resolution where the field of view is plausible."""
     found = size(data)
-    mm = focal_35mm(data)
-    return mm / 36.0 * max(found) if found and mm else None
+    if not found:
+        return None
+    tags = camera_tags(data)
+    if tags.get(FOCAL_35MM, 0) > 0:
+        return tags[FOCAL_35MM] * math.hypot(*found) / FULL_FRAME_DIAGONAL
+    mm, resolution, unit = tags.get(FOCAL, 0), tags.get(PLANE_RESOLUTION, 0), UNIT_MM.get(int(tags.get(PLANE_UNIT, 2) or 2))
+    if mm > 0 and resolution > 0 and unit:
+        pixels = mm * resolution / unit
+        view = 2 * math.degrees(math.atan(found[0] / (2 * pixels)))
+        return pixels if LEAST_VIEW <= view <= MOST_VIEW else None
+    return None
 
 
 def multipart(content_type: str, body: bytes, most: int = 512 << 20) -> dict[str, bytes]:

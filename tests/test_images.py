@@ -61,10 +61,19 @@ def test_jpeg_header():
     app = b"Exif\0\0" + tiff
     data = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(app) + 2) + app + b"\xff\xc0" + struct.pack(">HBHH", 17, 8, 480, 720) + b"\3" * 10
     assert images.size(data) == (720, 480)
-    assert images.focal_pixels(data) == pytest.approx(28 / 36 * 720)
+    assert images.focal_pixels(data) == pytest.approx(28 * (720**2 + 480**2) ** 0.5 / 43.27)
     assert images.size(b"GIF89a") is None and images.focal_pixels(data[:20]) is None
 
 
+@pytest.mark.parametrize(("resolution", "unit", "want"), [(4000, 2, 5.0 * 4000 / 25.4), (400, 3, 5.0 * 400 / 10), (1, 2, None), (0, 2, None), (4000, 9, None)])
+def test_focal_from_the_sensor(resolution, unit, want):
+    head = b"II*\0\x08\0\0\0" + struct.pack("<HHHII", 1, images.EXIF_DIRECTORY, 4, 1, 26) + b"\0\0\0\0"
+    tags = struct.pack("<H", 3) + struct.pack("<HHII", images.FOCAL, 5, 1, 68) + struct.pack("<HHII", images.PLANE_RESOLUTION, 5, 1, 76) + struct.pack("<HHIHH", images.PLANE_UNIT, 3, 1, unit, 0) + b"\0\0\0\0"
+    app = b"Exif\0\0" + head + tags + struct.pack("<IIII", 50, 10, resolution, 1)
+    data = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(app) + 2) + app + b"\xff\xc0" + struct.pack(">HBHH", 17, 8, 480, 720) + b"\3" * 10
+    assert images.focal_pixels(data) == (None if want is None else pytest.approx(want))
+
+
 def test_multipart():
     body = b'--B\r\nContent-Disposition: form-data; name="request"\r\n\r\n{"a": 1}\r\n--B\r\nContent-Disposition: form-data; name="f1"; filename="x"\r\nContent-Type: image/png\r\n\r\n\x00\r\n\x01\r\n--B--\r\n'
     assert images.multipart("multipart/form-data; boundary=B", body) == {"request": b'{"a": 1}', "f1": b"\x00\r\n\x01"}
@@ -81,4 +90,4 @@ def test_late_and_turned_header(spark, tmp_path, orientation, want):
     data = b"\xff\xd8" + profile * 3 + b"\xff\xe1" + struct.pack(">H", len(app) + 2) + app + b"\xff\xc0" + struct.pack(">HBHH", 17, 8, 480, 720) + b"\3" * 10
     (tmp_path / "late.jpg").write_bytes(data)
     head = images.headers(spark, str(tmp_path)).first()
-    assert (head.width, head.height) == want and head.focal_px == pytest.approx(28 / 36 * 720)
+    assert (head.width, head.height) == want and head.focal_px == pytest.approx(28 * (720**2 + 480**2) ** 0.5 / 43.27)

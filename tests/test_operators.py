@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -165,7 +166,14 @@ def test_similarity_needs_three_points(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 100_000), max_size=30))
 def test_rle_text(counts):
-    assert codecs.rle_counts(codecs.rle_text(counts)) == counts
+    column = pa.array([counts, None, [], counts[::-1]], pa.list_(pa.int32()))
+    texts = codecs.rle_texts(column)
+    assert codecs.rle_counts(texts).to_pylist() == column.to_pylist() and texts.to_pylist()[1:3] == [None, ""]
+
+
+def test_rle_fixed_texts():
+    # Groups of five bits: 3 -> 3; 40 -> 8 and more, then 1; -3 (the fourth against the second) -> 29 with its sign bit.
+    assert codecs.rle_texts(pa.array([[3, 40, 7, 37]])).to_pylist() == ["".join(chr(48 + c) for c in (3, 40, 1, 7, 29))]
 
 
 def test_mask_runs():

@@ -91,3 +91,39 @@ def test_only_thin_walls_grow(spark):
     got = {(r.row, r.col): r for r in grid.inflated_walls(spark.createDataFrame(cells, "row int, col int, state int, drop boolean, top double"), edge).collect()}
     assert {p for p, r in got.items() if r.state == 2} == occupied | drop | grown and grown & absent and (18, 8) not in grown and (7, 10) not in grown
     assert got[3, 9].top == 2.0 and set(got) == {(r, c) for r in range(rows) for c in range(cols)} - (absent - grown)
+
+
+def test_names_and_numbers_of_any_length(spark):
+    from atlasloom.functions import text
+
+    names = spark.range(1_234_567, 1_234_569).select(text.frame_name("id").alias("n")).collect()
+    assert [r.n for r in names] == ["f1234567", "f1234568"]
+    given = ["a2", "a10", "a10b", "a1234567890123456788", "a1234567890123456789", "b", "7", "a02c"]
+    got = [r.n for r in spark.createDataFrame([(g,) for g in given], "n string").orderBy(text.natural_key("n"), "n").collect()]
+    assert got == ["7", "a2", "a02c", "a10", "a10b", "a1234567890123456788", "a1234567890123456789", "b"]
+
+
+def test_components_with_hubs_and_chains(spark):
+    from atlasloom.operators.graph import connected_components
+
+    hub = spark.range(1, 5000).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    top = spark.range(10_000, 13_000).select(F.lit(20_000).cast("long").alias("src"), F.col("id").alias("dst"))
+    chain = spark.range(30_000, 30_300).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = connected_components(hub.union(top).union(chain)).groupBy("component").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {r.component: r.n for r in got} == {0: 5000, 10_000: 3001, 30_000: 301}
+
+
+def test_interval_best_keeps_repeated_rows_and_nulls(spark):
+    from atlasloom.operators.joins import interval_best
+
+    left = spark.createDataFrame([("u", 0, 5, None), ("u", 0, 5, None), ("u", 6, 7, 1.0), (None, 0, 5, 1.0)], "g string, lo int, hi int, own double")
+    right = spark.createDataFrame([("u", 3, 9.0, "x"), ("u", 4, 8.0, "y")], "g string, at int, v double, name string")
+    got = interval_best(left, right, ["g"], "lo", "hi", "at", F.col("v"), "name").collect()
+    assert sorted((r.g or "", r.lo, r.best or "") for r in got) == [("", 0, ""), ("u", 0, "y"), ("u", 0, "y"), ("u", 6, "")]
+
+
+def test_ranks_over_all_rows(spark):
+    from atlasloom.operators.windows import ranked
+
+    got = ranked(spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k")), ["k"]).collect()
+    assert [r["rank"] for r in sorted(got, key=lambda r: r.k)] == list(range(1, 1001))
