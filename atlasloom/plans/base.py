@@ -42,8 +42,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> None:
-    """The cluster's shared folder for checkpoints; a local one only where none is set."""
+    """The cluster's shared folder for checkpoints; a local one only where none is set, on a local master."""
     import tempfile
 
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='atlasloom-')}")
