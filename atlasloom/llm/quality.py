@@ -1,9 +1,10 @@
 r"""Quality rules: a short-circuit cascade in DataFrame and SQL functions only.
 
 Every rule is a Boolean SQL expression over features of the text. Its cost and its selectivity are estimated on a
-bounded sample (`sample_rows`, 2000 by default, of at most 64 KB), then the rules run as one CASE in order of rejection per cost, so
-that a row leaves at the first rule that rejects it. The order decides speed alone: a row is kept if no rule rejects
-it, whichever the order, and every row and every whole text is judged.
+bounded sample (`sample_rows`, 500 by default, of at most 64 KB) in a second, warm run; then the rules run as one CASE
+in order of rejection per cost, so that a row leaves at the first rule that rejects it, and the features that only later
+rules ask for are not evaluated. The order decides speed alone: a row is kept if no rule rejects it, whichever the
+order, and every row and every whole text is judged.
 
 Defined cases: a null text counts as empty (no words, so the length rule rejects it); repeated rows are judged each
 for itself; an empty table gives an empty result; further columns, whatever their names, pass through untouched,
@@ -12,16 +13,21 @@ since no helper column is ever added to the input.
 
 from __future__ import annotations
 
+import string
 import time
+from collections.abc import Collection
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A position takes the low bits of a sort key, a hash of the window the others.
 POSITION_BITS = 20
 LOW = (1 << POSITION_BITS) - 1
 SAMPLE_BYTES = 1 << 16
+EMPTY = "''"
+#: Features that a report gives for every row.
+WANTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def let(value: str, name: str, body: str) -> str:
@@ -55,10 +61,10 @@ def repeated_words_sql(words: str) -> str:
     return let(words, "_w", f"CASE WHEN size(_w) < 3 THEN 0L WHEN size(_w) > {LOW} THEN {plain} ELSE {chosen} END")
 
 
-def features(text: str = "text") -> dict[str, str]:
-    """SQL of the features that rules may name; each is evaluated only where a rule asks for it."""
+def features(text: str = "text", words: str | None = None) -> dict[str, str]:
+    """SQL of the features that rules may name; each is evaluated only where a rule asks for it. `words` names the words where they are at hand."""
     t = f"coalesce({text}, '')"
-    words = words_sql(t)
+    words = words or words_sql(t)
     lines = rf"filter(split({t}, '\n'), _l -> _l RLIKE '[^\\x20\\x09-\\x0D]')"
     return {
         "n_words": f"CAST(size({words}) AS BIGINT)",
@@ -79,6 +85,9 @@ class Rule:
     name: str
     reject: str
 
+    def names(self) -> set[str]:
+        return {name for _, name, _, _ in string.Formatter().parse(self.reject) if name}
+
     def sql(self, known: dict[str, str]) -> str:
         return f"coalesce({self.reject.format(**known)}, false)"
 
@@ -94,42 +103,49 @@ RULES = (
 )
 
 
-def ordered(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = 2000) -> list[tuple[Rule, float, float]]:
-    """Rules by rejection per cost on a bounded sample, with the seconds and the rejected share of each."""
+#: Seconds that a rule is taken to cost at least.
+LEAST_COST = 1e-4
+
+
+def ordered(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = 500, ready: Collection[str] = ()) -> list[tuple[Rule, float, float]]:
+    """Rules by rejection per cost on a bounded sample, with the seconds and the rejected share of each; features that are `ready` cost nothing."""
     known = features(text)
     short = docs.where(F.coalesce(F.octet_length(text), F.lit(0)) <= SAMPLE_BYTES)
 
     def tried(sql: str) -> tuple[float, list[bool]]:
-        """Seconds for the first rows, of which the driver gets one Boolean each; later partitions are not read."""
-        began = time.perf_counter()
-        got = [r[0] for r in short.select(F.expr(sql)).take(sample_rows)]
+        """Seconds for the first rows, of which the driver gets one Boolean each; later partitions are not read. The first run compiles, the second counts."""
+        for _ in range(2):
+            began = time.perf_counter()
+            got = [r[0] for r in short.select(F.expr(sql)).take(sample_rows)]
         return time.perf_counter() - began, got
 
-    scan = min(tried(f"octet_length({text}) < 0")[0] for _ in range(2))
+    scan = tried(f"octet_length({text}) < 0")[0]
     found = []
     for rule in rules:
         seconds, got = tried(rule.sql(known))
-        found.append((rule, max(seconds - scan, 1e-4), sum(got) / max(1, len(got))))
+        found.append((rule, LEAST_COST if rule.names() <= set(ready) else max(seconds - scan, LEAST_COST), sum(got) / max(1, len(got))))
     return sorted(found, key=lambda x: (-x[2] / x[1], x[0].name))
 
 
-def verdict(rules, known: dict[str, str]) -> Column:
+def verdict_sql(rules, known: dict[str, str]) -> str:
     """Name of the first rule that rejects a row, null where none does; later rules are not evaluated."""
-    return F.expr("CASE " + " ".join(f"WHEN {r.sql(known)} THEN '{r.name}'" for r in rules) + " END") if rules else F.lit(None).cast("string")
+    return "CASE " + " ".join(f"WHEN {r.sql(known)} THEN '{r.name}'" for r in rules) + " END" if rules else "CAST(NULL AS STRING)"
 
 
-def keep_good(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = 2000) -> DataFrame:
+def keep_good(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = 500) -> DataFrame:
     """The rows that no rule rejects, with the input's columns."""
     order = [r for r, _, _ in ordered(docs, rules, text, sample_rows)]
-    return docs.filter(verdict(order, features(text)).isNull())
+    return docs.filter(f"{let(words_sql(f'coalesce({text}, {EMPTY})'), '_ws', verdict_sql(order, features(text, '_ws')))} IS NULL")
 
 
-def report(docs: DataFrame, key: str = "doc_id", rules=RULES, text: str = "text", sample_rows: int = 2000) -> DataFrame:
-    """All features of every row and the cascade's verdict: (key, features, rejected_by).
+def report(docs: DataFrame, wanted: tuple[str, ...] = WANTED, key: str = "doc_id", rules=RULES, text: str = "text", sample_rows: int = 500) -> DataFrame:
+    """The wanted features of every row and the cascade's verdict: (key, wanted..., rejected_by).
 
-    The features are computed once; the cascade then reads them.
+    Words are split once. What is wanted is computed once and the cascade reads it; what only rules ask for stays
+    inside the cascade, so a row that an earlier rule rejects does not pay for it.
     """
-    order = [r for r, _, _ in ordered(docs, rules, text, sample_rows)]
-    known = features("_t")
-    base = docs.select(F.col(key), F.col(text).alias("_t")).select(key, *[F.expr(sql).alias(name) for name, sql in known.items()])
-    return base.select(key, *known, verdict(order, {k: f"`{k}`" for k in known}).alias("rejected_by"))
+    order = [r for r, _, _ in ordered(docs, rules, text, sample_rows, wanted)]
+    known = features("_t", "_ws")
+    rows = docs.select(F.col(key), F.col(text).alias("_t")).select(key, "_t", F.expr(words_sql(f"coalesce(_t, {EMPTY})")).alias("_ws"))
+    rows = rows.select(key, "_t", "_ws", *[F.expr(known[name]).alias(name) for name in wanted])
+    return rows.select(key, *wanted, F.expr(verdict_sql(order, known | {name: f"`{name}`" for name in wanted})).alias("rejected_by"))
