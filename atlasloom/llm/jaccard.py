@@ -5,7 +5,8 @@ A document's set holds its distinct word shingles; documents with equal sets are
 which a fixed space of 2^32 counters over all documents gives the frequency (any order is exact; this one is fast).
 Linked sets share an element of their prefixes, and two elements of prefixes longer by one.
 
-* Small sets, up to `boundary` elements, enumerate all subsets of two elements of the longer prefix.
+* Small sets, up to `boundary` elements, enumerate all subsets of two elements of the longer prefix. Sets so small that
+  one shared element can be enough (up to 100 / percent elements, where that is two or more) list their elements too.
 * Large sets enter the inverted lists of their prefix elements, and so do the small sets that can link to them.
 * The boundary is chosen by cost: subsets are made while they cost less than the shared entries of a list would.
 
@@ -43,7 +44,8 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 #: Odd multipliers of the hash (fixed values).
 M1, M2, M3, M4, M5 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 CHUNK_BYTES, LONG_WORD = 2 << 20, 256
-COUNTER_BUCKETS = 256
+#: Bits of a counter's bucket, at least and at most; each bucket is counted in one task.
+LEAST_BITS, MOST_BITS = 8, 16
 #: Bytes of a node's fingerprint.
 FP = 12
 POSTING = np.dtype([("k", "<u4"), ("a", "<u8"), ("b", "<u4"), ("n", "<u4")])
@@ -148,7 +150,7 @@ def may_link(nx: int, bx: bytes, ny: int, by: bytes, percent: int) -> bool:
 
 
 def packed_counters(ids: np.ndarray) -> bytes:
-    """Sorted 24-bit numbers: the first, then 16-bit steps, or all plainly where a step is larger."""
+    """Sorted numbers of at most 24 bits: the first, then 16-bit steps, or all plainly where a step is larger."""
     steps = np.diff(ids)
     if len(steps) and steps.max() > 65535:
         return b"\1" + ids.astype("<u4").tobytes()
@@ -162,21 +164,21 @@ def unpacked_counters(blob: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([first, np.frombuffer(blob, "<u2", offset=5).astype(np.int64)]))
 
 
-def _counter_blobs(shingle: int):
+def _counter_blobs(shingle: int, bits: int):
     def run(batches):
         for batch in batches:
             found = [s for s in shingle_sets(batch.column(0), shingle) if len(s)]
             if found:
                 ids = np.sort((np.concatenate(found) >> np.uint64(32)).astype(np.uint32))
-                cut = np.searchsorted(ids, np.arange(COUNTER_BUCKETS + 1, dtype=np.int64) << 24)
-                low = ids & np.uint32(0xFFFFFF)
-                blobs = [(k, packed_counters(low[cut[k] : cut[k + 1]])) for k in range(COUNTER_BUCKETS) if cut[k] < cut[k + 1]]
+                cut = np.searchsorted(ids, np.arange((1 << bits) + 1, dtype=np.int64) << (32 - bits))
+                low = ids & np.uint32((1 << (32 - bits)) - 1)
+                blobs = [(k, packed_counters(low[cut[k] : cut[k + 1]])) for k in range(1 << bits) if cut[k] < cut[k + 1]]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names=["bucket", "blob"])
 
     return run
 
 
-def _counted(frequent: int):
+def _counted(frequent: int, bits: int):
     """Frequent counters (id, n), and one row per bucket with the sums of n and n * n of the others."""
 
     def merged(ids, n, more):
@@ -190,7 +192,7 @@ def _counted(frequent: int):
         def done():
             keep = n >= frequent
             light = n[~keep]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([(ids[keep] + (bucket << 24)), [-1]]), pa.int64()), pa.array(np.concatenate([n[keep], [light.sum()]]), pa.int64()), pa.array(np.concatenate([np.zeros(keep.sum()), [float((light.astype(float) ** 2).sum())]]), pa.float64())], names=["id", "n", "squares"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([(ids[keep] + (bucket << (32 - bits))), [-1]]), pa.int64()), pa.array(np.concatenate([n[keep], [light.sum()]]), pa.int64()), pa.array(np.concatenate([np.zeros(keep.sum()), [float((light.astype(float) ** 2).sum())]]), pa.float64())], names=["id", "n", "squares"])
 
         bucket, ids, n, waiting, held = None, None, None, [], 0
         for batch in batches:
@@ -252,20 +254,24 @@ class Order:
         return light
 
     def keys(self, s: np.ndarray, percent: int, small: int) -> np.ndarray:
-        """Join keys of a set: subsets of two for small sets, single elements for large ones and for those that reach them."""
+        """Join keys of a set: subsets of two for small sets, single elements for large ones and for those that reach them.
+
+        One shared element links sets only if their union has at most 100 / percent elements; equal sets need no key.
+        """
         n = len(s)
-        if n < 2:
+        alone = 100 // percent
+        if n < 2 and alone < 2:
             return np.empty(0, np.uint64)
         p = prefix_length(n, percent)
         first = self.first(s, p + 1)
-        out = []
-        if n <= small:
+        out = [mix(s ^ M3)] if n <= alone else []
+        if n <= small and n > 1:
             a, b = np.triu_indices(len(first), 1)
             x, y = np.minimum(first[a], first[b]), np.maximum(first[a], first[b])
             out.append(mix(x * M4 + ((y << np.uint64(23)) | (y >> np.uint64(41)))))
         if 100 * n >= percent * (small + 1):
             out.append(mix(first[:p] ^ M5))
-        return np.concatenate(out)
+        return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def _postings(shingle: int, percent: int, small: int, order, bits: int):
@@ -464,8 +470,10 @@ def components(docs: DataFrame, percent: int = 85, shingle: int = 4, key: str =
     """(key, n_shingles, component, root) for every row, with `row` too if given; `component` is the smallest key that links reach, `root` names the component even where keys repeat.
 
     `known` bounds the frequent shingles that are broadcast (16 bytes each), `task_elements` the shingles of a group
-    that one task scans.
+    that one task scans. `percent` is a whole number from 1 to 100; the join is exact for each of them.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent is from 1 to 100")
     spark = docs.sparkSession
     common.ship(spark)
     parts = common.partitions(spark)
@@ -473,8 +481,9 @@ def components(docs: DataFrame, percent: int = 85, shingle: int = 4, key: str =
     cut = lambda df, name: (df.write.parquet(f"{folder}/{name}"), spark.read.schema(df.schema).parquet(f"{folder}/{name}"))[1]
     t = F.coalesce(F.col(text), F.lit("")).cast("binary")
 
-    blobs = docs.select(t.alias("t")).mapInArrow(common.lean(_counter_blobs(shingle)), "bucket int, blob binary")
-    counters = cut(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(common.lean(_counted(frequent)), "id bigint, n bigint, squares double"), "counters")
+    wide = max(LEAST_BITS, min(MOST_BITS, math.ceil(math.log2(parts))))
+    blobs = docs.select(t.alias("t")).mapInArrow(common.lean(_counter_blobs(shingle, wide)), "bucket int, blob binary")
+    counters = cut(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(common.lean(_counted(frequent, wide)), "id bigint, n bigint, squares double"), "counters")
     total, squares = counters.where("id < 0").agg(F.sum("n"), F.sum("squares")).first()
     small = boundary(max(0.0, squares / total - 1) if total else 0.0, percent)
     top = common.most_frequent(counters.where("id >= 0"), "n", known).select("id", "n").toArrow()
