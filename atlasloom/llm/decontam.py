@@ -3,8 +3,8 @@ r"""Benchmark decontamination with a generalised suffix automaton of the normali
 The automaton is built over item words (its alphabet are word numbers). Documents stream through it: the state and the
 longest match that ends at each word are tracked, and a word is hit where an occurrence of a window, `window`
 consecutive words of an item (or all words of a shorter item), covers it. The size of the test set is checked: items
-are dealt to automata of at most `automaton_words` words each, and documents go through each of them, so what is
-broadcast at once has a fixed bound.
+are dealt to automata of at most `automaton_words` words each (an item with more has one alone), and documents go through
+one after another, with a written table between them, so a task holds one automaton at a time.
 
 Words: A-Z lower-cased, then runs of 0-9, a-z and of characters above ASCII.
 
@@ -27,7 +27,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from atlasloom.llm import common
 
 WINDOW = 10
-AUTOMATON_WORDS = 2_000_000
+#: At most some 1,000,000 states, 250 MB in the driver and in each worker.
+AUTOMATON_WORDS = 500_000
 #: Bytes of words to themselves, lower-cased; all others to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD_SPAN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -171,7 +172,7 @@ def flagged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automat
     names = [f"_k{k}" for k in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).cast("binary").alias("_text"), F.lit(None).cast("array<int>").alias("_s"), F.lit(None).cast("array<int>").alias("_e"), F.lit(None).cast("array<string>").alias("_i"), F.lit(0).alias("_l"), F.lit(0).cast("long").alias("_n"))
     out = rows
-    for automaton, _ in dealt(benchmark, window, automaton_words):
+    for automaton, last in dealt(benchmark, window, automaton_words):
         shared = spark.sparkContext.broadcast(automaton)
 
         def stream(batches, shared=shared):
@@ -195,6 +196,7 @@ def flagged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automat
                 yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int32()), pa.array(n, pa.int64())], names=batch.schema.names)
 
         out = out.mapInArrow(common.lean(stream), rows.schema)
+        out = out if last else common.written(out, "decontam-flagged")
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], F.col("_n").alias("n_words"), F.col("_s").alias("hit_start"), F.col("_e").alias("hit_end"), F.col("_i").alias("item_ids"), F.col("_l").alias("longest"))
 
 
@@ -274,5 +276,6 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_co
                 yield pa.RecordBatch.from_arrays(own, schema=pa.schema(kinds)).filter(pa.array(keep, pa.bool_()))
 
         positional = positional.mapInArrow(common.lean(stream), plain if last else carried)
+        positional = positional if last else common.written(positional, "decontam-cleaned")
         first = False
     return positional.toDF(*names)
