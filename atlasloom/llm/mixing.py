@@ -4,7 +4,8 @@ Token shares of the sources are raised to an exponent and normalised. The expone
 they are), is bisected until the weights have a target entropy, or until they are the flattest that no source has to be
 repeated beyond a limit for. The budget is such that every document comes at least once: the source that the weights
 favour least is taken exactly once, every other one `quota / tokens` times, so whole epochs and one part of an epoch.
-The part is cut at a hash value found by refining 256 hash ranges, so no source is ever sorted in one place.
+The part is cut at a hash value found by refining 256 hash ranges, and places are counted in hash ranges of which there
+are several for each partition, so no source is ever sorted in one place.
 
 The mixed stream is a row of blocks. Each takes from every source its weight's share of `block_tokens`, and its rows
 are permuted by hash; within an epoch a source's rows are permuted anew.
@@ -13,7 +14,8 @@ Tokens are words, `[^\x20\x09-\x0D]+`, unless an expression is given. What is co
 most `most_sources`, else it raises) and for each source and one of 256 hash ranges.
 
 Defined cases: a null source is a source of its own; null texts have no tokens and come as often as their source's
-whole epochs (and its part, by hash); a source without tokens, and so a corpus without any, comes once; repeated rows
+whole epochs (and its part, by hash); a source without tokens, and so a corpus without any, comes once, dealt over all
+blocks by hash; a source that a target would repeat more than `MOST_TIMES` times is an error; repeated rows
 come each as often as one; an empty table gives an empty result; further columns pass through `repeated`.
 """
 
@@ -30,6 +32,8 @@ from atlasloom.llm import common
 
 RANGES = 256
 MOST_SOURCES = 100_000
+#: Repetitions of a source beyond which a plan is refused.
+MOST_TIMES = 100_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -100,6 +104,8 @@ def plan(rows: DataFrame, target_entropy: float | None = None, repetition: float
     budget = max(t / x for t, x in zip(tokens, w, strict=True) if t)
     quota = [x * budget for x in w]
     whole = [max(1, math.floor(q / t + 1e-9)) if t else 1 for q, t in zip(quota, tokens, strict=True)]
+    if max(whole) > MOST_TIMES:
+        raise ValueError(f"the target repeats a source {max(whole)} times")
     left = [max(0.0, q - k * t) for q, k, t in zip(quota, whole, tokens, strict=True)]
     lo, hi = [0] * len(names), [1 << 62] * len(names)
     for _ in range(7):
@@ -140,7 +146,8 @@ def placed(docs: DataFrame, target_entropy: float | None = None, repetition: flo
     rows = common.written(slim(docs, seed, key, source, text, tokens), "mixing-rows")
     made = plan(rows, target_entropy, repetition)
     times = _times(rows, made, "source", F.col("h")).select("key", "source", "tokens", "weight", "epoch", draw(seed, F.col("h"), F.col("epoch")).alias("e"))
-    times = times.withColumn("range", F.shiftright("e", 54))
+    bits = max(8, min(16, math.ceil(math.log2(4 * common.partitions(docs.sparkSession)))))
+    times = times.withColumn("range", F.shiftright("e", 62 - bits))
     sums = times.groupBy("source", "epoch", "range").agg(F.sum("tokens").alias("t"))
     from pyspark.sql import Window
 
@@ -149,7 +156,8 @@ def placed(docs: DataFrame, target_entropy: float | None = None, repetition: flo
     inside = Window.partitionBy("source", "epoch", "range").orderBy("e", "key").rowsBetween(Window.unboundedPreceding, -1)
     run = times.withColumn("in", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
     run = run.join(bases, F.col("source").eqNullSafe(F.col("_s")) & (F.col("epoch") == F.col("_e")) & (F.col("range") == F.col("_r")))
-    block = F.when(F.col("weight") > 0, F.floor((F.col("base") + F.col("in")) / (F.col("weight") * block_tokens))).otherwise(0).cast("long")
+    blocks = max(1, math.floor(made.budget / block_tokens))
+    block = F.when(F.col("weight") > 0, F.floor((F.col("base") + F.col("in")) / (F.col("weight") * block_tokens))).otherwise(F.pmod("e", F.lit(blocks))).cast("long")
     order = Window.partitionBy("block").orderBy("p", "key", "epoch")
     out = run.withColumn("block", block).withColumn("p", draw(seed, F.col("block"), F.col("e")))
     return out.select(F.col("key").alias(key), F.col("source").alias(source), F.col("tokens").alias("n_tokens"), "epoch", "block", (F.row_number().over(order) - 1).cast("long").alias("place"))
