@@ -21,8 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`; a local one is set only where it is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Where it is unset, a local one is made on a local master; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='atlasloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
@@ -42,15 +44,19 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of an Arrow batch, which the JVM and the worker both hold; texts make rows large.
-BATCH_ROWS = 2000
-BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of an Arrow batch, which the JVM and the worker both hold; texts make rows large.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 32 << 20}
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it is not installed, and keeps Arrow batches of texts small."""
-    if int(spark.conf.get(BATCH_SETTING)) > BATCH_ROWS:
-        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    """Lets Python workers import this package where it is not installed, and keeps Arrow batches of texts small.
+
+    A plan reads the limits when it runs, so they stay lowered in the session.
+    """
+    for name, limit in BATCH_LIMITS.items():
+        found = spark.conf.get(name).rstrip("bB")
+        if not found.isdigit() or not 0 < int(found) <= limit:
+            spark.conf.set(name, str(limit))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "").split(os.pathsep)
