@@ -1,7 +1,4 @@
-"""Queries of the training-data operators, and their SQL where SQL can express them.
-
-The SQL gives results only; it is no second path of any operator.
-"""
+"""Queries of the training-data operators; their SQL, where SQL can express them, is in `sql`."""
 
 from __future__ import annotations
 
@@ -9,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atlasloom.llm import chat, common, decontam, jaccard, lm, mixing, quality, records, sharding, suffix_dedup, token_counts
+from atlasloom.llm.sql import ORACLE_SQL  # noqa: F401
 
 
 def bpe_path() -> str:
@@ -91,5 +89,3 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_sharding": op10_sharding,
 }
-
-ORACLE_SQL: dict[str, str] = {}

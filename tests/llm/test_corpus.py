@@ -48,6 +48,21 @@ def test_jaccard_components(request, table, percent, n):
     same([tuple(r) for r in got.collect()], plain_components(pairs_of(docs), percent, n))
 
 
+@pytest.mark.parametrize("percent", [30, 50, 66])
+def test_sets_of_few_elements(spark, percent):
+    """One shared element may link sets of one, two or three elements."""
+    letters = "abcdefg"
+    texts = sorted({" ".join(sorted({letters[k % 7], letters[k // 7 % 7], letters[k // 49 % 7]} if k % 3 else {letters[k % 7]})) for k in range(0, 343, 17)}) + ["p", "p q", "r s", "r t", "u v w", "u x y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = jaccard.components(docs, percent, 1).select("doc_id", "n_shingles", "component")
+    same([tuple(r) for r in got.collect()], plain_components(pairs_of(docs), percent, 1))
+
+
+def test_percents_out_of_range(nothing):
+    with pytest.raises(ValueError, match="percent"):
+        jaccard.components(nothing, percent=0)
+
+
 def near_copies(spark, n=120):
     rng = np.random.default_rng(3)
     base = [f"b{k}" for k in range(90)]
@@ -140,12 +155,30 @@ def test_lm_scores(request, table):
             counts[p] += k
     logs, end = lm.piece_logs(path, counts, c[b""])
     assert math.fsum([*map(math.exp, logs.values()), math.exp(end)]) == pytest.approx(1)
-    lattice = lm.Lattice(logs)
+
+    def word_log(word, known={}):
+        """All cuts of the word, plainly summed; pieces are the vocabulary's, bytes where a character has none."""
+        if word not in known:
+            ways = [1.0] + [0.0] * len(word)
+            scale = 0
+            for k in range(1, len(word) + 1):
+                for j in range(max(0, k - 64), k):
+                    piece = word[j:k]
+                    if piece in logs:
+                        ways[k] += ways[j] * math.exp(logs[piece] + 30 * (k - j))
+                if word[k - 1] not in logs:
+                    ways[k] += ways[k - 1] * math.exp(math.fsum(logs[f"<0x{b:02X}>"] for b in word[k - 1].encode()) + 30)
+                if ways[k] > 1e200:
+                    ways = [w / 1e200 for w in ways]
+                    scale += 200
+            known[word] = math.log(ways[-1]) - 30 * len(word) + scale * math.log(10)
+        return known[word]
+
     got = sorted(lm.scored(docs, path, head=40).collect(), key=str)
     want = []
     for i, ws in rows:
         base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
-        score = sum((lattice.word("▁" + w.decode()) if w else end) for w in ws) / math.log(10)
+        score = sum((word_log("▁" + w.decode()) if w else end) for w in ws) / math.log(10)
         want.append((i, held(i), len(ws), sum(c[w] > 0 for w in ws), n, round(base, 4), round(score, 4)))
     same([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in got], want)
 
@@ -183,6 +216,37 @@ def test_mixing(request, table):
     assert again.columns == docs.columns and Counter(r.doc_id for r in again.collect()) == times
 
 
+def test_plan_against_plain_numbers(spark):
+    """Weights, quotas and whole epochs of a corpus whose shares are known, computed without the operator."""
+    counts = {"a": 900, "b": 90, "c": 10}
+    rows = [(f"{s}{k}", s, " ".join(["w"] * 5)) for s, n in counts.items() for k in range(n)] + [(f"z{k}", "z", "") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id string, source string, text string").repartition(3)
+    lo, hi = 0.0, 1.0
+    raised = lambda a: {s: n**a for s, n in counts.items()}
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        times = [v / counts[s] for s, v in raised(mid).items()]
+        lo, hi = (lo, mid) if max(times) / min(times) <= 3.0 else (mid, hi)
+    want = {s: v / raised(hi)["a"] * 900 * 5 for s, v in raised(hi).items()}
+    placed = mixing.placed(docs, repetition=3.0, block_tokens=700).collect()
+    times = Counter(r.doc_id for r in placed)
+    for s, n in counts.items():
+        got = [times[f"{s}{k}"] for k in range(n)]
+        assert abs(5 * sum(got) - want[s]) <= 5 and max(got) - min(got) <= 1
+    assert all(times[f"z{k}"] == 1 for k in range(40)) and len({r.block for r in placed if r.source == "z"}) > 1
+    shares = Counter()
+    for r in placed:
+        shares[r.block, r.source] += r.n_tokens
+    last = max(r.block for r in placed)
+    assert all(abs(shares[b, s] - want[s] / sum(want.values()) * 700) <= 10 for b in range(last) for s in counts)
+
+
+def test_plan_refuses_endless_repeats(spark):
+    docs = spark.createDataFrame([(0, "a", "w"), *((k, "b", "w " * 2000) for k in range(1, 200))], "doc_id int, source string, text string")
+    with pytest.raises(ValueError, match="repeats"):
+        mixing.placed(docs, target_entropy=0.69314)
+
+
 def test_exponents():
     t = [1000.0, 100.0, 10.0]
     a = mixing.exponent(t, repetition=4.0)
@@ -211,6 +275,7 @@ def test_chat(spark, some):
 
 
 def test_chat_query(spark, sf):
+    """The whole table against its rows, and the probe."""
     rows = {r.conv_id: r for r in QUERIES["op9_chat_format"](spark, sf).collect()}
     assert rows[-1].n_turns == 2 and rows[-1].loss_chars == len("</s>[INST] ok [/INST]")
 

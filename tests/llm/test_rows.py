@@ -54,11 +54,34 @@ def test_cascade_keeps_columns_and_does_not_depend_on_order(odd, documents):
     kept = quality.keep_good(documents)
     assert kept.columns == documents.columns and quality.keep_good(odd).columns == odd.columns
     known = quality.features("text")
-    other = documents.filter(quality.verdict(quality.RULES[::-1], known).isNull())
+    other = documents.filter(f"{quality.verdict_sql(quality.RULES[::-1], known)} IS NULL")
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in other.collect()}
     assert {r.doc_id for r in quality.report(documents).where("rejected_by IS NULL").collect()} == {r.doc_id for r in kept.collect()}
 
 
+def test_later_rules_are_not_evaluated(spark, documents):
+    """A rule that fails when evaluated never sees a row that an earlier rule rejects; a feature that only rules ask for stays inside the cascade."""
+    bomb = quality.Rule("bomb", "raise_error('evaluated') IS NOT NULL AND {n_words} > 0")
+    every = quality.Rule("every", "{n_words} >= 0")
+    sql = quality.verdict_sql([every, bomb], quality.features())
+    assert [r[0] for r in documents.select(F.expr(sql)).distinct().collect()] == ["every"]
+    plan = quality.report(documents)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    upper, lower = plan[0], "\n".join(plan[1:])
+    assert "[A-Z]+" in upper and "CASE WHEN" in upper and "[A-Z]+" not in lower and "[#*$%&|<>]" in lower
+
+
+def test_query_gives_the_cascade_s_verdict(spark, sf):
+    """`base_failed` and `kept` against plain Python over every document."""
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in QUERIES["op3_quality_rules"](spark, sf).collect():
+        t = text[r.doc_id]
+        n, chars, symbols, dups, repeats = plain_quality(t)
+        failed = n < 50 or 100 * repeats > 50 * n
+        lines = sum(bool(WORD.search(x)) for x in t.split("\n"))
+        other = 10 * symbols > n or 100 * len(re.findall("[A-Z]", t)) > 40 * len(t) or not 2 * n <= chars <= 14 * n or 100 * dups > 50 * lines
+        assert (r.base_failed, r.kept) == (failed, not (failed or other)), r.doc_id
+
+
 def test_clean_documents_stay_and_junk_goes(spark, sf, documents):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     judged = quality.report(documents).join(labels, "doc_id")
@@ -179,6 +202,23 @@ def test_decontamination_is_the_same_with_more_automata(spark, chunk):
     assert got == {1: " " + said(15, 60), 3: said(200, 220) + " " + said(260, 290), 4: said(200, 205) + "  " + said(215, 220) + " " + said(260, 290), 5: None}
 
 
+def test_query_s_law_of_sharding(spark, sf):
+    """Eight shards of nearly equal bytes, gapless slots, equal texts in one slot's reach, crc32 of every text."""
+    import zlib
+    from collections import defaultdict
+
+    text = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    size, slots = defaultdict(int), defaultdict(list)
+    rows = QUERIES["op10_sharding"](spark, sf).collect()
+    assert {r.doc_id for r in rows} == set(text) and len(rows) == len(text)
+    for r in rows:
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(text[r.doc_id]) + 1, zlib.crc32(text[r.doc_id]), "bytes", None)
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert sorted(size) == list(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(size.values()) - min(size.values()) <= max(map(len, text.values())) + 1
+
+
 @pytest.mark.parametrize("table", ["odd", "documents", "nothing"])
 def test_sharding(request, spark, table):
     docs = request.getfixturevalue(table)
