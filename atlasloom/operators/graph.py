@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 #: Edges that any node may have before it counts as a hub.
-HUB_DEGREE = 256
+HUB_DEGREE = 1000
 
 
 def _cut(df: DataFrame, folder: str | None) -> DataFrame:
@@ -22,38 +22,41 @@ def _cut(df: DataFrame, folder: str | None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """Edges (u, v) with `m` of their node's row in `least` (u, m, d).
-
-    A hub has over `total / (4 * partitions)` of the edges, so there are at most eight for each partition, and these
-    few are broadcast; all other edges meet their node's row in a join.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    degree = max(HUB_DEGREE, total // (4 * parts))
-    if total <= degree:
-        return rows.join(least.select("u", "m"), "u")
-    hubs = least.where(F.col("d") > degree)
-    light = rows.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.where(F.col("d") <= degree).select("u", "m"), "u")
-    return light.union(rows.join(F.broadcast(hubs.select("u", "m")), "u").select(light.columns))
+def _with_least(rows: DataFrame, least: DataFrame, degree: int | None) -> DataFrame:
+    """Edges (u, v) with `m` of their node's row in `least` (u, m, d): those of nodes over `degree` by broadcast, all others by a join."""
+    if degree is None:
+        return rows.join(least.select("u", "m"), "u").select("u", "v", "m")
+    hubs = least.where(F.col("d") > degree).select("u", F.col("m").alias("h"))
+    marked = rows.join(F.broadcast(hubs), "u", "left")
+    light = marked.where("h IS NULL").select("u", "v").join(least.where(F.col("d") <= degree).select("u", "m"), "u")
+    return light.select("u", "v", "m").union(marked.where("h IS NOT NULL").select("u", "v", F.col("h").alias("m")))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", folder: str | None = None) -> DataFrame:
     """(node, component) for every node with an edge to another; the component is its smallest node.
 
     Alternates large-star and small-star until the edges stay the same. Each half round needs the smallest neighbour
-    of every node, a partially aggregated minimum. The edges of a hub take it from a broadcast table of the few hubs
-    instead of a join by node, so they never meet in one place.
+    of every node, a partially aggregated minimum. A node with over `edges / (2 * partitions)` edges is a hub: there are
+    at most four for each partition, so their minima are broadcast, and the edges of a hub never meet in one place.
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
     e = _cut(e, folder)
-    marks = lambda: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    parts = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = lambda: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+    def marks():
+        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     last = marks()
-    for _ in itertools.count():
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    while True:
+        degree = max(HUB_DEGREE, last[0] // (2 * parts))
+        if last[0] <= degree or sides().groupBy("u").count().where(F.col("count") > degree).isEmpty():
+            degree = None
+        both = sides()
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d")).withColumn("m", F.least("u", "m"))
-        e = _with_least(both, least, 2 * last[0]).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e = _with_least(both, least, degree).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d"))
-        e = _with_least(e, least, last[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        e = _with_least(e, least, degree).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         e = _cut(e, folder)
         now = marks()
         if now == last:
