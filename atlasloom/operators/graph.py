@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,46 +22,47 @@ def _cut(df: DataFrame, folder: str | None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _with_least(rows: DataFrame, least: DataFrame, degree: int | None) -> DataFrame:
-    """Edges (u, v) with `m` of their node's row in `least` (u, m, d): those of nodes over `degree` by broadcast, all others by a join."""
+def _least_neighbours(rows: DataFrame, degree: int | None) -> DataFrame:
+    """Edges (u, v) with `m`, the smallest v of their u: of nodes over `degree` by broadcast, of all others in one sorted shuffle by u."""
+    own = F.min("v").over(Window.partitionBy("u"))
     if degree is None:
-        return rows.join(least.select("u", "m"), "u").select("u", "v", "m")
-    hubs = least.where(F.col("d") > degree).select("u", F.col("m").alias("h"))
+        return rows.withColumn("m", own)
+    hubs = rows.groupBy("u").agg(F.min("v").alias("h"), F.count(F.lit(1)).alias("d")).where(F.col("d") > degree).select("u", "h")
     marked = rows.join(F.broadcast(hubs), "u", "left")
-    light = marked.where("h IS NULL").select("u", "v").join(least.where(F.col("d") <= degree).select("u", "m"), "u")
-    return light.select("u", "v", "m").union(marked.where("h IS NOT NULL").select("u", "v", F.col("h").alias("m")))
+    light = marked.where("h IS NULL").select("u", "v").withColumn("m", own)
+    return light.union(marked.where("h IS NOT NULL").select("u", "v", F.col("h").alias("m")))
+
+
+def _shape(e: DataFrame) -> tuple[int, int, bool]:
+    """Edges, most edges of a node, and whether some node has two parents, or a parent and a child: without such nodes all components are stars."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(e.select("v", F.lit(0)))
+    nodes = ends.groupBy("x").agg(F.count(F.lit(1)).alias("d"), F.sum("up").alias("up"))
+    edges, most, unfinished = nodes.agg(F.sum("up"), F.max("d"), F.bool_or(F.expr("up > 1 OR (up = 1 AND d > 1)"))).first()
+    return edges or 0, most or 0, bool(unfinished)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", folder: str | None = None) -> DataFrame:
     """(node, component) for every node with an edge to another; the component is its smallest node.
 
-    Alternates large-star and small-star until the edges stay the same. Each half round needs the smallest neighbour
-    of every node, a partially aggregated minimum. A node with over `edges / (2 * partitions)` edges is a hub: there are
-    at most four for each partition, so their minima are broadcast, and the edges of a hub never meet in one place.
+    Alternates large-star and small-star until every component is a star around its smallest node. A half round is one
+    shuffle by node. A node with over `edges / (2 * partitions)` edges is a hub: there are at most four for each
+    partition, so their minima are partial aggregates that are broadcast, and the edges of a hub never meet in one place.
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
     e = _cut(e, folder)
     parts = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sides = lambda: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-
-    def marks():
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    last = marks()
     while True:
-        degree = max(HUB_DEGREE, last[0] // (2 * parts))
-        if last[0] <= degree or sides().groupBy("u").count().where(F.col("count") > degree).isEmpty():
-            degree = None
-        both = sides()
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d")).withColumn("m", F.least("u", "m"))
-        e = _with_least(both, least, degree).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d"))
-        e = _with_least(e, least, degree).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        e = _cut(e, folder)
-        now = marks()
-        if now == last:
+        count, most, unfinished = _shape(e)
+        if not unfinished:
             break
-        last = now
+        limit = max(HUB_DEGREE, count // (2 * parts))
+        degree = limit if most > limit else None
+        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        e = _least_neighbours(both, degree).select(F.col("v").alias("u"), F.least("u", "m").alias("v"), F.col("u").alias("w")).where("u > w").select("u", "v")
+        if degree is not None:  # three reads of it follow
+            e = _cut(e, folder)
+        moved = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
+        e = _cut(_least_neighbours(e, degree).select(moved).select("e.*").where("u <> v").distinct(), folder)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
