@@ -77,4 +77,60 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(length({_escaped("text")}) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 ELSE 25 + length({_escaped("role")}) END) AS BIGINT) AS formatted_chars FROM c GROUP BY 1
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3, "op6_decontamination": OP6, "op7_suffix_dedup": OP7, "op8_jaccard_join": OP8, "op9_chat_format": OP9}
+_CRC_TABLE = "(SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda t, k: CASE WHEN t & 1 = 1 THEN xor(t >> 1, 3988292384) ELSE t >> 1 END, n)) AS crc)"
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of the UTF-8 bytes, with the table `crc` at hand."""
+    code = f"regexp_extract_all(hex(encode({text})), '..')"
+    return f"xor(list_reduce(list_transform({code}, lambda x: CAST('0x' || x AS BIGINT)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+OP11 = rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({ASCII_LOWER.format("text")}, '[A-Za-zÀ-ÿ]+')) AS w FROM documents) GROUP BY 1, 2),
+h AS (SELECT w, n, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w")} AS h FROM runs, {_CRC_TABLE}),
+e AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+k AS (SELECT word, n, i, substr(word, 1, i) || '*' || substr(word, i + 2) AS masked, substr(word, 1, i) || substr(word, i + 2) AS cut FROM (SELECT *, unnest(range(length(word))) AS i FROM v)),
+near AS (SELECT a.word, b.word AS other, b.n FROM k a JOIN k b ON a.masked = b.masked AND a.word <> b.word
+  UNION SELECT k.word, v.word, v.n FROM k JOIN v ON v.word = k.cut UNION SELECT v.word, k.word, k.n FROM k JOIN v ON v.word = k.cut),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n FROM near GROUP BY 1),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n FROM v LEFT JOIN best USING (word)),
+c AS (SELECT word, word AS root, form AS further FROM f UNION ALL SELECT c.word, f.word, f.form FROM c JOIN f ON f.word = c.further)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN c ON c.word = f.word AND c.further IS NULL
+"""
+
+_WORDS = rf"list_filter(regexp_split_to_array(coalesce(text, ''), {SPACES}), lambda x: x <> '')"
+
+OP12 = rf"""
+WITH d AS (SELECT doc_id, coalesce(doc_id, -9223372036854775808) AS i, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+s AS (SELECT r, i, p, array_to_string(w[p:p + 12], ' ') AS g FROM (SELECT r, i, w, unnest(range(1, len(w) - 11)) AS p FROM d)),
+f AS (SELECT g, min(i) AS first FROM s GROUP BY 1),
+h AS (SELECT DISTINCT r, unnest(range(p, p + 13)) AS x FROM s JOIN f USING (g) WHERE first < i),
+u AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS x FROM d),
+k AS (SELECT r, count(h.x) AS n_removed, string_agg(word, ' ' ORDER BY u.x) FILTER (h.x IS NULL) AS kept FROM u LEFT JOIN h USING (r, x) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
+
+# Of words p apart, pairs at jp and (j + 1)p that stand within six equal pairs in a row point to the periods of a document.
+OP13 = rf"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '')")} AS h, h // 10 AS g FROM documents, {_CRC_TABLE}),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND doc_id IS NOT NULL AND len(w) > 0 THEN g % len(w) END AS a, 1 + (len(w) - g % greatest(len(w), 1)) // (3 + g % 8) AS q FROM t),
+d AS (SELECT doc_id, r, CASE WHEN a IS NULL THEN w ELSE list_transform(range(len(w)), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % q END]) END AS w FROM a),
+u AS (SELECT r, word, x, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o || ' ' || lead(word, 5) OVER o AS six
+  FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS x FROM d) WINDOW o AS (PARTITION BY r ORDER BY x)),
+j AS (SELECT r, p, unnest(range(0, n - p, p)) AS i FROM (SELECT r, len(w) AS n, unnest(range(1, len(w) // 2 + 1)) AS p FROM d)),
+e AS (SELECT j.r, p, i FROM j JOIN u b ON b.r = j.r AND b.x = i + p JOIN u c ON c.r = j.r AND c.x = i WHERE b.word = c.word),
+c AS (SELECT DISTINCT e.r, p FROM (SELECT r, p, i - unnest(range(6)) AS i FROM e) e JOIN u b ON b.r = e.r AND b.x = i JOIN u c ON c.r = e.r AND c.x = i + p WHERE b.six = c.six),
+x AS (SELECT c.r, p, a.x AS k, a.word = b.word AS same FROM c JOIN u a ON a.r = c.r JOIN u b ON b.r = c.r AND b.x = a.x + p),
+y AS (SELECT r, p, k - row_number() OVER (PARTITION BY r, p ORDER BY k) AS island, k FROM x WHERE same),
+z AS (SELECT r, p, min(k) AS s, count(*) + p AS n FROM y GROUP BY r, p, island HAVING count(*) >= p AND count(*) + p >= 12),
+m AS (SELECT r, s, n, min(p) AS p FROM z GROUP BY 1, 2, 3),
+o AS (SELECT r, count(*) AS n_runs, first(struct_pack(s, n, p) ORDER BY n DESC, s, p) AS best, string_agg(s || ',' || n || ',' || p || chr(10), '' ORDER BY s, p) AS runs FROM m GROUP BY 1),
+gone AS (SELECT DISTINCT r, unnest(range(s + p, s + n)) AS x FROM m),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY u.x) FILTER (gone.x IS NULL) AS kept FROM u LEFT JOIN gone USING (r, x) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.n AS length, best.p AS period, 1000 * best.n // best.p AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN o USING (r) LEFT JOIN k USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3, "op6_decontamination": OP6, "op7_suffix_dedup": OP7, "op8_jaccard_join": OP8, "op9_chat_format": OP9, "op11_spelling_variants": OP11, "op12_substring_dedup": OP12, "op13_periodic_runs": OP13}
