@@ -12,6 +12,8 @@ DEPTH_RANGE = (0.05, 6.0)
 TRUSTED_SCORE, LEAST_SCORE = 0.5, 0.05
 FLOOR_BAND, FLOOR_SIGMAS = 0.06, 3.0
 HEIGHT_SIGMA, DEPTH_SIGMA, OWN_SCALE_BOUND = 0.02, 0.01, 0.30
+#: Turns from which the skew part of a rotation no longer gives its axis well.
+HALF_TURN = 3.13
 NAME = "^[A-Za-z0-9][A-Za-z0-9._-]{0,63}$"
 
 
@@ -49,17 +51,26 @@ def exp_so3(w) -> Column:
 
 
 def log_so3(r) -> Column:
-    """Rotation vector of a rotation of less than half a turn."""
+    """Rotation vector of a rotation, of length pi at most; near half a turn its axis comes from the symmetric part."""
 
     def made(m: Column) -> Column:
-        angle = F.acos(clamp((m[0] + m[4] + m[8] - 1) / 2, -1.0, 1.0))
-        return let(angle, lambda a: let(F.when(F.sin(a) > 1e-8, a / (2 * F.sin(a))).otherwise(0.5), lambda k: F.array(k * (m[7] - m[5]), k * (m[2] - m[6]), k * (m[3] - m[1]))))
+        skew = F.array(m[7] - m[5], m[2] - m[6], m[3] - m[1])
+        return let(skew, lambda s: let(F.atan2(norm(s) / 2, (m[0] + m[4] + m[8] - 1) / 2), lambda a: F.when(a < HALF_TURN, let(F.when(a > 1e-8, a / (2 * F.sin(a))).otherwise(0.5), lambda k: F.transform(s, lambda x: k * x))).otherwise(half(m, s, a))))
+
+    def half(m: Column, s: Column, a: Column) -> Column:
+        def about(k: int) -> Column:
+            """From the largest component of the axis, whose sign is that of the skew part."""
+            size = F.sqrt(F.greatest((m[4 * k] - F.cos(a)) / (1 - F.cos(a)), F.lit(0.0)))
+            sign = F.when(s[k] < 0, -1.0).otherwise(1.0)
+            return F.array(*[a * sign * (size if i == k else (m[3 * i + k] + m[3 * k + i]) / (2 * (1 - F.cos(a)) * size)) for i in range(3)])
+
+        return F.when((m[0] >= m[4]) & (m[0] >= m[8]), about(0)).when(m[4] >= m[8], about(1)).otherwise(about(2))
 
     return let(col(r), made)
 
 
 def yaw_tilt(a, b) -> Column:
-    """Degrees between two orientations: the turn about the map's up axis that brings one nearest the other, and between their up directions."""
+    """How far two orientations are apart, in degrees: the least-squares turn about z between them (fixed formula), and the angle of their z rows."""
     a, b = col(a), col(b)
     m = lambda i, j: sum((b[3 * i + k] * a[3 * j + k] for k in range(1, 3)), b[3 * i] * a[3 * j])
     up = sum((a[6 + k] * b[6 + k] for k in range(1, 3)), a[6] * b[6])
@@ -90,8 +101,17 @@ def sound_name(name) -> Column:
 
 
 def same_camera(a: dict[str, Column], b: dict[str, Column], defaults: dict[str, Column]) -> Column:
-    """Equal values of two descriptions, where absent is the default or equal to absent."""
-    norm_ = lambda d: F.struct(*[F.coalesce(v, defaults[n]).alias(n) if n in defaults else v.alias(n) for n, v in sorted(d.items())])
+    """Equal values of two descriptions, where absent is the default or equal to absent.
+
+    A distortion (`distortion`, an array of coefficients) of zeros only is absent; the ignore mask (`ignore_mask`) does not count.
+    """
+
+    def plain(name: str, value: Column) -> Column:
+        if name == "distortion":
+            value = F.when(F.exists(value, lambda x: x != 0), value)
+        return F.coalesce(value, defaults[name]) if name in defaults else value
+
+    norm_ = lambda d: F.struct(*[plain(n, v).alias(n) for n, v in sorted(d.items()) if n != "ignore_mask"])
     return norm_(a).eqNullSafe(norm_(b))
 
 

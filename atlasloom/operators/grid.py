@@ -125,6 +125,21 @@ def ray_hits(rays: DataFrame, grid: DataFrame, step: float, reach: float, edge:
     return j.groupBy("id").agg(F.min(F.when(F.coalesce(F.col("state"), F.lit(UNKNOWN)) != FREE, F.col("t"))).alias("range"))
 
 
+def ray_entries(rays: DataFrame, grid: DataFrame, step: float, reach: float, edge: float) -> DataFrame:
+    """Where each ray (id, x, y, dx, dy) enters the first sampled cell that is not free: (id, range, row, col), nulls within the reach.
+
+    Samples lie `step` apart from the first step on; the entry is where the ray crosses the cell's bounds, within the last step.
+    """
+    at = rays.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(int(reach / step))))).withColumn("t", F.col("t") * step)
+    at = at.withColumns({"col": F.floor((F.col("x") + F.col("dx") * F.col("t")) / edge).cast("long"), "row": F.floor((F.col("y") + F.col("dy") * F.col("t")) / edge).cast("long")})
+    j = at.join(grid.select("row", "col", "state"), ["row", "col"], "left")
+    blocked = F.coalesce(F.col("state"), F.lit(UNKNOWN)) != FREE
+    first = j.groupBy("id").agg(F.min(F.when(blocked, F.struct("t", "row", "col"))).alias("_k"), *[F.first(c).alias(c) for c in ("x", "y", "dx", "dy")])
+    enter = lambda p, u, lo: F.when(F.abs(F.col(u)) > 1e-12, F.least((lo * edge - F.col(p)) / F.col(u), ((lo + 1) * edge - F.col(p)) / F.col(u)))
+    entry = F.greatest(enter("x", "dx", F.col("_k.col")), enter("y", "dy", F.col("_k.row")))
+    return first.select("id", F.when(F.col("_k").isNotNull(), F.least(F.greatest(entry, F.col("_k.t") - step), F.col("_k.t"))).alias("range"), F.col("_k.row").alias("row"), F.col("_k.col").alias("col"))
+
+
 def depth_edges(raster: DataFrame, by: list[str], relative: float, value: str = "z") -> DataFrame:
     """Valid pixels whose 3x3 neighbourhood spans more than a share of their depth, or touches an invalid pixel that is in the raster.
 

@@ -95,8 +95,8 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right
     if direction == "nearest":
         ahead = Window.partitionBy(*by).orderBy("_t", "_side", "_s").rowsBetween(0, Window.unboundedFollowing)
         out = out.withColumn("_a", F.first("_s", ignorenulls=True).over(ahead))
-        micros = lambda c: F.unix_micros(c.cast("timestamp"))
-        to_back, to_ahead = micros(F.col("_t")) - micros(F.col("_b.t")), micros(F.col("_a.t")) - micros(F.col("_t"))
+        # Differences of times without a zone, so the session's zone and its clock changes don't matter.
+        to_back, to_ahead = F.col("_t") - F.col("_b.t"), F.col("_a.t") - F.col("_t")
         out = out.withColumn("_b", F.when(F.col("_b").isNull() | (to_ahead < to_back), F.col("_a")).otherwise(F.col("_b")))
     return out.where("_side = 1").select(*left.columns, F.col("_b.t").alias("matched_time"), F.col("_b.v").alias("matched"))
 

@@ -201,3 +201,30 @@ def capable_metrics(t):
     size, part = F.col("p_size") % 3, F.col("p_partkey") % 4
     needs = F.array(F.when(size == 1, F.array(F.lit("mask"))).otherwise(F.array(F.lit("mask"), F.lit("pose"))), F.when(part.isin(0, 2), F.array(F.lit("depth"))).otherwise(F.array(F.lit("prior"))))
     return E.capable(t("part").withColumn("needs", needs), ["pose", "depth"]).select("p_partkey")
+
+
+@q("""WITH g AS (SELECT DISTINCT l_suppkey AS row, CAST(l_quantity AS BIGINT) AS col FROM lineitem WHERE l_discount < 0.1), r AS (SELECT s_suppkey AS id, s_suppkey + 0.5 AS y, s_nationkey + 0.5 AS x, cos(s_suppkey) AS dx, sin(s_suppkey) AS dy FROM supplier),
+      m AS (SELECT id, x, y, dx, dy, k * 0.25 AS t, CAST(floor(x + dx * k * 0.25) AS BIGINT) AS col, CAST(floor(y + dy * k * 0.25) AS BIGINT) AS row FROM r, range(1, 81) v(k)),
+      k AS (SELECT id, x, y, dx, dy, min(CASE WHEN g.row IS NULL THEN {'t': t, 'r': m.row, 'c': m.col} END) AS k FROM m LEFT JOIN g ON g.row = m.row AND g.col = m.col GROUP BY ALL),
+      b AS (SELECT id, x, y, dx, dy, k.k.t AS t, k.k.r AS row, k.k.c AS col FROM k)
+      SELECT id, round(least(greatest(greatest(least((col - x) / dx, (col + 1 - x) / dx), least((row - y) / dy, (row + 1 - y) / dy)), t - 0.25), t), 6) AS range, row, col FROM b""")
+def ray_entries(t):
+    """Where rays enter the first cell that is not free, by its bounds."""
+    cells = t("lineitem").where("l_discount < 0.1").select(F.col("l_suppkey").alias("row"), F.col("l_quantity").cast("long").alias("col"), F.lit(grid.FREE).alias("state")).distinct()
+    s = F.col("s_suppkey")
+    rays = t("supplier").select(s.alias("id"), (F.col("s_nationkey") + 0.5).alias("x"), (s + 0.5).alias("y"), F.cos(s).alias("dx"), F.sin(s).alias("dy"))
+    return grid.ray_entries(rays, cells, 0.25, 20.0, 1.0).withColumn("range", F.round("range", 6))
+
+
+@q("""WITH RECURSIVE s AS (SELECT l_suppkey AS r, CAST(l_quantity AS BIGINT) AS c, max(CASE WHEN l_discount >= 0.09 THEN 2 ELSE 1 END) AS s FROM lineitem GROUP BY 1, 2), o AS (SELECT r, c, r * 1000 + c AS id FROM s WHERE s = 2),
+      u AS (SELECT a.id AS a, b.id AS b FROM o a JOIN o b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND a.id <> b.id),
+      g(node, root) USING KEY (node) AS (SELECT id, id FROM o UNION SELECT u.a, min(g.root) FROM u JOIN g ON u.b = g.node JOIN recurring.g h ON h.node = u.a WHERE g.root < h.root GROUP BY 1),
+      l AS (SELECT root FROM o JOIN g ON g.node = o.id GROUP BY 1 HAVING greatest(max(r) - min(r), max(c) - min(c)) + 1 >= 6), w AS (SELECT r, c FROM o JOIN g ON g.node = o.id SEMI JOIN l USING (root)),
+      d AS (SELECT i, j FROM range(-1, 2) a(i), range(-1, 2) b(j) WHERE i <> 0 OR j <> 0),
+      n AS (SELECT DISTINCT r, c FROM (SELECT r, c, i, j FROM (SELECT w.r - m * i AS r, w.c - m * j AS c, i, j, m FROM w, d, range(1, 5) v(m)) GROUP BY r, c, i, j HAVING min(m) = 1 AND count(*) < 4)),
+      b AS (SELECT min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM s), k AS (SELECT r, c FROM n, b WHERE r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1)
+      SELECT coalesce(s.r, k.r) AS row, coalesce(s.c, k.c) AS col, CASE WHEN k.r IS NOT NULL THEN 2 ELSE s.s END AS state FROM s FULL JOIN k ON s.r = k.r AND s.c = k.c""")
+def thin_wall_inflation(t):
+    """Long thin walls grow by a cell; other occupied cells stay as seen."""
+    cells = t("lineitem").groupBy(F.col("l_suppkey").alias("row"), F.col("l_quantity").cast("long").alias("col")).agg(F.max(F.when(F.col("l_discount") >= 0.09, grid.OCCUPIED).otherwise(grid.FREE)).alias("state"))
+    return grid.inflated_walls(cells, 0.25)
