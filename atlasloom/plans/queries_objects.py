@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from atlasloom.operators import evaluation as E
+from atlasloom.operators import merging
 from atlasloom.operators import objects as O
 from atlasloom.operators import registration as R
 from atlasloom.plans.base import Registry
@@ -195,3 +196,16 @@ def pooled_metrics(t):
 def duration_prediction(t):
     g = t("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.median("value").alias("median"))
     return R.eta(12.5, g).select(F.round("eta", 3).alias("eta"))
+
+
+@q()
+def object_merges(t):
+    """Objects of orders, a block of cells and some sightings each, merged with their duplicates."""
+    rows = t("lineitem").withColumn("id", F.floor(F.col("l_orderkey") / 40))
+    jitter = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(3))
+    x = (F.col("id") % 60) * 3 + jitter(1) + F.col("l_linenumber") % 4
+    y = F.floor(F.col("id") / 60) * 3 + jitter(2) + F.col("l_quantity").cast("long") % 4
+    cells = rows.select("id", x.alias("x"), y.alias("y"), (F.col("l_partkey") % 3).alias("z"))
+    sightings = rows.select("id", (F.col("l_suppkey") % 997).alias("frame"), F.when(F.col("id") % 3 == 0, F.col("l_returnflag")).otherwise("thing").alias("label"))
+    marks = rows.select("id").distinct().select("id", (F.col("id") % 4 > 0).alias("touched"), F.when(F.col("id") % 7 == 0, F.col("id")).alias("published"))
+    return merging.merged(cells, sightings, marks)
