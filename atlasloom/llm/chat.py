@@ -33,6 +33,8 @@ BEFORE = (b"[INST] ", b" ", b"<</SYS>> ")
 AFTER = (b" [/INST]", b" </s>", b" <</END>>")
 #: One formatted turn; the groups are user text, other role, its text, assistant text.
 SEGMENT = re.compile(r"\[INST\] (.*?) \[/INST\]|<<SYS>>(.*?)<</SYS>> (.*?) <</END>>| (.*?) </s>", re.S)
+#: Bytes from which a segment is copied as a slice.
+SLICE_BYTES = 4096
 CODE = re.compile(r"\\([0-7])")
 FIELDS = "formatted binary, loss_start bigint, loss_length bigint"
 
@@ -56,7 +58,14 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scatter(out: np.ndarray, at: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
-    """out[at[k] : at[k] + length[k]] = data[start[k] : start[k] + length[k]] for all k at once."""
+    """out[at[k] : at[k] + length[k]] = data[start[k] : start[k] + length[k]], long segments slice by slice, all others at once by index.
+
+    An index takes eight bytes for each byte that moves, so only segments of some kilobytes have one.
+    """
+    for k in np.flatnonzero(length > SLICE_BYTES).tolist():
+        out[at[k] : at[k] + length[k]] = data[start[k] : start[k] + length[k]]
+    short = length <= SLICE_BYTES
+    at, start, length = at[short], start[short], length[short]
     total = int(length.sum())
     if total:
         run = np.arange(total) - np.repeat(np.cumsum(length) - length, length)

@@ -274,6 +274,18 @@ def test_chat(spark, some):
     same(got, want)
 
 
+def test_long_turns_are_copied_as_slices():
+    """Texts around the limit, and one of megabytes, beside short ones in the same batch."""
+    import pyarrow as pa
+
+    texts = ["short", "é" * (chat.SLICE_BYTES // 2), "x" * (chat.SLICE_BYTES + 1), "", "[INST] \\" + "long " * 600_000, "y"]
+    roles = ["user", "assistant", "system", "assistant", "assistant", "user"]
+    segments, start, length = chat.assemble(pa.array(roles), pa.array(texts))
+    for role, text, segment, a, n in zip(roles, texts, segments.to_pylist(), start, length, strict=True):
+        assert chat.parsed(segment.decode()) == [(role, text)]
+        assert n == 0 or chat.unescape(segment[a : a + n].decode()) == text
+
+
 def test_chat_query(spark, sf):
     """The whole table against its rows, and the probe."""
     rows = {r.conv_id: r for r in QUERIES["op9_chat_format"](spark, sf).collect()}
