@@ -6,10 +6,10 @@ series, `embeddings` for descriptors, `orders` for frames and metrics, `supplier
 
 from __future__ import annotations
 
-from atlasloom.plans import queries_aggregate, queries_checks, queries_fusion, queries_joins, queries_objects, queries_order, queries_places, queries_poses, queries_rules
+from atlasloom.plans import queries_adjustment, queries_aggregate, queries_checks, queries_fusion, queries_joins, queries_objects, queries_order, queries_places, queries_poses, queries_rules
 
 QUERIES = {}
 ORACLE_SQL = {}
-for _module in (queries_aggregate, queries_joins, queries_order, queries_objects, queries_fusion, queries_rules, queries_checks, queries_poses, queries_places):
+for _module in (queries_aggregate, queries_joins, queries_order, queries_objects, queries_fusion, queries_rules, queries_checks, queries_poses, queries_places, queries_adjustment):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
