@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from atlasloom.operators import rules as R
-from atlasloom.plans.base import Registry
+from atlasloom.plans.base import Registry, rounded
 
 q = Registry()
 QUERIES, ORACLE_SQL = q.queries, q.sql
@@ -47,7 +47,7 @@ def epoch_steps(t):
 def replacement(t):
     k = F.col("s_suppkey")
     frames = t("supplier").where("s_suppkey > 0").select(k.alias("frame"), F.when(k > 3, F.floor(k / 2)).alias("reference"), (0.25 + k % 3 / 4.0).alias("share"), (F.col("s_acctbal") / 1000).alias("lever"))
-    return R.replaced(frames, 0.05).select("frame", F.round("shift", 8).alias("shift"))
+    return R.replaced(frames, 0.05).select("frame", rounded(F.col("shift"), 8).alias("shift"))
 
 
 @q()
