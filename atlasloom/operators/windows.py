@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,9 +70,10 @@ def spread_sample(rows: DataFrame, by: list[str], order: list[str], most: int) -
     if most < 2:
         return j.where(F.col("_r") < most).drop("_r", "_n")
     step = (F.col("_n") - 1) / F.lit(most - 1)
-    slot = F.rint(F.col("_r") / step)
-    hit = F.floor(slot * step) == F.col("_r")
-    return j.where((F.col("_n") <= most) | (hit & (slot < most))).drop("_r", "_n")
+    # The slot whose place rounds down to this rank is the next at or after it; one either side allows for rounding.
+    slots = [F.ceil(F.col("_r") / step) + k for k in (-1, 0, 1)]
+    hit = functools.reduce(Column.__or__, [(F.floor(s * step) == F.col("_r")) & (s >= 0) & (s < most) for s in slots])
+    return j.where((F.col("_n") <= most) | hit).drop("_r", "_n")
 
 
 def retained(rows: DataFrame, by: list[str], order: list, newest: int, held: Column | None = None) -> DataFrame:
