@@ -19,14 +19,45 @@ from atlasloom.functions.geometry import col, voxel
 def range_join(a: DataFrame, b: DataFrame, ax: list[str], bx: list[str], radius: float) -> DataFrame:
     """All pairs within the radius, with `distance`: cells of the radius's edge, the neighbours of one side, then the exact test.
 
-    Columns of the two sides must differ. A row of `a` is repeated 3^d times, `b` is not.
+    Columns of the two sides must differ. Rows in the same place are one until near places are found, so cells hold places,
+    and the rows of a pair of places meet by place, of which there are more than cells. A place of `a` is repeated 3^d times.
     """
     d = len(ax)
     offsets = F.array(*[F.array(*[F.lit(k // 3**i % 3 - 1) for i in range(d)]) for k in range(3**d)])
-    near = a.withColumn("_o", F.explode(offsets)).withColumn("_c", F.array(*[voxel(c, radius) + F.col("_o")[i] for i, c in enumerate(ax)])).drop("_o")
-    at = b.withColumn("_d", F.array(*[voxel(c, radius) for c in bx]))
-    square = sum((F.pow(F.col(x) - F.col(y), F.lit(2.0)) for x, y in zip(ax, bx, strict=True)), F.lit(0.0))
-    return near.join(at, F.col("_c") == F.col("_d")).drop("_c", "_d").withColumn("distance", F.sqrt(square)).where(F.col("distance") <= radius)
+    own, other = [f"_a{i}" for i in range(d)], [f"_b{i}" for i in range(d)]
+    places = lambda rows, at, names: rows.select(*[F.col(c).alias(n) for c, n in zip(at, names, strict=True)]).na.drop().distinct()
+    near = places(a, ax, own).withColumn("_o", F.explode(offsets)).withColumn("_c", F.array(*[voxel(c, radius) + F.col("_o")[i] for i, c in enumerate(own)])).drop("_o")
+    at = places(b, bx, other).withColumn("_d", F.array(*[voxel(c, radius) for c in other]))
+    square = sum((F.pow(F.col(x) - F.col(y), F.lit(2.0)) for x, y in zip(own, other, strict=True)), F.lit(0.0))
+    pairs = near.join(at, F.col("_c") == F.col("_d")).drop("_c", "_d").withColumn("distance", F.sqrt(square)).where(F.col("distance") <= radius)
+    same = lambda names, columns: [F.col(n) == F.col(c) for n, c in zip(names, columns, strict=True)]
+    return a.join(pairs, same(own, ax)).join(b, same(other, bx)).select(*a.columns, *b.columns, "distance")
+
+
+def nearest_on_line(a: DataFrame, b: DataFrame, ax: str, bx: str, id: str, radius: float, k: int) -> DataFrame:
+    """Rows of `a` with the `k` nearest rows of `b` within the radius: (a's columns, id, distance), ties to the smaller id.
+
+    Work grows with the rows, not with the pairs: cells of the radius's edge also hold the next `k` places of the cells
+    beside them, and in the order of a cell the `k` places before and after each row are known. Columns of the two sides differ.
+    """
+    first = Window.partitionBy(bx).orderBy(id)
+    ids = b.where(F.col(bx).isNotNull() & F.col(id).isNotNull()).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
+    places = ids.groupBy(F.col(bx).alias("_v")).agg(F.collect_list(id).alias("_i")).withColumn("_c", voxel("_v", radius))
+    up, down = (Window.partitionBy("_c").orderBy(o) for o in (F.asc("_v"), F.desc("_v")))
+    edge = places.withColumns({"_u": F.row_number().over(up), "_d": F.row_number().over(down)})
+    held = F.array_compact(F.array(F.col("_c"), F.when(F.col("_u") <= k, F.col("_c") - 1), F.when(F.col("_d") <= k, F.col("_c") + 1)))
+    met = edge.select("_v", F.struct("_v", "_i").alias("_p"), F.explode(held).alias("_c"))
+    met = met.withColumns({"_l": F.collect_list("_p").over(up.rowsBetween(1 - k, 0)), "_h": F.collect_list("_p").over(down.rowsBetween(1 - k, 0))})
+    asked = a.where(F.col(ax).isNotNull()).select(F.col(ax).alias("_v")).distinct().withColumn("_c", voxel("_v", radius))
+    both = met.select("_c", "_v", "_l", "_h", F.lit(0).alias("_s")).unionByName(asked.withColumn("_s", F.lit(1)), allowMissingColumns=True)
+    # Two orders with frames from the start: a frame to the end would be walked anew for each row.
+    back, ahead = (Window.partitionBy("_c").orderBy(o, "_s").rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("_v"), F.desc("_v")))
+    found = both.withColumn("_l", F.last("_l", ignorenulls=True).over(back)).withColumn("_h", F.last("_h", ignorenulls=True).over(ahead)).where("_s = 1")
+    none = F.array().cast(met.schema["_l"].dataType)
+    near = F.array_union(F.coalesce("_l", none), F.coalesce("_h", none))
+    ranked = F.flatten(F.transform(near, lambda p: F.transform(p["_i"], lambda i: F.struct(F.abs(F.col("_v") - p["_v"]).alias("distance"), i.alias(id)))))
+    best = found.select("_v", F.explode(F.slice(F.array_sort(F.filter(ranked, lambda x: x["distance"] <= radius)), 1, k)).alias("_b"))
+    return a.join(best, F.col(ax) == F.col("_v")).select(*a.columns, f"_b.{id}", "_b.distance")
 
 
 def _block_best(k: int, metric: str, gap: int, query_id: str, vec_id: str):

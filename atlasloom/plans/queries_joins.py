@@ -65,9 +65,8 @@ def planar_range_join(t):
 @q("SELECT c_custkey, s_suppkey, round(d, 4) AS distance FROM (SELECT c_custkey, s_suppkey, d, row_number() OVER (PARTITION BY c_custkey ORDER BY d, s_suppkey) AS r FROM (SELECT c_custkey, s_suppkey, abs(c_acctbal - s_acctbal) AS d FROM customer, supplier WHERE abs(c_acctbal - s_acctbal) <= 400)) WHERE r <= 2")
 def knn_bounded(t):
     """Up to two nearest places within a bound."""
-    near = joins.range_join(t("customer"), t("supplier"), ["c_acctbal"], ["s_acctbal"], 400.0)
-    w = Window.partitionBy("c_custkey").orderBy("distance", "s_suppkey")
-    return near.withColumn("r", F.row_number().over(w)).where("r <= 2").select("c_custkey", "s_suppkey", F.round("distance", 4).alias("distance"))
+    near = joins.nearest_on_line(t("customer"), t("supplier"), "c_acctbal", "s_acctbal", "s_suppkey", 400.0, 2)
+    return near.select("c_custkey", "s_suppkey", F.round("distance", 4).alias("distance"))
 
 
 @q("""SELECT event_id, CASE WHEN v.ts IS NOT NULL THEN round(v.value, 4) END AS matched FROM (SELECT * FROM events WHERE event_type = 'purchase') p

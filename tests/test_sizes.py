@@ -1,9 +1,10 @@
 """What larger tables showed: plans that grow by rounds, ranks that were skipped, pairs that need not be made."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from atlasloom.operators import rules
+from atlasloom.operators import joins, rules
 from atlasloom.operators import windows as W
 from atlasloom.plans.base import checkpoint_folder
 
@@ -36,3 +37,25 @@ def test_levels_of_references_imply_nothing_of_each_other(spark, monkeypatch):
 def test_spread_of_every_size(spark, n):
     got = {r.i for r in W.spread_sample(spark.range(n).selectExpr("0 AS g", "id AS i"), ["g"], ["i"], 20).collect()}
     assert got == ({int(k * ((n - 1) / 19.0)) for k in range(20)} if n > 20 else set(range(n)))
+
+
+def test_nearest_on_a_line(spark):
+    rng = np.random.default_rng(3)
+    a = [(i, None if i % 17 == 0 else float(v)) for i, v in enumerate(rng.integers(-60, 60, 80))]
+    b = [(i, None if i % 13 == 0 else float(v)) for i, v in enumerate(np.append(rng.integers(-60, 0, 50), [40, 40, 40, 44, 36, float("nan")]))]
+    for k in (1, 2, 3):
+        out = joins.nearest_on_line(spark.createDataFrame(a, "q long, x double"), spark.createDataFrame(b, "id long, y double"), "x", "y", "id", 7.0, k)
+        got = sorted((r.q, r.id, r.distance) for r in out.collect())
+        near = {q: sorted((abs(x - y), i) for i, y in b if y is not None and abs(x - y) <= 7)[:k] for q, x in a if x is not None}
+        assert got == sorted((q, i, d) for q, best in near.items() for d, i in best)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_rows_in_one_place_meet_once(spark):
+    a = spark.createDataFrame([(i, float(i % 3), None if i == 5 else 0.0) for i in range(60)], "i int, x double, y double")
+    b = spark.createDataFrame([(i, float(i % 2), float("nan") if i == 4 else 0.0) for i in range(40)], "j int, u double, v double")
+    near = joins.range_join(a, b, ["x", "y"], ["u", "v"], 1.0)
+    want = sorted((i, j) for i in range(60) for j in range(40) if i != 5 and j != 4 and abs(i % 3 - j % 2) <= 1)
+    assert sorted((r.i, r.j) for r in near.collect()) == want
+    assert near.columns == ["i", "x", "y", "j", "u", "v", "distance"]
+    assert near._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
