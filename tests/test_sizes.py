@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from atlasloom.operators import joins, rules
+from atlasloom.operators import joins, objects, rules
 from atlasloom.operators import windows as W
 from atlasloom.plans.base import checkpoint_folder
 
@@ -59,3 +59,16 @@ def test_rows_in_one_place_meet_once(spark):
     assert sorted((r.i, r.j) for r in near.collect()) == want
     assert near.columns == ["i", "x", "y", "j", "u", "v", "distance"]
     assert near._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
+
+
+def test_equal_boxes_meet_once(spark):
+    rows = [(f, i, float(i % 5), float(i % 3), float(i % 5 + 10), float(i % 3 + 5)) for f in range(2) for i in range(40)] + [(0, 99, None, 0.0, 9.0, 9.0)]
+    out = objects.overlapping(spark.createDataFrame(rows, "f int, i int, x0 double, y0 double, x1 double, y1 double"), "f", "i", 0.5)
+    want = []
+    for f, i, *a in rows[:-1]:
+        for g, j, *b in rows[:-1]:
+            both = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+            if f == g and i < j and both / (100 - both) >= 0.5:
+                want.append((f, i, j, round(both / (100 - both), 9)))
+    assert sorted((r.f, r.i, r.i_b, round(r.iou, 9)) for r in out.collect()) == sorted(want)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
