@@ -29,9 +29,11 @@ def range_join(a: DataFrame, b: DataFrame, ax: list[str], bx: list[str], radius:
     near = places(a, ax, own).withColumn("_o", F.explode(offsets)).withColumn("_c", F.array(*[voxel(c, radius) + F.col("_o")[i] for i, c in enumerate(own)])).drop("_o")
     at = places(b, bx, other).withColumn("_d", F.array(*[voxel(c, radius) for c in other]))
     square = sum((F.pow(F.col(x) - F.col(y), F.lit(2.0)) for x, y in zip(own, other, strict=True)), F.lit(0.0))
-    pairs = near.join(at, F.col("_c") == F.col("_d")).drop("_c", "_d").withColumn("distance", F.sqrt(square)).where(F.col("distance") <= radius)
+    pairs = near.join(at, F.col("_c") == F.col("_d")).drop("_c", "_d").withColumn("_m", F.sqrt(square)).where(F.col("_m") <= radius)
+    # Pairs of places are few bytes and many rows to come: they are dealt out by number, as tasks merged by bytes would be too few.
+    pairs = pairs.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), *own, *other)
     same = lambda names, columns: [F.col(n) == F.col(c) for n, c in zip(names, columns, strict=True)]
-    return a.join(pairs, same(own, ax)).join(b, same(other, bx)).select(*a.columns, *b.columns, "distance")
+    return a.join(pairs, same(own, ax)).join(b, same(other, bx)).withColumn("distance", F.col("_m")).drop(*own, *other, "_m")
 
 
 def nearest_on_line(a: DataFrame, b: DataFrame, ax: str, bx: str, id: str, radius: float, k: int) -> DataFrame:
