@@ -72,3 +72,11 @@ def test_equal_boxes_meet_once(spark):
                 want.append((f, i, j, round(both / (100 - both), 9)))
     assert sorted((r.f, r.i, r.i_b, round(r.iou, 9)) for r in out.collect()) == sorted(want)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
+
+
+def test_equal_surfaces_hold_as_one(spark):
+    items = spark.createDataFrame([(i, 0.5, 0.5, [1.0, 1.01, None, 3.0][i % 4]) for i in range(40)], "id int, x double, y double, bottom double")
+    surfaces = spark.createDataFrame([(100 - i, 1.0, float(i % 2), 0.0, 0.0, 1.0, 1.0) for i in range(60)], "sid int, height double, area double, x0 double, y0 double, x1 double, y1 double")
+    out = objects.supports(items, surfaces)
+    assert sorted((r.id, r.sid) for r in out.collect()) == [(i, 41) for i in range(40) if i % 4 < 2]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
