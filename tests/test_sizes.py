@@ -1,11 +1,16 @@
 """What larger tables showed: plans that grow by rounds, ranks that were skipped, pairs that need not be made."""
 
+import time
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from atlasloom.llm import common
 from atlasloom.operators import joins, objects, rules
 from atlasloom.operators import windows as W
+from atlasloom.operators.graph import SHUFFLES_GO, _cut
 from atlasloom.plans.base import checkpoint_folder
 
 
@@ -80,3 +85,17 @@ def test_equal_surfaces_hold_as_one(spark):
     out = objects.supports(items, surfaces)
     assert sorted((r.id, r.sid) for r in out.collect()) == [(i, 41) for i in range(40) if i % 4 < 2]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
+
+
+def test_written_steps_leave_no_shuffle_files(spark, tmp_path):
+    """Disk holds the shuffles of one step, not of all steps so far."""
+    folders = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p for d in folders for p in Path(d).rglob("shuffle_*.data")}
+    before, conf = files(), spark.conf.get(SHUFFLES_GO, None)
+    rows = spark.range(1000).repartition(3, "id")
+    held = [rows, common.written(rows, "step"), _cut(rows, None), _cut(rows, f"file://{tmp_path}")]
+    deadline = time.time() + 15
+    while files() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(SHUFFLES_GO, None) == conf
+    assert [d.count() for d in held] == [1000] * 4
