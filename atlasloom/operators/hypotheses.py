@@ -1,16 +1,18 @@
 """Frame placement: correspondences, poses by sequential RANSAC over every row, and the guards that a pose must pass.
 
-Hypotheses are drawn from a bounded sample of a group's rows. They are scored, refitted and judged over all rows: a group
-is dealt to parts of `part_rows` rows, parts meet the group's hypotheses, and counts and normal equations of parts are
-added. The inliers of the best model are then taken out, and the next model is looked for among what is left.
+Hypotheses are drawn from a bounded sample of a group's rows. They are scored, refitted and judged over all rows: a group of
+up to `part_rows` rows in one task, a larger one in parts of that size that meet its hypotheses, and counts and normal
+equations of parts are added. The inliers of the best model are then taken out, and the next model is looked for among what is left.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ LEAST_INLIERS, RIVAL_SHARE, RIVAL_METRES, RIVAL_DEGREES = 15, 0.25, 0.10, 5.0
 #: Sigmas and noise of the guards (fixed values).
 K_SIGMA, POINT_NOISE, FLOOR_BAND = 3.0, 0.10, 0.06
 NEAREST = 0.05
+#: Errors of models in rows that are computed at once; arrays of this size stay in a core's cache.
+CELLS = 1 << 15
 
 
 def correspondences(matches: DataFrame, points: DataFrame, frames: DataFrame) -> DataFrame:
@@ -63,42 +67,48 @@ class Pose:
     @staticmethod
     def fit(rows: np.ndarray) -> np.ndarray:
         """From four rows each: distances of three points by the quartic of their law of cosines; the fourth chooses among the roots."""
-        out = []
-        for r in rows:
-            p, f = r[:, :3], np.column_stack([r[:, 3:], np.ones(len(r))])
-            f = f / np.linalg.norm(f, axis=1)[:, None]
-            a, b, c = (float(np.sum((p[i] - p[j]) ** 2)) for i, j in ((1, 2), (0, 2), (0, 1)))
-            if min(a, b, c) < 1e-12:
-                continue
-            ca, cb, cc = f[1] @ f[2], f[0] @ f[2], f[0] @ f[1]
-            k, s = (a - c) / b, (a + c) / b
-            quartic = [
-                (k - 1) ** 2 - 4 * c / b * ca**2,
-                4 * (k * (1 - k) * cb - (1 - s) * ca * cc + 2 * c / b * ca**2 * cb),
-                2 * (k**2 - 1 + 2 * k**2 * cb**2 + 2 * (b - c) / b * ca**2 - 4 * s * ca * cb * cc + 2 * (b - a) / b * cc**2),
-                4 * (-k * (1 + k) * cb + 2 * a / b * cc**2 * cb - (1 - s) * ca * cc),
-                (1 + k) ** 2 - 4 * a / b * cc**2,
-            ]
-            if not np.isfinite(quartic).all() or abs(quartic[0]) < 1e-14:
-                continue
-            roots = np.roots(quartic)
-            found = []
-            for v in roots.real[np.abs(roots.imag) < 1e-6]:
-                below = 2 * (cc - v * ca)
-                near = 1 + v * v - 2 * v * cb
-                if v <= 0 or abs(below) < 1e-12 or near <= 0:
-                    continue
-                u = ((k - 1) * v * v - 2 * k * cb * v + 1 + k) / below
-                if u <= 0:
-                    continue
-                cam = f[:3] * (np.sqrt(b / near) * np.array([1.0, u, v]))[:, None]
-                turn = _turn((p[:3] - p[:3].mean(0)).T @ (cam - cam.mean(0)))
-                found.append(np.concatenate([turn.ravel(), p[:3].mean(0) - turn @ cam.mean(0)]))
-            if found:
-                off = Pose.errors(np.array(found), r[3:4])[:, 0]
-                if np.isfinite(off).any():
-                    out.append(found[int(np.argmin(off))])
-        return np.array(out).reshape(-1, 12)
+        if not len(rows):
+            return np.empty((0, 12))
+        p, f = rows[..., :3], np.concatenate([rows[..., 3:], np.ones((*rows.shape[:-1], 1))], -1)
+        f = f / np.linalg.norm(f, axis=-1, keepdims=True)
+        a, b, c = (((p[:, i] - p[:, j]) ** 2).sum(-1) for i, j in ((1, 2), (0, 2), (0, 1)))
+        sound = np.minimum(np.minimum(a, b), c) >= 1e-12
+        p, f, a, b, c, fourth = p[sound], f[sound], a[sound], b[sound], c[sound], rows[sound, 3]
+        ca, cb, cc = ((f[:, i] * f[:, j]).sum(-1) for i, j in ((1, 2), (0, 2), (0, 1)))
+        k, s = (a - c) / b, (a + c) / b
+        quartic = np.stack([
+            (k - 1) ** 2 - 4 * c / b * ca**2,
+            4 * (k * (1 - k) * cb - (1 - s) * ca * cc + 2 * c / b * ca**2 * cb),
+            2 * (k**2 - 1 + 2 * k**2 * cb**2 + 2 * (b - c) / b * ca**2 - 4 * s * ca * cb * cc + 2 * (b - a) / b * cc**2),
+            4 * (-k * (1 + k) * cb + 2 * a / b * cc**2 * cb - (1 - s) * ca * cc),
+            (1 + k) ** 2 - 4 * a / b * cc**2,
+        ], -1)
+        fine = np.flatnonzero(np.isfinite(quartic).all(-1) & (np.abs(quartic[:, 0]) >= 1e-14))
+        companion = np.zeros((len(fine), 4, 4))
+        companion[:, 0] = -quartic[fine, 1:] / quartic[fine, :1]
+        companion[:, [1, 2, 3], [0, 1, 2]] = 1.0
+        roots = np.linalg.eigvals(companion)
+        with np.errstate(all="ignore"):
+            v = roots.real
+            of = lambda x: x[fine][:, None]
+            below, near = 2 * (of(cc) - v * of(ca)), 1 + v * v - 2 * v * of(cb)
+            u = ((of(k) - 1) * v * v - 2 * of(k) * of(cb) * v + 1 + of(k)) / below
+            good = (np.abs(roots.imag) < 1e-6) & (v > 0) & (np.abs(below) >= 1e-12) & (near > 0) & (u > 0)
+        row, root = np.nonzero(good)
+        d = fine[row]
+        reach = np.sqrt(b[d] / near[row, root])[:, None] * np.stack([np.ones(len(row)), u[row, root], v[row, root]], -1)
+        cam = f[d, :3] * reach[..., None]
+        middle, seen = p[d, :3].mean(1), cam.mean(1)
+        turn = _turn(np.swapaxes(p[d, :3] - middle[:, None], 1, 2) @ (cam - seen[:, None]))
+        models = np.concatenate([turn.reshape(-1, 9), middle - (turn @ seen[..., None])[..., 0]], -1)
+        at = ((fourth[d, :3] - models[:, 9:])[:, None] @ turn)[:, 0]
+        z = np.where(at[:, 2] > NEAREST, at[:, 2], np.nan)
+        off = np.hypot(at[:, 0] / z - fourth[d, 3], at[:, 1] / z - fourth[d, 4])
+        off = np.where(np.isnan(off), np.inf, off)
+        # Of a draw's roots the first of least error; none in front of the camera, no model.
+        order = np.lexsort((np.arange(len(d)), off, d))
+        first = np.append(True, d[order][1:] != d[order][:-1])[: len(d)] if len(d) else np.zeros(0, bool)
+        return models[[i for i in order[first] if np.isfinite(off[i])]]
 
     @staticmethod
     def _seen(model: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -146,8 +156,8 @@ class Rotation:
 
     @staticmethod
     def errors(models: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        turned = np.einsum("mij,nj->mni", models.reshape(-1, 3, 3), rows[:, 3:])
-        return 2 * np.arcsin(np.clip(np.linalg.norm(turned - rows[None, :, :3], axis=-1) / 2, 0, 1))
+        off = models.reshape(-1, 3, 3) @ rows[:, 3:].T - rows[:, :3].T
+        return 2 * np.arcsin(np.minimum(np.sqrt(off[:, 0] ** 2 + off[:, 1] ** 2 + off[:, 2] ** 2) / 2, 1))
 
     @staticmethod
     def sums(model: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -176,15 +186,18 @@ class Epipolar:
 
     @staticmethod
     def fit(rows: np.ndarray) -> np.ndarray:
-        return Epipolar._essential(np.linalg.svd(Epipolar._design(rows))[2][..., -1, :]) if len(rows) else np.empty((0, 9))
+        if not len(rows):
+            return np.empty((0, 9))
+        # The last direction is at right angles to all eight rows.
+        return Epipolar._essential(np.linalg.qr(np.swapaxes(Epipolar._design(rows), 1, 2), mode="complete")[0][..., -1])
 
     @staticmethod
     def errors(models: np.ndarray, rows: np.ndarray) -> np.ndarray:
         e = models.reshape(-1, 3, 3)
-        a, b = (np.column_stack([rows[:, k : k + 2], np.ones(len(rows))]) for k in (0, 2))
-        ea, eb = np.einsum("mij,nj->mni", e, a), np.einsum("mij,ni->mnj", e, b)
-        off = np.einsum("mni,ni->mn", ea, b)
-        return np.abs(off) / np.sqrt(np.maximum((ea[..., :2] ** 2).sum(-1) + (eb[..., :2] ** 2).sum(-1), 1e-300))
+        a, b = (np.column_stack([rows[:, k : k + 2], np.ones(len(rows))]).T for k in (0, 2))
+        off = np.abs(models @ Epipolar._design(rows).T)
+        ends = sum((m @ x) ** 2 for m, x in ((e[:, 0], a), (e[:, 1], a), (e[:, :, 0], b), (e[:, :, 1], b)))
+        return off / np.sqrt(np.maximum(ends, 1e-300))
 
     @staticmethod
     def sums(model: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -221,7 +234,6 @@ def sequential(rows: DataFrame, by: list[str], kind, threshold: float, models: i
     numbered = rows.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
     plain = numbered.where(F.coalesce(sound, F.lit(False))).select(*[F.col(b).alias(k) for k, b in zip(keys, by, strict=True)], *[F.col(c).cast("double").alias(c) for c in values], "_row")
     taken, found, first = None, [], None
-    left = plain
 
     def met(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
         b = b.withColumnsRenamed({k: f"_o{k}" for k in keys})
@@ -230,7 +242,14 @@ def sequential(rows: DataFrame, by: list[str], kind, threshold: float, models: i
             same = same & F.col(k).eqNullSafe(F.col(f"_o{k}"))
         return a.join(b, same, how).drop(*[f"_o{k}" for k in keys])
 
-    for number in range(models):
+    # Groups of one part go through all models in one pass; only the others are met part by part.
+    large = plain.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part_rows).select(*keys).checkpoint()
+    some = not large.isEmpty()
+    left = met(plain, large, "left_semi") if some else plain.limit(0)
+    whole = met(plain, large, "left_anti") if some else plain
+    chances = [F.pmod(F.xxhash64("_row", F.lit(seed + k)), F.lit(1 << 30)).alias(f"_s{k}") for k in range(models)]
+    solved = whole.select("*", *chances).groupBy(*keys).applyInArrow(_solved(kind, keys, values, threshold, models, least, share, draws, sample, refits, seed), f"{key_schema}, model int, params array<double>, inliers bigint, _rows array<bigint>").checkpoint()
+    for number in range(models if some else 0):
         sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         if first is not None:
             sizes = met(sizes, first.select(*keys, F.col("inliers").alias("_first")), "left_outer").where(F.col("_first").isNotNull())
@@ -265,11 +284,11 @@ def sequential(rows: DataFrame, by: list[str], kind, threshold: float, models: i
         taken = inside if taken is None else taken.union(inside)
         found.append(new)
         left = met(left, new.select(*keys)).join(inside, "_row", "left_anti")
-    empty = rows.sparkSession.createDataFrame([], f"{key_schema}, model int, params array<double>, inliers bigint")
-    out = empty
+    out = solved.drop("_rows")
     for new in found:
         out = out.union(new)
-    taken = taken if taken is not None else rows.sparkSession.createDataFrame([], "_row bigint, model int")
+    alone = solved.select(F.explode("_rows").alias("_row"), "model")
+    taken = alone if taken is None else taken.union(alone)
     return Found(out.withColumnsRenamed(dict(zip(keys, by, strict=True))), numbered.drop("model").join(taken, "_row", "left").drop("_row"))
 
 
@@ -279,14 +298,57 @@ def _frame(key, keys: list[str], n: int, **columns) -> pd.DataFrame:
     return pd.DataFrame(columns if n else {c: pd.Series([], dtype=object) for c in columns})
 
 
+def _tried(kind, rows: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """Models through draws of a group's sampled rows."""
+    if len(rows) < kind.draws:
+        return np.empty((0, kind.size))
+    rng = np.random.default_rng(seed)
+    models = kind.fit(rows[np.argpartition(rng.random((draws, len(rows))), kind.draws - 1, axis=1)[:, : kind.draws]])
+    return models[np.isfinite(models).all(axis=1)]
+
+
+def _solved(kind, keys, values, threshold, models, least, share, draws, sample, refits, seed):
+    """All models of a group of one part, and the rows that are inliers of each."""
+
+    def run(key, table):
+        row = table["_row"].to_numpy()
+        order = np.argsort(row)
+        row, data = row[order], np.column_stack([table[c].to_numpy() for c in values])[order]
+        chance = [table[f"_s{k}"].to_numpy()[order] for k in range(models)]
+        left, first, found = np.arange(len(row)), None, []
+        for number in range(models):
+            need = least if first is None else max(least, math.ceil(share * first))
+            if len(left) < need or not len(left):
+                break
+            rows = data[left]
+            tried = _tried(kind, rows[chance[number][left] < 1 / len(left) * (sample * (1 << 30))][: 2 * sample], draws, seed + number)
+            if not len(tried):
+                break
+            step = max(1, CELLS // len(rows))
+            count = np.concatenate([(kind.errors(tried[k : k + step], rows) <= threshold).sum(1) for k in range(0, len(tried), step)])
+            model = tried[int(np.argmax(count))]
+            for _ in range(refits):
+                near = rows[kind.errors(model[None], rows)[0] <= threshold]
+                new = kind.update(model, kind.sums(model, near)) if len(near) >= kind.draws else model
+                model = new if np.isfinite(new).all() else model
+            inside = kind.errors(model[None], rows)[0] <= threshold
+            n = int(inside.sum())
+            if n < need:
+                break
+            first = n if first is None else first
+            found.append((number, model, n, row[left[inside]]))
+            left = left[~inside]
+        parts = list(zip(*found, strict=True)) or [[]] * 4
+        one = [pa.array([k.as_py()] * len(found), k.type) for k in key]
+        rest = [pa.array(parts[0], pa.int32()), pa.array(list(parts[1]), pa.list_(pa.float64())), pa.array(parts[2], pa.int64()), pa.array(list(parts[3]), pa.list_(pa.int64()))]
+        return pa.Table.from_arrays([*one, *rest], names=[*keys, "model", "params", "inliers", "_rows"])
+
+    return run
+
+
 def _drawn(kind, keys, values, draws, sample, seed):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("_row")[values].to_numpy(float)[: 2 * sample]
-        if len(rows) < kind.draws:
-            return _frame(key, keys, 0, params=[])
-        rng = np.random.default_rng(seed)
-        models = kind.fit(rows[np.argsort(rng.random((draws, len(rows))), axis=1)[:, : kind.draws]])
-        models = models[np.isfinite(models).all(axis=1)]
+        models = _tried(kind, pdf.sort_values("_row")[values].to_numpy(float)[: 2 * sample], draws, seed)
         n = min(1, len(models))
         return _frame(key, keys, n, params=[models.ravel()] * n)
 

@@ -90,3 +90,15 @@ def test_rivals_and_empty_tables(spark):
     none = spark.createDataFrame([], "f int, x double, y double, z double, bu double, bv double")
     found = H.sequential(none, ["f"], H.Pose, 1e-3)
     assert found.models.count() == 0 and found.rows.columns == [*none.columns, "model"] and found.rows.count() == 0
+
+
+def test_groups_of_one_part_are_met_once(spark, monkeypatch):
+    """All models of ordinary groups come from one pass over their rows; only groups of several parts take rounds."""
+    kind, cuts = type(spark.range(1)), []
+    cut = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *args: cuts.append(1) or cut(self, *args))
+    rng = np.random.default_rng(5)
+    two = [(f, *map(float, v)) for f in range(3) for a, n in ((0.3, 60), (1.2, 30)) for v in views(rng, turned([0, f, a]), np.zeros(3), n)]
+    rows = spark.createDataFrame(two, "f int, x double, y double, z double, bu double, bv double")
+    assert sorted((r.f, r.model, r.inliers) for r in H.sequential(rows, ["f"], H.Pose, 1e-4).models.collect()) == [(f, k, n) for f in range(3) for k, n in ((0, 60), (1, 30))]
+    assert len(cuts) == 3
