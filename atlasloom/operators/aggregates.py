@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from atlasloom.functions.geometry import col, voxel
+from atlasloom.functions.geometry import col, finite, voxel
+from atlasloom.operators import quantiles
 
 #: Standard deviations in a median absolute deviation of normal data.
 MAD_SIGMA = 1.4826
@@ -85,12 +86,28 @@ def mad(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return middle.join(spread, by).withColumn("sigma", F.col("mad") * MAD_SIGMA)
 
 
+def _quantiles(rows: DataFrame, by: list[str], value: str, probs: tuple[float, ...]) -> DataFrame:
+    """(by, q): exact quantiles of each group with a value and no null key, without a group's values in one task.
+
+    Groups with NaN or infinite values are ranked by `percentile`, which counts those as the greatest or least.
+    """
+    sound = rows.select(*by, value).na.drop(subset=list(by)).where(F.col(value).isNotNull())
+    odd = sound.where(~finite(value)).select(*by).distinct().checkpoint()
+    if odd.isEmpty():
+        return quantiles.exact(sound, by, value, probs).select(*by, "q")
+    other = sound.join(odd, by, "left_semi").groupBy(*by).agg(F.percentile(value, F.array(*map(F.lit, probs))).alias("q"))
+    return quantiles.exact(sound.join(odd, by, "left_anti"), by, value, probs).select(*by, "q").unionByName(other)
+
+
 def robust_ratio(rows: DataFrame, by: list[str], top: str, bottom: str, gate: float = 3.0, eps: float = 1e-9) -> DataFrame:
     """Median ratio per group over rows whose log ratio lies within `gate` robust sigmas of the median one."""
     logs = rows.where((F.col(top) > 0) & (F.col(bottom) > 0)).withColumn("_l", F.log(F.col(top) / F.col(bottom)))
-    m = mad(logs, by, "_l").select(*by, "median", "sigma")
+    middle = _quantiles(logs, by, "_l", (0.5,)).select(*by, F.col("q")[0].alias("median")).checkpoint()
+    off = logs.join(middle, by).withColumn("_d", F.abs(F.col("_l") - F.col("median")))
+    m = middle.join(_quantiles(off, by, "_d", (0.5,)), by).select(*by, "median", (F.col("q")[0] * MAD_SIGMA).alias("sigma")).checkpoint()
     kept = logs.join(m, by).where(F.abs(F.col("_l") - F.col("median")) <= gate * F.col("sigma") + eps)
-    return kept.groupBy(*by).agg(F.exp(F.median("_l")).alias("ratio"), F.count(F.lit(1)).alias("n"))
+    ratio = _quantiles(kept, by, "_l", (0.5,)).select(*by, F.exp(F.col("q")[0]).alias("ratio"))
+    return ratio.join(kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by)
 
 
 def inverse_variance(rows: DataFrame, by: list[str], value: str, sigma: str) -> DataFrame:
@@ -214,7 +231,7 @@ def worst_state(grid: DataFrame, factor: int, row: str = "row", column: str = "c
 
 def trimmed_mean(rows: DataFrame, by: list[str], value: str, weight: str, lo: float = 0.1, hi: float = 0.9) -> DataFrame:
     """Weighted mean of the values between two exact percentiles, bounds included."""
-    bounds = extent(rows, by, value, lo, hi)
+    bounds = _quantiles(rows, by, value, (lo, hi)).select(*by, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")).checkpoint()
     return rows.join(bounds, by).where(F.col(value).between(F.col("lo"), F.col("hi"))).groupBy(*by).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 

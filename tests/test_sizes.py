@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atlasloom.llm import common
-from atlasloom.operators import joins, objects, rules
+from atlasloom.operators import aggregates, joins, objects, rules
 from atlasloom.operators import windows as W
 from atlasloom.operators.graph import SHUFFLES_GO, _cut
 from atlasloom.plans.base import checkpoint_folder
@@ -99,3 +99,24 @@ def test_written_steps_leave_no_shuffle_files(spark, tmp_path):
         time.sleep(0.2)
     assert not files() - before and spark.conf.get(SHUFFLES_GO, None) == conf
     assert [d.count() for d in held] == [1000] * 4
+
+
+def test_ranks_of_a_large_group_are_counted(spark):
+    """No task holds a group's values; groups with infinite values or NaN are ranked with them, as before."""
+    n = 250_001
+    rows = spark.range(n).select(F.lit("a").alias("g"), (F.pmod(F.col("id") * 7919, F.lit(n)) + 1).cast("double").alias("v"), (1 + F.col("id") % 2).cast("double").alias("w"))
+    more = spark.createDataFrame([("b", float(v), 1.0) for v in range(1, 10)] + [("b", float("inf"), 1.0), ("b", None, 1.0), (None, 5.0, 1.0)], "g string, v double, w double")
+    both = rows.union(more)
+    out = aggregates.trimmed_mean(both, ["g"], "v", "w")
+    got = {r.g: r for r in out.collect()}
+    v = np.arange(n) * 7919 % n + 1.0
+    keep = (v >= np.quantile(v, 0.1)) & (v <= np.quantile(v, 0.9))
+    assert set(got) == {"a", "b"} and got["a"].n == keep.sum() and got["b"].n == 9
+    assert got["a"].mean == pytest.approx(np.average(v[keep], weights=1.0 + np.arange(n)[keep] % 2)) and got["b"].mean == float("inf")
+    ratio = aggregates.robust_ratio(rows.withColumn("one", F.lit(1.0)), ["g"], "v", "one")
+    log = np.log(v)
+    off = np.abs(log - np.median(log))
+    inside = off <= 3 * aggregates.MAD_SIGMA * np.median(off) + 1e-9
+    [r] = ratio.collect()
+    assert r.n == inside.sum() and r.ratio == pytest.approx(np.exp(np.median(log[inside])))
+    assert all("percentile" not in d._jdf.queryExecution().optimizedPlan().toString() for d in (aggregates.trimmed_mean(rows, ["g"], "v", "w"), ratio.select("n")))
