@@ -53,11 +53,7 @@ def replacement(t):
 @q()
 def independent_set(t):
     """Places that are at least 150 apart, kept in order."""
-    from atlasloom.operators.joins import range_join
-
-    s = t("supplier").select(F.col("s_suppkey").alias("item"), F.col("s_acctbal").alias("x"))
-    near = range_join(s.withColumnRenamed("item", "a"), s.select(F.col("item").alias("b"), F.col("x").alias("bx")), ["x"], ["bx"], 150.0)
-    return R.independent_set(s, near.select("a", "b"))
+    return R.independent_places(t("supplier").select(F.col("s_suppkey").alias("item"), F.col("s_acctbal").alias("x")), "item", "x", 150.0)
 
 
 @q("""WITH r AS (SELECT user_id, value, w, sum(w) OVER (PARTITION BY user_id ORDER BY value) AS c, sum(w) OVER (PARTITION BY user_id) AS a FROM (SELECT *, event_id % 7 AS w FROM events) WHERE w > 0) SELECT user_id, min(value) AS median FROM r WHERE 2 * c >= a GROUP BY 1""")
