@@ -62,28 +62,65 @@ def nearest_on_line(a: DataFrame, b: DataFrame, ax: str, bx: str, id: str, radiu
     return a.join(best, F.col(ax) == F.col("_v")).select(*a.columns, f"_b.{id}", "_b.distance")
 
 
+#: Rows of a strip of queries, and of the first and the longest strip of vectors, that are one matrix product.
+QUERY_STRIP, FIRST_STRIP, VECTOR_STRIP = 1024, 256, 4096
+
+
 def _block_best(k: int, metric: str, gap: int, query_id: str, vec_id: str):
+    digits = 6 if metric == "cosine" else 5
+
     def run(_key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        c = c.sort_values("i", kind="stable")
+        qi, ci = q["i"].to_numpy(), c["i"].to_numpy()
+        if not len(qi) or not len(ci):
+            return pd.DataFrame({query_id: qi[:0], vec_id: ci[:0], "score": np.zeros(0)})
         x, y = (np.stack(d["v"].to_numpy()).astype(np.float64) for d in (q, c))
         if metric == "cosine":
             x, y = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) for v in (x, y))
-            score = np.round(x @ y.T, 6)
         else:
-            score = -np.round(np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * (x @ y.T), 0)), 5)
-        qi, ci = q["i"].to_numpy(), c["i"].to_numpy()
-        score[np.abs(qi[:, None] - ci[None]) <= gap] = -np.inf
-        order = np.lexsort((np.broadcast_to(ci, score.shape), -score))[:, :k]
-        rows = np.repeat(np.arange(len(qi)), order.shape[1])
-        out = pd.DataFrame({query_id: qi[rows], vec_id: ci[order.ravel()], "score": score[rows, order.ravel()]})
-        return out[np.isfinite(out["score"])]
+            xx, yy = ((v * v).sum(1) for v in (x, y))
+        near, far = np.searchsorted(ci, qi - gap, "left"), np.searchsorted(ci, qi + gap, "right")
+        out = []
+        for at in range(0, len(qi), QUERY_STRIP):
+            to = min(at + QUERY_STRIP, len(qi))
+            # The best so far, by row: candidates of equal scores have larger ids strip by strip, so they must score more to enter.
+            row, col, best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            bound = np.full(to - at, -np.inf)
+            lo, width = 0, FIRST_STRIP
+            while lo < len(ci):
+                hi = min(lo + width, len(ci))
+                score = x[at:to] @ y[lo:hi].T
+                if metric != "cosine":
+                    score *= -2
+                    score += xx[at:to, None] + yy[None, lo:hi]
+                    np.negative(score, out=score)
+                for r in np.flatnonzero((near[at:to] < hi) & (far[at:to] > lo)):
+                    score[r, max(0, near[at + r] - lo) : max(0, far[at + r] - lo)] = -np.inf
+                r, v = np.nonzero(score > bound[:, None])
+                s = score[r, v]
+                s = np.round(s, digits) if metric == "cosine" else -np.round(np.sqrt(np.maximum(-s, 0)), digits)
+                keep = np.isfinite(s)
+                row, col, best = np.append(row, r[keep]), np.append(col, v[keep] + lo), np.append(best, s[keep])
+                order = np.lexsort((col, -best, row))
+                row, col, best = row[order], col[order], best[order]
+                first = np.searchsorted(row, np.arange(to - at))
+                rank = np.arange(len(row)) - first[row]
+                row, col, best, last = row[rank < k], col[rank < k], best[rank < k], rank[rank < k] == k - 1
+                # A product a little under the last of the best may still round up to more than it; one at half a unit under can't.
+                least = best[last] + 10.0**-digits * 0.25
+                bound[row[last]] = least if metric == "cosine" else -np.square(np.minimum(least, 0.0))
+                lo, width = hi, min(width * 4, VECTOR_STRIP)
+            out.append(pd.DataFrame({query_id: qi[at + row], vec_id: ci[col], "score": best}))
+        return pd.concat(out, ignore_index=True)
 
     return run
 
 
-def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", gap: int = 0, id: str = "vec_id", vector: str = "embedding", block_rows: int = 4096) -> DataFrame:
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", gap: int = 0, id: str = "vec_id", vector: str = "embedding", block_rows: int = 8192) -> DataFrame:
     """Exact k best of all vectors for each query: (query_id, vec_id, score, rank); ids at most `gap` apart are left out, ties go to the smaller id.
 
-    Both sides are dealt into blocks; each pair of blocks is one matrix product, of which k rows per query go on.
+    Both sides are dealt into blocks; each pair of blocks is matrix products in strips, of which k rows per query go on. Within a
+    block what can't be among a query's best so far is left after one comparison, so only a few scores are rounded and sorted.
     """
     n_q, n_v = (max(1, math.ceil(d.count() / block_rows)) for d in (queries, vectors))
     side = lambda d, n: d.select(F.col(id).alias("i"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id), F.lit(n)).alias("b"))

@@ -35,3 +35,34 @@ def test_places_kept_make_no_pairs(spark, monkeypatch):
     rows = spark.range(500).selectExpr("id AS s_suppkey", "id / 10.0D AS s_acctbal")
     monkeypatch.setattr(type(spark.read), "parquet", lambda self, path: rows)
     assert [r[0] for r in catalogue.QUERIES["independent_set"](spark, "/none").collect()] == [0]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_few_scores_of_a_block_are_sorted(monkeypatch, metric):
+    """The best of a block, with many copies and ids left out; what can't be among the best is neither rounded nor sorted."""
+    import pandas as pd
+
+    from atlasloom.operators import joins
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(1500, 8)).astype(np.float32)
+    v[rng.integers(0, 1500, 700)] = v[3]
+    ids = rng.permutation(1500).astype(np.int64)
+    rows = pd.DataFrame({"i": ids, "v": list(v)})
+    seen, sort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: seen.append(np.broadcast(*keys).size) or sort(keys))
+    got = joins._block_best(4, metric, 5, "q", "i")(None, rows.head(400), rows)
+    assert sum(seen) < 400 * 1500 / 2
+    x = v.astype(np.float64)
+    if metric == "cosine":
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        score = np.round(x[:400] @ x.T, 6)
+    else:
+        score = -np.round(np.sqrt(np.maximum((x[:400] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * (x[:400] @ x.T), 0)), 5)
+    want = {}
+    for a in range(400):
+        order = sorted((-score[a, b], ids[b]) for b in range(1500) if abs(ids[a] - ids[b]) > 5)[:4]
+        want[ids[a]] = [(i, round(-s, 6)) for s, i in order]
+    found = {q: [(r.i, round(r.score, 6)) for r in g.itertuples()] for q, g in got.groupby("q")}
+    same = sum(found[q] == want[q] for q in want)
+    assert same >= 398 and all([s for _, s in found[q]] == pytest.approx([s for _, s in want[q]], abs=2e-5) for q in want)
