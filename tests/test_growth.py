@@ -66,3 +66,20 @@ def test_few_scores_of_a_block_are_sorted(monkeypatch, metric):
     found = {q: [(r.i, round(r.score, 6)) for r in g.itertuples()] for q, g in got.groupby("q")}
     same = sum(found[q] == want[q] for q in want)
     assert same >= 398 and all([s for _, s in found[q]] == pytest.approx([s for _, s in want[q]], abs=2e-5) for q in want)
+
+
+def test_adjustment_makes_no_blocks_of_frames(spark, monkeypatch):
+    """Only sums by frame are shuffled in a step: no grouping by two frames, which is as many rows as the bins."""
+    import math
+
+    from atlasloom.operators import adjustment as A
+
+    frames = spark.range(6).selectExpr("id AS frame", "0.1D AS pivot", "id = 0 AS fixed", "false AS held")
+    rows = [(i, j, float(j - i), 0.1 + 0.2 * k, 0.1, 1.0) for i in range(6) for j in range(6) for k in range(2)]
+    bins = spark.createDataFrame(rows, "src long, dst long, ratio double, log_src double, log_dst double, weight double")
+    plans, cut = [], A._cut
+    monkeypatch.setattr(A, "_cut", lambda df, folder: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df, folder))
+    got = {r.frame: (round(r.a, 6), round(r.b, 6)) for r in A.adjusted(bins, frames, losses=(math.inf,), ridge=0.0, prior=0.0).collect()}
+    assert got == {i: (float(i), 0.0) for i in range(6)}
+    keys = [line.split("Aggregate [")[1].split("]")[0] for p in plans for line in p.splitlines() if "Aggregate [" in line]
+    assert keys and all("," not in k for k in keys), keys
