@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,9 @@ from pyspark.sql import functions as F
 
 from atlasloom.functions.geometry import angle_between, col, dot, let
 
+#: Pairs of frames that a task makes and counts, where no single point has more.
+PAIRS_OF_TASK = 2_000_000
+
 
 def cross(a, b) -> Column:
     a, b = col(a), col(b)
@@ -47,9 +52,16 @@ def parallax_test(rows: DataFrame, by: list[str], residual: str, sine: str, nois
 
 
 def covisible(tracks: DataFrame, frame: str = "frame", point: str = "point", least: int = 1) -> DataFrame:
-    """Pairs of frames and how many points they share. A point seen by very many frames makes their pairs once each, as the graph needs them."""
-    a, b = tracks.select(F.col(frame).alias("a"), point).distinct(), tracks.select(F.col(frame).alias("b"), point).distinct()
-    return a.join(b, point).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    """Pairs of frames and how many points they share. A point seen by very many frames makes their pairs once each, as the graph needs them.
+
+    The sightings are few bytes and many pairs to come: they are dealt out by the number of their pairs, as tasks merged by bytes
+    would be too few, and each would count too many pairs. The pairs of one point are one task's.
+    """
+    seen = tracks.select(frame, point).where(F.col(frame).isNotNull() & F.col(point).isNotNull())
+    pairs = seen.distinct().groupBy(point).count().agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2)).first()[0] or 0.0
+    parts = max(1, math.ceil(pairs / PAIRS_OF_TASK))
+    side = lambda name: seen.repartition(parts, point).select(F.col(frame).alias(name), point).distinct()
+    return side("a").join(side("b"), point).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
 
 
 def frustum(points: DataFrame, frames: DataFrame, cell_m: float, reach: float) -> DataFrame:
