@@ -83,3 +83,55 @@ def test_adjustment_makes_no_blocks_of_frames(spark, monkeypatch):
     assert got == {i: (float(i), 0.0) for i in range(6)}
     keys = [line.split("Aggregate [")[1].split("]")[0] for p in plans for line in p.splitlines() if "Aggregate [" in line]
     assert keys and all("," not in k for k in keys), keys
+
+
+def test_pairs_of_frames_are_dealt_by_their_number(spark, monkeypatch):
+    from atlasloom.operators import matching
+
+    monkeypatch.setattr(matching, "PAIRS_OF_TASK", 50)
+    rows = [(f, p) for p in range(20) for f in range(p % 6 + 1)] * 2 + [(None, 1), (3, None)]
+    out = matching.covisible(spark.createDataFrame(rows, "frame int, point int"), least=2)
+    want = {(a, b): n for a in range(6) for b in range(a + 1, 6) if (n := sum(p % 6 >= b for p in range(20))) >= 2}
+    assert {(r.a, r.b): r.shared for r in out.collect()} == want
+    pairs = sum((p % 6 + 1) * (p % 6) // 2 for p in range(20))
+    assert f"RepartitionByExpression [point#" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and f"], {-(-pairs // 50)}" in plan
+
+
+def test_suppression_meets_a_batch_at_once(spark):
+    """Kept boxes as one after another, over frames larger than a batch; a box with a null is near nothing and stays."""
+    from atlasloom.operators import objects
+
+    rng = np.random.default_rng(4)
+    rows = [(int(f), "a", float(i), *map(float, (x, y, x + w, y + h))) for i, (f, x, y, w, h) in enumerate(zip(rng.integers(0, 3, 900), *rng.integers(0, 12, (2, 900)), *rng.integers(0, 9, (2, 900)), strict=True))]
+    rows.append((0, "a", 9999.0, None, 1.0, 2.0, 3.0))
+    kept = []
+    for r in sorted(rows[:-1], key=lambda r: -r[2]):
+        for q in kept:
+            w, h = min(r[5], q[5]) - max(r[3], q[3]), min(r[6], q[6]) - max(r[4], q[4])
+            if q[0] == r[0] and w > 0 and h > 0 and w * h / ((r[5] - r[3]) * (r[6] - r[4]) + (q[5] - q[3]) * (q[6] - q[4]) - w * h) > 0.5:
+                break
+        else:
+            kept.append(r)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = objects.suppressed(spark.createDataFrame(rows, "frame int, label string, score double, x0 double, y0 double, x1 double, y1 double"), "frame", 0.5).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {tuple(r) for r in got} == {*kept, rows[-1]} and len(got) == len(kept) + 1
+
+
+@pytest.mark.parametrize("stretch", [2, 4096])
+def test_walls_grow_by_stretches_of_lines(spark, monkeypatch, stretch):
+    """No line of cells and no large piece meets in one task."""
+    from atlasloom.operators import grid
+
+    monkeypatch.setattr(grid, "STRETCH", stretch)
+    rng = np.random.default_rng(6)
+    cells = {(int(r), int(c)) for r, c in rng.integers(-9, 9, (90, 2))} | {(r, c) for r in range(-20, 20) for c in (12, 13, 14, 20)}
+    ways = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+    want = {(r - i, c - j) for r, c in cells for i, j in ways if not all((r + m * i, c + m * j) in cells for m in range(4))}
+    wall = spark.createDataFrame(sorted(cells), "row int, col int")
+    assert {tuple(r) for r in grid._thin_sides(wall, 4).collect()} == want
+    piece = wall.selectExpr("row", "col", "0 AS root_row", "IF(col < 11, 0, col) AS root_col")
+    wanted = piece.groupBy("root_row", "root_col").agg({"*": "count"}).withColumnRenamed("count(1)", "_n").where("root_col <> 20")
+    assert {tuple(r) for r in grid._of_pieces(piece, wanted).collect()} == {p for p in cells if p[1] != 20}
