@@ -5,7 +5,9 @@ States: 0 unknown, 1 free, 2 occupied. A cell that was never observed has no row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasloom.functions.geometry import col
@@ -14,6 +16,8 @@ from atlasloom.operators.graph import connected_components
 UNKNOWN, FREE, OCCUPIED = 0, 1, 2
 #: Share of hits among hits and free samples from which a voxel is a surface.
 SURFACE_SHARE = 0.2
+#: Cells of a stretch of a line.
+STRETCH = 4096
 
 
 def neighbours(cells: DataFrame, row: str = "row", column: str = "col", corners: bool = True) -> DataFrame:
@@ -58,6 +62,37 @@ def inflated(grid: DataFrame, radius: int = 1) -> DataFrame:
     return grid.join(grown, ["row", "col"], "left").withColumn("state", F.when(F.col("_near"), OCCUPIED).otherwise(F.col("state"))).drop("_near")
 
 
+def _of_pieces(piece: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Cells (row, col) of the wanted pieces (root_row, root_col, _n: cells). Those of large pieces, at most four for each partition, are told by broadcast and never meet in one task."""
+    roots = ["root_row", "root_col"]
+    least = piece.count() // (4 * int(piece.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    wanted = wanted.checkpoint()
+    marked = piece.join(F.broadcast(wanted.where(F.col("_n") > least).select(*roots, F.lit(True).alias("_large"))), roots, "left")
+    light = marked.where("_large IS NULL").join(wanted.where(F.col("_n") <= least), roots, "left_semi")
+    return marked.where("_large").select("row", "col").union(light.select("row", "col"))
+
+
+def _thin_sides(wall: DataFrame, thick: int) -> DataFrame:
+    """Cells beside a wall cell from which, away from them, fewer than `thick` wall cells follow each other: (row, col).
+
+    Along each of the four lines through a cell, a wall cell knows the one `thick - 1` places ahead and behind; lines are cut
+    into stretches that overlap by as many, so no line meets in one task.
+    """
+    n, out = thick - 1, []
+    stretch = lambda p: F.floor(p / STRETCH)
+    p = F.col("_p")
+    for i, j in ((0, 1), (1, 0), (1, 1), (1, -1)):
+        at = wall.select(*[F.col(c).cast("long").alias(c) for c in ("row", "col")])
+        at = at.select((F.col("col") - F.col("row") * j if i else F.col("row")).alias("_l"), F.col("row" if i else "col").alias("_p"))
+        line = Window.partitionBy("_l", "_b").orderBy("_p")
+        at = at.withColumn("_b", F.explode(F.sequence(stretch(p - n), stretch(p + n)))).withColumns({"_a": F.lead("_p", n).over(line), "_z": F.lag("_p", n).over(line)}).where(F.col("_b") == stretch(p))
+        thin = lambda c, end: F.when(~F.coalesce(F.col(c) == end, F.lit(False)), F.lit(True))
+        side = F.array_compact(F.array(F.when(thin("_a", p + n), p - 1), F.when(thin("_z", p - n), p + 1)))
+        at = at.select("_l", F.explode(side).alias("_p"))
+        out.append(at.select((p if i else F.col("_l")).alias("row"), (F.col("_l") + p * j if i else p).alias("col")))
+    return functools.reduce(DataFrame.union, out).distinct()
+
+
 def inflated_walls(grid: DataFrame, edge: float, extent: float = 1.5, thick: int = 4) -> DataFrame:
     """Walls grow by one cell on the sides where they are thinner than `thick` cells; other occupied cells stay as seen.
 
@@ -68,12 +103,9 @@ def inflated_walls(grid: DataFrame, edge: float, extent: float = 1.5, thick: int
     dropped = F.coalesce(F.col("drop"), F.lit(False)) if "drop" in grid.columns else F.lit(False)
     piece = components(grid.where((F.col("state") == OCCUPIED) & ~dropped).select("row", "col"))
     span = lambda c: F.max(c) - F.min(c) + 1
-    long = piece.groupBy("root_row", "root_col").agg(F.greatest(span("row"), span("col")).alias("_long")).where(F.col("_long") * edge >= extent)
-    wall = piece.join(long, ["root_row", "root_col"], "left_semi").select("row", "col")
-    way = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]))
-    seen = wall.withColumn("_o", way).withColumn("_m", F.explode(F.sequence(F.lit(1), F.lit(thick))))
-    seen = seen.select((F.col("row") - F.col("_m") * F.col("_o.i")).cast("long").alias("row"), (F.col("col") - F.col("_m") * F.col("_o.j")).cast("long").alias("col"), "_o", "_m")
-    grown = seen.groupBy("row", "col", "_o").agg(F.min("_m").alias("_m"), F.count(F.lit(1)).alias("_n")).where((F.col("_m") == 1) & (F.col("_n") < thick)).select("row", "col").distinct()
+    long = piece.groupBy("root_row", "root_col").agg(F.greatest(span("row"), span("col")).alias("_long"), F.count(F.lit(1)).alias("_n")).where(F.col("_long") * edge >= extent)
+    wall = _of_pieces(piece, long)
+    grown = _thin_sides(wall, thick)
     bounds = grid.agg(*[f(c).alias(f"_{k}_{c}") for c in ("row", "col") for k, f in (("lo", F.min), ("hi", F.max))])
     grown = grown.crossJoin(bounds).where("row BETWEEN _lo_row AND _hi_row AND col BETWEEN _lo_col AND _hi_col").select("row", "col", F.lit(True).alias("_near"))
     if "top" in grid.columns:
