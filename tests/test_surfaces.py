@@ -62,6 +62,25 @@ def test_no_place_and_fewer_than_wanted(spark):
     assert [len(r.near) for r in S.nearest_places(at, at, 3, 1e-6).collect()] == [2, 2]
 
 
+def test_queries_far_from_all_places_meet_few_of_them(spark):
+    """Places two metres over the queries, as viewpoints are: exact, ties and counts included, without meeting all places."""
+    rng = np.random.default_rng(5)
+    low, high = rng.normal(0, 0.12, (3000, 3)), np.repeat(np.column_stack([rng.uniform(-100, 100, 1500), rng.uniform(-1, 1, 1500), rng.normal(2, 0.05, 1500)]), 2, axis=0)
+    low = np.concatenate([low, [[0, 0, 3e4]]])
+    frame = lambda p: spark.createDataFrame([tuple(map(float, v)) for v in p], "x double, y double, z double")
+    queries, at = S.places(frame(low)), S.places(frame(high))
+    got = {(r.x, r.y, r.z): r.near for r in S.nearest_places(queries, at, 3).collect()}
+    assert len(got) == len(low)
+    for q in low:
+        d2 = ((high - q) ** 2).sum(1)
+        order = np.lexsort([*high.T[::-1], d2])[:3]
+        assert [(p.x, p.y, p.z) for p in got[tuple(q)] for _ in range(p.n)] == [tuple(high[i]) for i in order]
+    asked, held = (S._tiles(rows.repartition(3), [], None) for rows in (queries, at))
+    assert sum(len(r.xs) for r in held.collect()) == 1500 and max(len(r.xs) for r in asked.collect()) <= S.TILES[-1]
+    pairs = S._near_tiles(asked.withColumn("need", F.lit(3)), held, [], None)
+    assert 0 < pairs.count() < 0.5 * asked.count() * held.count()
+
+
 def test_normals_of_planes_look_at_the_nearest_viewpoint(spark):
     rng = np.random.default_rng(2)
     n = np.array([0.36, -0.48, 0.8])
