@@ -29,16 +29,16 @@ def _written(df: DataFrame) -> DataFrame:
     return _cut(df, df.sparkSession.sparkContext.getCheckpointDir())
 
 
-def _objects(cells: DataFrame, sightings: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Objects (obj, size, box, label, detections, touched, published), their distinct cells, and their frames."""
-    own = _written(cells.join(members.select("obj", "id"), "id").select("obj", *AXES).distinct())
-    box = own.groupBy("obj").agg(F.count(F.lit(1)).alias("size"), *[f(c).alias(f"{n}_{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max))])
-    seen = sightings.join(members.select("obj", "id"), "id")
-    label = seen.groupBy("obj", "label").agg(F.count(F.lit(1)).alias("votes")).groupBy("obj").agg(F.min_by("label", F.struct(-F.col("votes"), F.col("label"))).alias("label"))
-    frames = _written(seen.select("obj", "frame").distinct())
+def _described(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables of objects (cells, frames, votes and marks by obj) with `objects`: obj, size, box, label, detections, touched, published."""
+    cells, frames = _written(tables["cells"].distinct()), _written(tables["frames"].distinct())
+    votes = _written(tables["votes"].groupBy("obj", "label").agg(F.sum("votes").alias("votes")))
+    marks = _written(tables["marks"].groupBy("obj").agg(F.max("touched").alias("touched"), F.max("published").alias("published")))
+    box = cells.groupBy("obj").agg(F.count(F.lit(1)).alias("size"), *[f(c).alias(f"{n}_{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max))])
+    label = votes.groupBy("obj").agg(F.min_by("label", F.struct(-F.col("votes"), F.col("label"))).alias("label"))
     detections = frames.groupBy("obj").agg(F.count(F.lit(1)).alias("detections"))
-    marks = members.groupBy("obj").agg(F.max("touched").alias("touched"), F.max("published").alias("published"))
-    return _written(box.join(marks, "obj").join(label, "obj", "left").join(detections, "obj", "left").withColumn("detections", F.coalesce("detections", F.lit(0)))), own, frames
+    objects = box.join(marks, "obj").join(label, "obj", "left").join(detections, "obj", "left").withColumn("detections", F.coalesce("detections", F.lit(0)))
+    return {"cells": cells, "frames": frames, "votes": votes, "marks": marks, "objects": _written(objects)}
 
 
 def _volume(side: str) -> Column:
@@ -48,29 +48,34 @@ def _volume(side: str) -> Column:
     return out
 
 
-def strengths(cells: DataFrame, sightings: DataFrame, members: DataFrame, which: str = "a < b") -> DataFrame:
-    """Pairs of objects that are one thing: (a, b, s) with a < b (and `which` holding) and s >= 1.
+def strengths(left: dict[str, DataFrame], right: dict[str, DataFrame]) -> DataFrame:
+    """Pairs of objects that are one thing: (a, b, s) with a of `left`, b of `right`, a < b and s >= 1.
 
-    `members`: obj, id, touched, published. Labels that agree: shared cells over the smaller object's, or boxes that overlap
-    or hold each other. Labels that differ: never seen in one frame, one of the two detected twice, comparable sizes, and
-    shared cells over either object's. One of the two must be touched, and published ids must not differ.
+    Labels that agree: shared cells over the smaller object's, or boxes that overlap or hold each other. Labels that differ:
+    never seen in one frame, one of the two detected twice, comparable sizes, and shared cells over either object's. One of
+    the two must be touched, and published ids must not differ.
     """
-    objects, own, frames = _objects(cells, sightings, members)
-    coarse = objects
-    for c in AXES:
-        coarse = coarse.withColumn(f"_{c}", F.explode(F.sequence(F.floor(F.col(f"lo_{c}") / COARSE), F.floor(F.col(f"hi_{c}") / COARSE))))
     at = [f"_{c}" for c in AXES]
-    left, right = coarse.select(F.col("obj").alias("a"), *at), coarse.select(F.col("obj").alias("b"), *at)
-    named = lambda side: objects.select(*[F.col(c).alias(f"{side}_{c}" if c != "obj" else side) for c in objects.columns])
-    pairs = left.join(right, at).where(f"a < b AND {which}").select("a", "b").distinct().join(named("a"), "a").join(named("b"), "b")
+
+    def coarse(objects: DataFrame, side: str) -> DataFrame:
+        for c in AXES:
+            objects = objects.withColumn(f"_{c}", F.explode(F.sequence(F.floor(F.col(f"lo_{c}") / COARSE), F.floor(F.col(f"hi_{c}") / COARSE))))
+        return objects.select(F.col("obj").alias(side), *at)
+
+    named = lambda tables, side: tables["objects"].select(*[F.col(c).alias(f"{side}_{c}" if c != "obj" else side) for c in tables["objects"].columns])
+    pairs = coarse(left["objects"], "a").join(coarse(right["objects"], "b"), at).where("a < b").select("a", "b").distinct().join(named(left, "a"), "a").join(named(right, "b"), "b")
     # Every step below reads these pairs, so they are written once.
     apart = F.lit(False)
     for c in AXES:
         apart = apart | (F.col(f"a_hi_{c}") < F.col(f"b_lo_{c}")) | (F.col(f"b_hi_{c}") < F.col(f"a_lo_{c}"))
     pairs = _written(pairs.where(~apart & (F.col("a_touched") | F.col("b_touched")) & ~F.coalesce(F.col("a_published") != F.col("b_published"), F.lit(False))))
-    both = pairs.select("a", "b").join(own.withColumnRenamed("obj", "a"), "a").join(own.withColumnRenamed("obj", "b"), ["b", *AXES])
+    # Of all objects only those of a pair are shuffled.
+    asked = pairs.select(F.col("b").alias("obj")).distinct()
+    there = lambda name: right[name].join(asked, "obj", "left_semi").withColumnRenamed("obj", "b")
+    here = lambda name: left[name].withColumnRenamed("obj", "a")
+    both = pairs.select("a", "b").join(here("cells"), "a").join(there("cells"), ["b", *AXES])
     shared = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    met = pairs.select("a", "b").join(frames.withColumnRenamed("obj", "a"), "a").join(frames.withColumnRenamed("obj", "b"), ["b", "frame"]).select("a", "b", F.lit(True).alias("together")).distinct()
+    met = pairs.select("a", "b").join(here("frames"), "a").join(there("frames"), ["b", "frame"]).select("a", "b", F.lit(True).alias("together")).distinct()
     j = pairs.join(shared, ["a", "b"], "left").join(met, ["a", "b"], "left")
     common = F.lit(1.0)
     for c in AXES:
@@ -89,18 +94,28 @@ def merged(cells: DataFrame, sightings: DataFrame, marks: DataFrame) -> DataFram
     `cells`: id, x, y, z (whole numbers). `sightings`: id, frame, label. `marks`: id, touched, published (null: none).
     Equal strengths go by the lower ids. Ids are whole numbers from 0. Objects without cells keep themselves.
     """
-    cells = _written(cells.select("id", *AXES).distinct())
     alias = _written(marks.select("id", F.col("id").alias("object"), F.coalesce("touched", F.lit(False)).alias("touched"), "published"))
-    now = lambda: alias.select(F.col("object").alias("obj"), "id", "touched", "published")
-    edges = _written(strengths(cells, sightings, now()))
+    known = alias.select(F.col("id").alias("obj")).distinct()
+    first = _described({
+        "cells": cells.select(F.col("id").alias("obj"), *AXES).join(known, "obj", "left_semi"),
+        "frames": sightings.select(F.col("id").alias("obj"), "frame").join(known, "obj", "left_semi"),
+        "votes": sightings.groupBy(F.col("id").alias("obj"), "label").agg(F.count(F.lit(1)).alias("votes")).join(known, "obj", "left_semi"),
+        "marks": alias.select(F.col("id").alias("obj"), "touched", "published"),
+    })
+    # The objects at first are written once; merged ones stand beside them, and a round writes and shuffles only what it merges.
+    gone, fresh = known.limit(0), {name: table.limit(0) for name, table in first.items()}
+    now = lambda: {name: table.join(gone, "obj", "left_anti").unionByName(fresh[name]) for name, table in first.items()}
+    edges = _written(strengths(first, first))
     while not edges.isEmpty():
         ends = edges.select(F.col("a").alias("n"), "a", "b", "s").union(edges.select(F.col("b").alias("n"), "a", "b", "s"))
         best = ends.groupBy("n").agg(F.min(F.struct((-F.col("s")).alias("s"), "a", "b")).alias("e"))
         tried = _written(best.groupBy("e").agg(F.count(F.lit(1)).alias("_k")).where("_k = 2").select("e.a", "e.b", (-F.col("e.s")).alias("s")))
         # What the tried pairs would make stands beside the objects, under keys of its own: -1 - the lower id.
         part = _written(tried.select(F.explode(F.array("a", "b")).alias("obj"), F.col("a").alias("pair")))
-        made = now().join(part, "obj").select((-1 - F.col("pair")).alias("obj"), "id", "touched", "published")
-        new = strengths(cells, sightings, now().unionByName(made), "a < 0").select((-1 - F.col("a")).alias("p"), F.when(F.col("b") < 0, -1 - F.col("b")).otherwise(F.col("b")).alias("q"), (F.col("b") < 0).alias("made"), "s")
+        held = now()
+        made = _described({name: held[name].join(part, "obj").withColumn("obj", -1 - F.col("pair")).drop("pair") for name in ("cells", "frames", "votes", "marks")})
+        new = strengths(made, {name: table.unionByName(made[name]) for name, table in held.items()})
+        new = new.select((-1 - F.col("a")).alias("p"), F.when(F.col("b") < 0, -1 - F.col("b")).otherwise(F.col("b")).alias("q"), (F.col("b") < 0).alias("made"), "s")
         new = _written(new.join(part.select(F.col("pair").alias("p"), F.col("obj").alias("q")), ["p", "q"], "left_anti"))
         links = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(new.select("p", "q"))
         component = connected_components(links.distinct(), folder=links.sparkSession.sparkContext.getCheckpointDir()).select("node", "component")
@@ -110,7 +125,11 @@ def merged(cells: DataFrame, sightings: DataFrame, marks: DataFrame) -> DataFram
         placed = tried.join(component, F.col("a") == F.col("node")).join(limit, "component", "left")
         top = placed.groupBy("component").agg(F.min(F.struct((-F.col("s")).alias("s"), "a")).alias("top")).select("component", "top.a", F.lit(True).alias("_top"))
         stands = _written(placed.join(top, ["component", "a"], "left").where("_top OR limit IS NULL OR s > limit").select("a", "b"))
-        alias = _written(alias.join(stands.select(F.col("b").alias("object"), F.col("a").alias("_keep")), "object", "left").select("id", F.coalesce("_keep", "object").alias("object"), "touched", "published"))
+        alias = _written(alias.join(stands.select(F.col("b").alias("object"), F.col("a").alias("_keep")), "object", "left").select("id", F.coalesce("_keep", "object").alias("object")))
+        ended, kept = stands.select(F.explode(F.array("a", "b")).alias("obj")), stands.select((-1 - F.col("a")).alias("obj"))
+        stood = {name: table.join(kept, "obj", "left_semi").withColumn("obj", -1 - F.col("obj")) for name, table in made.items()}
+        fresh = {name: _written(table.join(ended, "obj", "left_anti").unionByName(stood[name])) for name, table in fresh.items()}
+        gone = _written(gone.union(ended).distinct())
         edges = _written(_left(edges, new, stands))
     return alias.select("id", "object")
 

@@ -76,3 +76,14 @@ def test_query(spark, sf):
     kept = {r.id: r.object for r in catalogue.QUERIES["object_merges"](spark, sf).collect()}
     n = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("floor(l_orderkey / 40) AS id").distinct().count()
     assert len(kept) == n and all(kept[o] == o <= i for i, o in kept.items()) and len(set(kept.values())) < n
+
+
+def test_a_round_describes_only_what_it_would_make(spark, monkeypatch):
+    """Twelve objects of which two are one: after the first pass over all, a round meets the one that it would make."""
+    sizes, real = [], M.strengths
+    monkeypatch.setattr(M, "strengths", lambda left, right: sizes.append((left["objects"].count(), right["objects"].count())) or real(left, right))
+    cells = spark.createDataFrame([(k, 100 * (k % 11), j, 0) for k in range(12) for j in range(3)], "id bigint, x int, y int, z int")
+    sightings = spark.createDataFrame([(k, k, "a") for k in range(12)], "id bigint, frame int, label string")
+    marks = spark.createDataFrame([(k, True, None) for k in range(12)], "id bigint, touched boolean, published int")
+    assert {r.id: r.object for r in M.merged(cells, sightings, marks).collect()} == {k: k % 11 for k in range(12)}
+    assert sizes == [(12, 12), (1, 13)]
