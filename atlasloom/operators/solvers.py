@@ -108,8 +108,8 @@ def robust_plane(points: DataFrame, by: list[str], tolerance: float = 0.02, roun
     """Seeded RANSAC plane per group, refitted on its inliers, with an upward normal; rows with a null or NaN coordinate don't count.
 
     Hypotheses are drawn from about `most` points of a group: of a place's copies their share, rounded by its hash, so a
-    place that holds much of a group stays. Inliers of each hypothesis, the refit's sums and the inliers that are
-    returned, which are those of the refitted plane, are partial aggregates over every row.
+    place that holds much of a group stays. Each hypothesis meets every place once, with its number of points; the refit's
+    sums and the inliers that are returned, which are those of the refitted plane, are partial aggregates over every row.
     """
     kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
     keys = [f"`{c}` {kinds[c]}" for c in by]
@@ -126,14 +126,14 @@ def robust_plane(points: DataFrame, by: list[str], tolerance: float = 0.02, roun
     away = lambda c: F.col(c) - F.col(f"_{c}")
     inside = F.abs(sum((away(c) * F.col(f"n{c}") for c in "xyz"), F.lit(0.0))) <= tolerance
     sizes = sound.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    places = met(sound.groupBy(*by, "x", "y", "z").agg(F.count(F.lit(1)).alias("_count")), sizes)
+    places = sound.groupBy(*by, "x", "y", "z").agg(F.count(F.lit(1)).alias("_count"))
     by_hash = F.pmod(F.xxhash64("x", "y", "z", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
     copies = F.floor(F.col("_count") * F.least(F.lit(1.0), most / F.col("_n")) + by_hash).cast("long")
-    drawn = places.select(*by, "x", "y", "z", copies.alias("_copies")).where("_copies > 0").groupBy(*by)
+    drawn = met(places, sizes).select(*by, "x", "y", "z", copies.alias("_copies")).where("_copies > 0").groupBy(*by)
     spot = [f"{c} double" for c in ("_x", "_y", "_z", "nx", "ny", "nz")]
     tried = drawn.applyInPandas(_hypotheses(rounds, seed, list(by)), ", ".join([*keys, "_h int", *spot]))
     plane = ["_h", "_x", "_y", "_z", "nx", "ny", "nz"]
-    counts = met(sound, tried).where(inside).groupBy(*by, *plane).agg(F.count(F.lit(1)).alias("_n"))
+    counts = met(places, tried).where(inside).groupBy(*by, *plane).agg(F.sum("_count").alias("_n"))
     best = counts.groupBy(*by).agg(F.max_by(F.struct(*plane[1:]), F.struct("_n", -F.col("_h"))).alias("_p")).select(*by, "_p.*")
     sums = [F.sum(away(c)).alias(f"s{c}") for c in "xyz"] + [F.sum(away(p) * away(q)).alias(f"s{p}{q}") for p, q in ("xx", "xy", "xz", "yy", "yz", "zz")]
     fitted = met(sound, best).where(inside).groupBy(*by, "_x", "_y", "_z").agg(F.count(F.lit(1)).alias("n"), *sums).mapInPandas(_refit(list(by)), ", ".join([*keys, *spot[3:], *spot[:3]]))

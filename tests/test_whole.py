@@ -48,6 +48,15 @@ def test_plane_counts_every_row(spark):
     assert got["few"].inliers == 0 and got["few"].nx is None
 
 
+def test_hypotheses_meet_places_with_their_counts(spark):
+    """A thousand copies of a place meet each hypothesis once and count a thousand times."""
+    k = F.col("id")
+    rows = spark.range(40_000).select(F.lit(1).alias("g"), (k % 8).cast("double").alias("x"), (k % 5).cast("double").alias("y"), F.lit(2.0).alias("z"))
+    out = solvers.robust_plane(rows, ["g"])
+    assert "sum(_count" in out._jdf.queryExecution().analyzed().toString()
+    assert [(r.inliers, round(r.d, 9)) for r in out.collect()] == [(40_000, -2.0)]
+
+
 @pytest.mark.parametrize(("name", "most"), [("geodesic_steps", 30), ("registered_rounds", 30)])
 def test_chains_are_walked_to_their_end(spark, tmp_path, name, most):
     links = [(k, k - 1 + d, 50.0) for k in range(1, 17) for d in (0, 1)] if name == "registered_rounds" else [(k + 4, k + d, 50.0) for k in range(1, 17) for d in (0, 1)]
