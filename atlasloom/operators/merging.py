@@ -102,7 +102,7 @@ def merged(cells: DataFrame, sightings: DataFrame, marks: DataFrame) -> DataFram
         "votes": sightings.groupBy(F.col("id").alias("obj"), "label").agg(F.count(F.lit(1)).alias("votes")).join(known, "obj", "left_semi"),
         "marks": alias.select(F.col("id").alias("obj"), "touched", "published"),
     })
-    # The objects at first are written once; merged ones stand beside them, and a round writes and shuffles only what it merges.
+    # The objects at first are written once; merged ones stand beside them, and a round describes and writes only what it would merge.
     gone, fresh = known.limit(0), {name: table.limit(0) for name, table in first.items()}
     now = lambda: {name: table.join(gone, "obj", "left_anti").unionByName(fresh[name]) for name, table in first.items()}
     edges = _written(strengths(first, first))
