@@ -48,3 +48,19 @@ def test_zero_distortion_is_none(spark):
     same = lambda a, b: checks.same_camera(a, b, {})
     [r] = spark.range(1).select(same(f([0.0, 0.0], "a"), f(None, "b")).alias("a"), same(f([0.1, 0.0], "a"), f([0.0, 0.0], "a")).alias("b"), same(f([0.1, 0.0], "a"), f([0.1, 0.0], "b")).alias("c")).collect()
     assert tuple(r) == (True, False, True)
+
+
+def test_headings_wrap_as_their_sql_at_half_a_turn(spark):
+    """Steps that rounding puts just off half a turn, either way."""
+    import duckdb
+
+    from atlasloom.operators import windows
+    from atlasloom.plans import catalogue
+
+    at = [round(0.01 * k, 2) for k in range(0, 20_000, 7)]
+    rows = [(2 * u + way, k, round(v + 50.0 * (k if way else 2 - k), 2)) for u, v in enumerate(at) for way in range(2) for k in range(3)]
+    events = spark.createDataFrame(rows, "user_id int, event_id int, value double").selectExpr("*", "event_id AS ts", "value * 3.6D AS h")
+    got = {r.user_id: round(r.span, 3) for r in windows.sweep_span(events, ["user_id"], ["ts", "event_id"], "h").collect()}
+    with duckdb.connect() as db:
+        db.register("events", events.toArrow())
+        assert got == dict(db.execute(catalogue.ORACLE_SQL["sweep_span"]).fetchall())
