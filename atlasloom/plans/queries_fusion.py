@@ -8,7 +8,7 @@ from atlasloom.functions import text as T
 from atlasloom.operators import fusion as U
 from atlasloom.operators import matching as M
 from atlasloom.operators import metrics as X
-from atlasloom.plans.base import Registry
+from atlasloom.plans.base import Registry, rounded
 
 q = Registry()
 QUERIES, ORACLE_SQL = q.queries, q.sql
@@ -38,7 +38,7 @@ def signed_distances(t):
       SELECT a.x + a.d / (a.d - b.d) AS x, CAST(a.y AS DOUBLE) AS y FROM s a JOIN s b ON b.x = a.x + 1 AND b.y = a.y WHERE a.d * b.d < 0 UNION ALL SELECT CAST(a.x AS DOUBLE), a.y + a.d / (a.d - b.d) FROM s a JOIN s b ON b.y = a.y + 1 AND b.x = a.x WHERE a.d * b.d < 0""".replace("SELECT a.x + a.d / (a.d - b.d) AS x,", "SELECT round(a.x + a.d / (a.d - b.d), 5) AS x,").replace("a.y + a.d / (a.d - b.d) FROM", "round(a.y + a.d / (a.d - b.d), 5) FROM"))
 def zero_crossings(t):
     rows = t("lineitem").groupBy(F.col("l_suppkey").alias("x"), F.col("l_linenumber").cast("long").alias("y")).agg((F.avg("l_discount") - 0.0503).alias("sdf")).withColumn("z", F.lit(0).cast("long"))
-    return U.zero_crossings(rows, "x", "y", "z").select(F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+    return U.zero_crossings(rows, "x", "y", "z").select(*[rounded(F.col(c), 5).alias(c) for c in "xy"])
 
 
 @q("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE p_size = s_suppkey % 50 AND abs(p_retailprice - s_acctbal) <= 200)")

@@ -64,3 +64,18 @@ def test_headings_wrap_as_their_sql_at_half_a_turn(spark):
     with duckdb.connect() as db:
         db.register("events", events.toArrow())
         assert got == dict(db.execute(catalogue.ORACLE_SQL["sweep_span"]).fetchall())
+
+
+def test_crossings_are_rounded_as_their_sql(spark, monkeypatch):
+    """Halves of the fifth decimal; each cell has one row, so the means are the same doubles on both sides."""
+    import duckdb
+
+    from atlasloom.plans import catalogue
+
+    steps = np.random.default_rng(3).integers(0, 81, 14_000)
+    rows = spark.createDataFrame([(k // 7, k % 7 + 1, float(v) * 0.00125) for k, v in enumerate(steps)], "l_suppkey bigint, l_linenumber int, l_discount double")
+    with duckdb.connect() as db:
+        db.register("lineitem", rows.toArrow())
+        want = sorted(db.execute(catalogue.ORACLE_SQL["zero_crossings"]).fetchall())
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, path: rows)
+    assert sorted(map(tuple, catalogue.QUERIES["zero_crossings"](spark, "/none").collect())) == want
