@@ -23,6 +23,8 @@ LEAST_INLIERS, RIVAL_SHARE, RIVAL_METRES, RIVAL_DEGREES = 15, 0.25, 0.10, 5.0
 #: Sigmas and noise of the guards (fixed values).
 K_SIGMA, POINT_NOISE, FLOOR_BAND = 3.0, 0.10, 0.06
 NEAREST = 0.05
+#: Robust sigmas of the inliers' errors up to which a row counts in a refit, and the least such bound as a share of the threshold.
+REFIT_SIGMAS, REFIT_LEAST = 3.0, 1e-6
 #: Errors of models in rows that are computed at once; arrays of this size stay in a core's cache.
 CELLS = 1 << 15
 
@@ -307,6 +309,14 @@ def _tried(kind, rows: np.ndarray, draws: int, seed: int) -> np.ndarray:
     return models[np.isfinite(models).all(axis=1)]
 
 
+def _fitted(errors: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows that a refit counts: inliers whose error is like the others'. A row that is within the threshold by chance alone would pull an exact model."""
+    near = errors <= threshold
+    if not near.any():
+        return near
+    return errors <= min(threshold, max(REFIT_SIGMAS * 1.4826 * float(np.median(errors[near])), REFIT_LEAST * threshold))
+
+
 def _solved(kind, keys, values, threshold, models, least, share, draws, sample, refits, seed):
     """All models of a group of one part, and the rows that are inliers of each."""
 
@@ -328,7 +338,7 @@ def _solved(kind, keys, values, threshold, models, least, share, draws, sample,
             count = np.concatenate([(kind.errors(tried[k : k + step], rows) <= threshold).sum(1) for k in range(0, len(tried), step)])
             model = tried[int(np.argmax(count))]
             for _ in range(refits):
-                near = rows[kind.errors(model[None], rows)[0] <= threshold]
+                near = rows[_fitted(kind.errors(model[None], rows)[0], threshold)]
                 new = kind.update(model, kind.sums(model, near)) if len(near) >= kind.draws else model
                 model = new if np.isfinite(new).all() else model
             inside = kind.errors(model[None], rows)[0] <= threshold
@@ -369,7 +379,7 @@ def _summed(kind, keys, values, threshold):
         if not len(params):
             return _frame(key, keys, 0, params=[], sums=[])
         model, data = np.array(params["params"].iloc[0]), rows[values].to_numpy(float)
-        near = data[kind.errors(model[None], data)[0] <= threshold]
+        near = data[_fitted(kind.errors(model[None], data)[0], threshold)]
         return _frame(key, keys, 1, params=[model], sums=[np.append(kind.sums(model, near), len(near))])
 
     return run

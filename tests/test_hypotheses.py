@@ -74,6 +74,18 @@ def test_noise_is_fitted_over_all_inliers(spark):
     assert r.inliers > 2990 and np.linalg.norm(np.array(r.params[9:]) - centre) < 5e-4
 
 
+@pytest.mark.parametrize("part_rows", [20_000, 37])
+def test_rows_near_by_chance_do_not_pull_a_model(spark, part_rows):
+    """They count as inliers, but an exact model stays exact."""
+    rng = np.random.default_rng(8)
+    turn, centre = turned([0.1, 0.2, 0.3]), np.array([1.0, -1.0, 0.5])
+    v = views(rng, turn, centre, 300)
+    v[::30, 3] += 9e-4
+    rows = spark.createDataFrame(pd.DataFrame(v, columns=list(H.Pose.columns)).assign(f=1))
+    [r] = H.sequential(rows, ["f"], H.Pose, 1e-3, models=1, part_rows=part_rows).models.collect()
+    assert r.inliers == 300 and np.linalg.norm(np.array(r.params[9:]) - centre) < 1e-9
+
+
 def test_correspondences_take_the_first_candidate(spark):
     matches = spark.createDataFrame([("f", 1, 0.0, 0.0, 7, 2, 0, 5), ("f", 1, 0.0, 0.0, 8, 1, 1, 5), ("f", 2, 1.0, 1.0, 8, 1, 1, 6), ("f", 2, 1.0, 1.0, 8, 1, 0, 5), ("f", 3, 1.0, 1.0, 9, 0, 0, 5)], "frame string, feature int, u double, v double, candidate int, rank int, guided int, point int")
     points = spark.createDataFrame([(7, 5, 10.0, 10.0, 1.0), (8, 5, 20.0, 10.0, 2.0), (8, 6, 10.0, 10.0, float("nan"))], "candidate int, point int, ru double, rv double, depth double")
