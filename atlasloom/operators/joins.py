@@ -5,6 +5,7 @@ Sides are broadcast only by Spark itself, under its size threshold; no hint forc
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -16,24 +17,54 @@ from pyspark.sql import functions as F
 from atlasloom.functions.geometry import col, voxel
 
 
-def range_join(a: DataFrame, b: DataFrame, ax: list[str], bx: list[str], radius: float) -> DataFrame:
+#: Rows of one side in a cell of which a task meets all with another's; more are dealt into blocks of that many.
+ROWS_OF_CELL = 20_000
+
+
+def range_join(a: DataFrame, b: DataFrame, ax: list[str], bx: list[str], radius: float, equal: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """All pairs within the radius, with `distance`: cells of the radius's edge, the neighbours of one side, then the exact test.
 
-    Columns of the two sides must differ. Rows in the same place are one until near places are found, so cells hold places,
-    and the rows of a pair of places meet by place, of which there are more than cells. A place of `a` is repeated 3^d times.
+    Columns of the two sides must differ; `equal` names columns of both that must be equal too. Rows in the same place are a list
+    until near places are found, and the lists are opened where they meet: no pair is shuffled. Lists of `a` are repeated 3^d
+    times. Of a cell with over `ROWS_OF_CELL` rows of a side, blocks of both sides meet, so that no task has all of its pairs.
     """
     d = len(ax)
-    offsets = F.array(*[F.array(*[F.lit(k // 3**i % 3 - 1) for i in range(d)]) for k in range(3**d)])
-    own, other = [f"_a{i}" for i in range(d)], [f"_b{i}" for i in range(d)]
-    places = lambda rows, at, names: rows.select(*[F.col(c).alias(n) for c, n in zip(at, names, strict=True)]).na.drop().distinct()
-    near = places(a, ax, own).withColumn("_o", F.explode(offsets)).withColumn("_c", F.array(*[voxel(c, radius) + F.col("_o")[i] for i, c in enumerate(own)])).drop("_o")
-    at = places(b, bx, other).withColumn("_d", F.array(*[voxel(c, radius) for c in other]))
+    own, other, keys = [f"_a{i}" for i in range(d)], [f"_b{i}" for i in range(d)], [f"_e{i}" for i in range(len(equal))]
+    near = F.array(*[F.array(*[F.col("_c")[i] + (k // 3**i % 3 - 1) for i in range(d)]) for k in range(3**d)])
+    cell = lambda names: F.array(*[voxel(c, radius) for c in names])
+
+    def placed(rows: DataFrame, at: list[str], names: list[str], same: list[str], held: str) -> DataFrame:
+        kept = rows.na.drop(subset=at).select(F.struct(*rows.columns).alias(held), *[F.col(c).alias(n) for c, n in zip([*at, *same], [*names, *keys], strict=True)])
+        return functools.reduce(lambda x, k: x.where(F.col(k).isNotNull()), keys, kept).withColumn("_c", cell(names))
+
+    at, to = placed(a, ax, own, [x for x, _ in equal], "_l"), placed(b, bx, other, [y for _, y in equal], "_r")
+    # Cells of many rows; they are fewer than a row in ROWS_OF_CELL, but for those of neighbours.
+    parts = lambda n: F.ceil(F.col(n) / ROWS_OF_CELL).cast("int")
+    here, there = (rows.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias(n)) for rows, n in ((at, "_n"), (to, "_m")))
+    met = here.withColumn("_c", F.explode(near)).groupBy(*keys, "_c").agg(F.sum("_n").alias("_n")).join(there, [*keys, "_c"])
+    hot = met.where((F.col("_n") > ROWS_OF_CELL) | (F.col("_m") > ROWS_OF_CELL)).select(*keys, "_c", parts("_n").alias("_ka"), parts("_m").alias("_kb")).checkpoint()
+    blocks = not hot.isEmpty()
+    heaps = here.where(F.col("_n") > ROWS_OF_CELL).select(*keys, "_c", parts("_n").alias("_k"))
+    looked = lambda rows, cells: rows.join(F.broadcast(cells), [*keys, "_c"], "left")
+    block = lambda c, *of: F.coalesce(F.pmod(F.xxhash64(*of), F.col(c)), F.lit(0)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(c), F.lit(1)) - 1))
+    # A list holds rows of one block, so that many rows in one place are several lists.
+    at = looked(at, heaps.checkpoint()).withColumn("_i", block("_k", "_l")) if blocks else at.withColumn("_i", F.lit(0))
+    to = looked(to, hot).withColumn("_v", block("_kb", "_r")) if blocks else to.withColumn("_v", F.lit(0))
+    at = at.groupBy(*keys, *own, "_i").agg(F.collect_list("_l").alias("_l")).withColumn("_c", cell(own)).withColumn("_c", F.explode(near))
+    to = to.groupBy(*keys, *other, "_v").agg(F.collect_list("_r").alias("_r")).withColumn("_c", cell(other))
+    if blocks:
+        at = looked(at, hot).withColumn("_u", block("_ka", *own, "_i")).withColumn("_v", every("_kb"))
+        to = looked(to, hot).withColumn("_u", every("_ka"))
+    else:
+        at, to = at.withColumns({"_u": F.lit(0), "_v": F.lit(0)}), to.withColumn("_u", F.lit(0))
+    # Rows are few bytes and pairs many: cells are dealt out by number, as tasks merged by bytes would be too few, and never sent to the driver.
+    unit, n = [*keys, "_c", "_u", "_v"], int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at, to = (rows.select(*unit, *names, held).repartition(n, *unit) for rows, names, held in ((at, own, "_l"), (to, other, "_r")))
     square = sum((F.pow(F.col(x) - F.col(y), F.lit(2.0)) for x, y in zip(own, other, strict=True)), F.lit(0.0))
-    pairs = near.join(at, F.col("_c") == F.col("_d")).drop("_c", "_d").withColumn("_m", F.sqrt(square)).where(F.col("_m") <= radius)
-    # Pairs of places are few bytes and many rows to come: they are dealt out by number, as tasks merged by bytes would be too few.
-    pairs = pairs.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), *own, *other)
-    same = lambda names, columns: [F.col(n) == F.col(c) for n, c in zip(names, columns, strict=True)]
-    return a.join(pairs, same(own, ax)).join(b, same(other, bx)).withColumn("distance", F.col("_m")).drop(*own, *other, "_m")
+    pairs = at.hint("merge").join(to, unit).withColumn("distance", F.sqrt(square)).where(F.col("distance") <= radius).select("distance", "_l", "_r")
+    opened = pairs.withColumn("_l", F.explode("_l")).withColumn("_r", F.explode("_r"))
+    return opened.select(*[F.col("_l")[c].alias(c) for c in a.columns], *[F.col("_r")[c].alias(c) for c in b.columns], "distance")
 
 
 def nearest_on_line(a: DataFrame, b: DataFrame, ax: str, bx: str, id: str, radius: float, k: int) -> DataFrame:

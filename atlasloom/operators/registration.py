@@ -134,7 +134,7 @@ def duplicates(frames: DataFrame, metres: float = 0.02) -> DataFrame:
 
     a = frames.select("frame", "camera", "x", "y", "z")
     b = frames.select(F.col("frame").alias("of"), F.col("camera").alias("o_camera"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"))
-    near = range_join(a, b, ["x", "y", "z"], ["ox", "oy", "oz"], metres).where((F.col("camera") == F.col("o_camera")) & (F.col("of") < F.col("frame")))
+    near = range_join(a, b, ["x", "y", "z"], ["ox", "oy", "oz"], metres, (("camera", "o_camera"),)).where(F.col("of") < F.col("frame"))
     return near.groupBy("frame").agg(F.min("of").alias("of"))
 
 

@@ -135,3 +135,25 @@ def test_walls_grow_by_stretches_of_lines(spark, monkeypatch, stretch):
     piece = wall.selectExpr("row", "col", "0 AS root_row", "IF(col < 11, 0, col) AS root_col")
     wanted = piece.groupBy("root_row", "root_col").agg({"*": "count"}).withColumnRenamed("count(1)", "_n").where("root_col <> 20")
     assert {tuple(r) for r in grid._of_pieces(piece, wanted).collect()} == {p for p in cells if p[1] != 20}
+
+
+def _joins(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_pairs_in_reach_are_not_shuffled(spark, monkeypatch):
+    """Rows meet once and pairs are opened there, also where blocks of a crowded cell meet."""
+    from atlasloom.operators import joins
+
+    rng = np.random.default_rng(9)
+    a = [(i, int(i % 3) or None, *map(float, p)) for i, p in enumerate(np.vstack([rng.integers(-4, 5, (60, 2)), np.zeros((20, 2))]))]
+    b = [(i, int(i % 2) + 1, *map(float, p)) for i, p in enumerate(np.vstack([rng.integers(-4, 5, (50, 2)), np.ones((30, 2))]))]
+    left, right = spark.createDataFrame(a, "i int, g int, x double, y double"), spark.createDataFrame(b, "j int, h int, u double, v double")
+    near = {(i, j) for i, _, x, y in a for j, _, u, v in b if np.hypot(x - u, y - v) <= 1.5}
+    alike = {(i, j) for i, j in near if a[i][1] == b[j][1]}
+    assert _joins(joins.range_join(left, right, ["x", "y"], ["u", "v"], 1.5)) == 1
+    for most in (20_000, 3):
+        monkeypatch.setattr(joins, "ROWS_OF_CELL", most)
+        for equal, want in (((), near), ((("g", "h"),), alike)):
+            got = [(r.i, r.j) for r in joins.range_join(left, right, ["x", "y"], ["u", "v"], 1.5, equal).collect()]
+            assert sorted(got) == sorted(want)
