@@ -157,3 +157,21 @@ def test_pairs_in_reach_are_not_shuffled(spark, monkeypatch):
         for equal, want in (((), near), ((("g", "h"),), alike)):
             got = [(r.i, r.j) for r in joins.range_join(left, right, ["x", "y"], ["u", "v"], 1.5, equal).collect()]
             assert sorted(got) == sorted(want)
+
+
+def test_pairs_of_boxes_are_not_shuffled(spark, monkeypatch):
+    from atlasloom.operators import objects
+
+    rng = np.random.default_rng(10)
+    boxes = [(int(f), f"b{i}", float(x), float(y), float(x + 10), float(y + 5)) for i, (f, x, y) in enumerate(zip(rng.integers(0, 2, 90), *rng.integers(0, 4, (2, 90)), strict=True))]
+    rows = spark.createDataFrame(boxes, "f int, i string, x0 double, y0 double, x1 double, y1 double")
+    want = set()
+    for f, i, *a in boxes:
+        for g, j, *b in boxes:
+            both = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+            want |= {(f, i, j)} if f == g and i < j and both / (100 - both) >= 0.5 else set()
+    assert _joins(objects.overlapping(rows, "f", "i", 0.5)) == 1
+    for most in (100_000, 8):
+        monkeypatch.setattr(objects, "BOXES_OF_TASK", most)
+        got = [(r.f, r.i, r.i_b) for r in objects.overlapping(rows, "f", "i", 0.5).collect()]
+        assert sorted(got) == sorted(want)
