@@ -86,7 +86,16 @@ def mad(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return middle.join(spread, by).withColumn("sigma", F.col("mad") * MAD_SIGMA)
 
 
-def _quantiles(rows: DataFrame, by: list[str], value: str, probs: tuple[float, ...]) -> DataFrame:
+#: Groups whose few numbers are sent to each task, and values of a group that `percentile` may hold for a robust ratio.
+FEW_GROUPS, RATIOS_OF_TASK = 100_000, 1_500_000
+
+
+def _beside(rows: DataFrame, per: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with the numbers of their group (a checkpointed table); few groups are broadcast, as a shuffle would gather each in one task."""
+    return rows.join(F.broadcast(per) if per.count() <= FEW_GROUPS else per, by)
+
+
+def _quantiles(rows: DataFrame, by: list[str], value: str, probs: tuple[float, ...], most: int = quantiles.MOST) -> DataFrame:
     """(by, q): exact quantiles of each group with a value and no null key, without a group's values in one task.
 
     Groups with NaN or infinite values are ranked by `percentile`, which counts those as the greatest or least.
@@ -94,17 +103,19 @@ def _quantiles(rows: DataFrame, by: list[str], value: str, probs: tuple[float, .
     sound = rows.select(*by, value).na.drop(subset=list(by)).where(F.col(value).isNotNull())
     odd = sound.where(~finite(value)).select(*by).distinct().checkpoint()
     if odd.isEmpty():
-        return quantiles.exact(sound, by, value, probs).select(*by, "q")
+        return quantiles.exact(sound, by, value, probs, most).select(*by, "q")
     other = sound.join(odd, by, "left_semi").groupBy(*by).agg(F.percentile(value, F.array(*map(F.lit, probs))).alias("q"))
-    return quantiles.exact(sound.join(odd, by, "left_anti"), by, value, probs).select(*by, "q").unionByName(other)
+    return quantiles.exact(sound.join(odd, by, "left_anti"), by, value, probs, most).select(*by, "q").unionByName(other)
 
 
 def robust_ratio(rows: DataFrame, by: list[str], top: str, bottom: str, gate: float = 3.0, eps: float = 1e-9) -> DataFrame:
     """Median ratio per group over rows whose log ratio lies within `gate` robust sigmas of the median one."""
-    logs = rows.where((F.col(top) > 0) & (F.col(bottom) > 0)).withColumn("_l", F.log(F.col(top) / F.col(bottom)))
-    m = mad(logs, by, "_l").select(*by, "median", "sigma")
-    kept = logs.join(m, by).where(F.abs(F.col("_l") - F.col("median")) <= gate * F.col("sigma") + eps)
-    return kept.groupBy(*by).agg(F.exp(F.median("_l")).alias("ratio"), F.count(F.lit(1)).alias("n"))
+    logs = rows.where((F.col(top) > 0) & (F.col(bottom) > 0)).select(*by, F.log(F.col(top) / F.col(bottom)).alias("_l"))
+    middle = lambda rows, value, name: _quantiles(rows, by, value, (0.5,), RATIOS_OF_TASK).select(*by, F.col("q")[0].alias(name)).checkpoint()
+    judged = _beside(logs, middle(logs, "_l", "_m"), by).withColumn("_d", F.abs(F.col("_l") - F.col("_m")))
+    kept = _beside(judged, middle(judged, "_d", "_s"), by).where(F.col("_d") <= gate * MAD_SIGMA * F.col("_s") + eps)
+    ratio = middle(kept, "_l", "_q").select(*by, F.exp("_q").alias("ratio"))
+    return ratio.join(kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by)
 
 
 def inverse_variance(rows: DataFrame, by: list[str], value: str, sigma: str) -> DataFrame:

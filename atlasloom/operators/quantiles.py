@@ -29,12 +29,13 @@ def _ranked(big: DataFrame, sizes: DataFrame, by: list[str], probs: tuple[float,
             break
         # Halved ends, so that the width of an interval cannot overflow; least and largest value always part.
         bin_ = F.least(F.lit(BINS - 1), F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BINS)).cast("int")
-        cut = big.join(todo, by).where("v BETWEEN lo AND hi").groupBy(*key, bin_.alias("bin")).agg(F.count("v").alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+        # Few rows for each group of over `most` values: at most two for each quantile.
+        cut = big.join(F.broadcast(todo), by).where("v BETWEEN lo AND hi").groupBy(*key, bin_.alias("bin")).agg(F.count("v").alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
         bins = cut.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("bin", "c", "a", "b"))).alias("bins"))
         run = F.aggregate("bins", F.struct(F.col("rank").alias("left"), F.lit(None).cast("struct<bin:int,c:bigint,a:double,b:double>").alias("at")),
                           lambda s, x: F.struct(F.when(s["at"].isNull() & (s["left"] >= x["c"]), s["left"] - x["c"]).otherwise(s["left"]).alias("left"), F.when(s["at"].isNull() & (s["left"] < x["c"]), x).otherwise(s["at"]).alias("at")))
         todo = todo.join(bins, key).withColumn("s", run).select(*key, F.col("s.left").alias("rank"), F.col("s.at.a").alias("lo"), F.col("s.at.b").alias("hi"), F.col("s.at.c").alias("n"))
-    rest = big.join(done.where("lo < hi"), by).where("v BETWEEN lo AND hi").groupBy(*key, "rank").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    rest = big.join(F.broadcast(done.where("lo < hi")), by).where("v BETWEEN lo AND hi").groupBy(*key, "rank").agg(F.sort_array(F.collect_list("v")).alias("vs"))
     found = rest.select(*key, F.get("vs", F.col("rank").cast("int")).alias("v")).unionByName(done.where("lo = hi").select(*key, F.col("lo").alias("v")))
     pair = found.groupBy(*by, "k").agg(F.min("v").alias("v0"), F.max("v").alias("v1")).join(sizes.select(*by, "n"), by)
     at = F.get(F.array(*place(None)), F.col("k"))
@@ -56,7 +57,8 @@ def exact(rows: DataFrame, by: list[str], value: str, probs: tuple[float, ...],
     wanted = F.array(*map(F.lit, probs))
     if sizes.where(F.col("n") > most).isEmpty():
         return rows.groupBy(*by).agg(F.count("v").alias("n"), F.percentile("v", wanted).alias("q"))
-    large = sizes.where(F.col("n") > most).select(*by)
+    # Fewer than one in `most` rows; a shuffled join would gather each of these groups in one task.
+    large = F.broadcast(sizes.where(F.col("n") > most).select(*by))
     small = rows.join(large, by, "left_anti").groupBy(*by).agg(F.count("v").alias("n"), F.percentile("v", wanted).alias("q"))
     big = _ranked(rows.join(large, by), sizes, by, probs, most, folder)
     q = F.transform(F.sort_array(F.collect_list(F.struct("k", "q"))), lambda s: s["q"])

@@ -175,3 +175,20 @@ def test_pairs_of_boxes_are_not_shuffled(spark, monkeypatch):
         monkeypatch.setattr(objects, "BOXES_OF_TASK", most)
         got = [(r.f, r.i, r.i_b) for r in objects.overlapping(rows, "f", "i", 0.5).collect()]
         assert sorted(got) == sorted(want)
+
+
+def test_ratios_of_large_groups_are_ranked_by_counting(spark, monkeypatch):
+    """No task holds the values of a large group; a group with an infinite ratio is still ranked, one without a key has no row."""
+    from atlasloom.operators import aggregates
+
+    monkeypatch.setattr(aggregates, "RATIOS_OF_TASK", 40)
+    rng = np.random.default_rng(11)
+    rows = [(g, float(np.exp(v)), 2.0) for g, n in (("a", 301), ("b", 200), ("few", 9)) for v in np.append(rng.normal(size=n), [9.0, -9.0])]
+    table = spark.createDataFrame([*rows, (None, 1.0, 1.0), ("a", -1.0, 1.0), ("odd", float("inf"), 1.0), ("odd", 3.0, 1.0), ("odd", 3.0, 1.0)], "g string, t double, b double")
+    got = {r.g: r for r in aggregates.robust_ratio(table, ["g"], "t", "b").collect()}
+    assert set(got) == {"a", "b", "few", "odd"} and got["odd"].n == 2 and got["odd"].ratio == pytest.approx(3.0)
+    for g in ("a", "b", "few"):
+        logs = np.log([t / b for k, t, b in rows if k == g])
+        off = np.abs(logs - np.median(logs))
+        kept = logs[off <= 3 * 1.4826 * np.median(off) + 1e-9]
+        assert got[g].n == len(kept) and got[g].ratio == pytest.approx(float(np.exp(np.median(kept))))
