@@ -192,3 +192,23 @@ def test_ratios_of_large_groups_are_ranked_by_counting(spark, monkeypatch):
         off = np.abs(logs - np.median(logs))
         kept = logs[off <= 3 * 1.4826 * np.median(off) + 1e-9]
         assert got[g].n == len(kept) and got[g].ratio == pytest.approx(float(np.exp(np.median(kept))))
+
+
+def test_supports_make_no_row_for_a_candidate(spark, monkeypatch):
+    """The nearest level, then the largest area, then the first surface; near ones first, far ones for what has none, long lists in parts."""
+    from atlasloom.operators import objects
+
+    rng = np.random.default_rng(12)
+    tops = [(i, float(h), a, float(x), 0.0, float(x + w), 1.0) for i, (h, x, w) in enumerate(zip(np.round(rng.uniform(0, 3, 120), 3), *rng.integers(0, 3, (2, 120)), strict=True)) for a in [[1.0, 2.0, None, float("nan")][i % 4]]]
+    items = [(i, float(x) + 0.5, 0.5, float(h)) for i, (x, h) in enumerate(zip(rng.integers(0, 4, 200), np.round(rng.uniform(0, 4, 200), 3), strict=True))]
+    left, right = spark.createDataFrame(items, "id int, x double, y double, bottom double"), spark.createDataFrame(tops, "sid int, height double, area double, x0 double, y0 double, x1 double, y1 double")
+    largest = lambda a: float("inf") if a is None else -float("inf") if a != a else -a
+    want = {}
+    for i, x, _, z in items:
+        near = [(round(abs(z - h) + 1e-12, 2), largest(a), s) for s, h, a, x0, _, x1, _ in tops if x0 <= x <= x1 and -0.05 <= z - h <= 0.3]
+        want |= {i: min(near)[2]} if near else {}
+    for most in (20_000, 2):
+        monkeypatch.setattr(objects, "SURFACES_OF_LIST", most)
+        out = objects.supports(left, right, reach=0.3)
+        assert {r.id: r.sid for r in out.collect()} == want and 0 < len(want) < 200
+        assert "_x" not in out.columns and "array_min" in out._jdf.queryExecution().optimizedPlan().toString()
