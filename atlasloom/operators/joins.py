@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 from atlasloom.functions.geometry import col, voxel
 
 
+def bounded_voxel(c, size: float) -> Column:
+    """Voxel number of which the neighbours are numbers too, however far the place; infinite places are in the last one."""
+    return F.least(F.greatest(voxel(c, size), F.lit(-(1 << 62))), F.lit(1 << 62))
+
+
 #: Rows of one side in a cell of which a task meets all with another's; more are dealt into blocks of that many.
 ROWS_OF_CELL = 20_000
 
@@ -31,7 +36,7 @@ def range_join(a: DataFrame, b: DataFrame, ax: list[str], bx: list[str], radius:
     d = len(ax)
     own, other, keys = [f"_a{i}" for i in range(d)], [f"_b{i}" for i in range(d)], [f"_e{i}" for i in range(len(equal))]
     near = F.array(*[F.array(*[F.col("_c")[i] + (k // 3**i % 3 - 1) for i in range(d)]) for k in range(3**d)])
-    cell = lambda names: F.array(*[voxel(c, radius) for c in names])
+    cell = lambda names: F.array(*[bounded_voxel(c, radius) for c in names])
 
     def placed(rows: DataFrame, at: list[str], names: list[str], same: list[str], held: str) -> DataFrame:
         kept = rows.na.drop(subset=at).select(F.struct(*rows.columns).alias(held), *[F.col(c).alias(n) for c, n in zip([*at, *same], [*names, *keys], strict=True)])

@@ -148,6 +148,7 @@ def test_pairs_in_reach_are_not_shuffled(spark, monkeypatch):
     rng = np.random.default_rng(9)
     a = [(i, int(i % 3) or None, *map(float, p)) for i, p in enumerate(np.vstack([rng.integers(-4, 5, (60, 2)), np.zeros((20, 2))]))]
     b = [(i, int(i % 2) + 1, *map(float, p)) for i, p in enumerate(np.vstack([rng.integers(-4, 5, (50, 2)), np.ones((30, 2))]))]
+    a, b = [*a, (80, 1, float("inf"), 0.0), (81, 1, 1e300, 0.0)], [*b, (80, 1, float("inf"), 0.0), (81, 1, 1e300, 0.0)]
     left, right = spark.createDataFrame(a, "i int, g int, x double, y double"), spark.createDataFrame(b, "j int, h int, u double, v double")
     near = {(i, j) for i, _, x, y in a for j, _, u, v in b if np.hypot(x - u, y - v) <= 1.5}
     alike = {(i, j) for i, j in near if a[i][1] == b[j][1]}
@@ -201,6 +202,8 @@ def test_supports_make_no_row_for_a_candidate(spark, monkeypatch):
     rng = np.random.default_rng(12)
     tops = [(i, float(h), a, float(x), 0.0, float(x + w), 1.0) for i, (h, x, w) in enumerate(zip(np.round(rng.uniform(0, 3, 120), 3), *rng.integers(0, 3, (2, 120)), strict=True)) for a in [[1.0, 2.0, None, float("nan")][i % 4]]]
     items = [(i, float(x) + 0.5, 0.5, float(h)) for i, (x, h) in enumerate(zip(rng.integers(0, 4, 200), np.round(rng.uniform(0, 4, 200), 3), strict=True))]
+    tops += [(200 + i, h, 1.0, 0.0, 0.0, 4.0, 1.0) for i, h in enumerate((float("inf"), -float("inf"), float("nan"), 1e300))]
+    items += [(200 + i, 0.5, 0.5, z) for i, z in enumerate((float("inf"), -float("inf"), 1e300, -1e300))]
     left, right = spark.createDataFrame(items, "id int, x double, y double, bottom double"), spark.createDataFrame(tops, "sid int, height double, area double, x0 double, y0 double, x1 double, y1 double")
     largest = lambda a: float("inf") if a is None else -float("inf") if a != a else -a
     want = {}
@@ -210,5 +213,5 @@ def test_supports_make_no_row_for_a_candidate(spark, monkeypatch):
     for most in (20_000, 2):
         monkeypatch.setattr(objects, "SURFACES_OF_LIST", most)
         out = objects.supports(left, right, reach=0.3)
-        assert {r.id: r.sid for r in out.collect()} == want and 0 < len(want) < 200
+        assert {r.id: r.sid for r in out.collect()} == want and 0 < len(want) < 200 and want[202] == 203
         assert "_x" not in out.columns and "array_min" in out._jdf.queryExecution().optimizedPlan().toString()
